@@ -6,236 +6,242 @@ from suppliers, links and tracks from line items, collections from events.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratework.functions import duration_seconds
 
-
-def _text(column: str):
-    return F.col(column).cast("string")
-
-
-def _mod(column: str, divisor: int):
-    return F.col(column) % divisor
+SCHEMAS = {
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+}
+
+
+def _credit(id_: str, anv: str = "NULL", join: str = "NULL", role: str = "NULL",
+            tracks: str = "NULL") -> str:
+    return (
+        f"named_struct('id', CAST({id_} AS BIGINT), "
+        f"'name', coalesce('Artist ' || CAST({id_} AS STRING), 'Unknown'), "
+        f"'anv', CAST({anv} AS STRING), 'join', CAST({join} AS STRING), "
+        f"'role', CAST({role} AS STRING), 'tracks', CAST({tracks} AS STRING))"
+    )
+
+
+def _label(id_: str, catno: str) -> str:
+    return (
+        f"named_struct('id', CAST({id_} AS BIGINT), 'name', 'Label ' || CAST({id_} AS STRING), "
+        f"'catno', {catno})"
+    )
+
+
+_FIRST, _SECOND, _THIRD = "o_orderkey % 97 + 1", "o_custkey % 89 + 1", "o_orderkey % 83 + 1"
+_CATNO = "'CAT-' || CAST(o_orderkey % 10 AS STRING)"
+
+# Nested credits, labels and tracks of a release, with repeats and gaps.
+DOCUMENTS = {
+    "artists": "array(" + ", ".join([
+        _credit(
+            _FIRST, join="','",
+            anv="CASE WHEN o_orderkey % 4 = 0 THEN 'Anv ' || CAST(o_orderkey AS STRING) END",
+        ),
+        _credit(_SECOND),
+        _credit(_FIRST, anv="'Late'"),
+        _credit("NULL"),
+    ]) + ")",
+    "extraartists": "array(" + ", ".join([
+        _credit(_SECOND, role="'Producer'", tracks="'A1'"),
+        _credit(_SECOND, role="'Producer'", tracks="'B1'"),
+        _credit(_FIRST, role="''"),
+        _credit(_THIRD, anv="'Guest'"),
+    ]) + ")",
+    "labels": "array(" + ", ".join([
+        _label("o_orderkey % 50 + 1", _CATNO),
+        _label("o_orderkey % 50 + 1", "''"),
+        _label("o_orderkey % 50 + 1", _CATNO),
+        _label("NULL", _CATNO),
+    ]) + ")",
+    "tracklist": """
+        CASE WHEN o_orderkey % 4 <> 0 THEN
+          transform(sequence(1L, o_orderkey % 5 + 1), i -> named_struct(
+            'position', CAST(i AS STRING),
+            'title', CASE WHEN i = 3 THEN ''
+                     ELSE concat('Track ', CAST(i AS STRING), ' of ', CAST(o_orderkey AS STRING)) END,
+            'duration', concat(CAST(o_orderkey % 9 AS STRING), ':',
+                               lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')),
+            'type_', 'track')) END""",
+}
+
+# Genres and formats are JSON text, some of it NULL or not valid.
+RELEASES = {
+    "id": "o_orderkey",
+    "master_id": "CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END",
+    "title": "'Release ' || CAST(o_orderkey AS STRING)",
+    "year": "year(o_orderdate)",
+    "country": "CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END",
+    "released": "CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END",
+    "notes": "CASE o_orderstatus WHEN 'F' THEN 'Reissue' WHEN 'P' THEN '1990 remaster' END",
+    "genres": """
+        CASE WHEN o_orderkey % 17 = 0 THEN NULL
+             WHEN o_orderkey % 13 = 0 THEN '["broken"'
+             ELSE concat('["', o_orderpriority, '","',
+                         CASE WHEN o_orderkey % 23 = 0 THEN o_orderpriority ELSE o_orderstatus END,
+                         '"]') END""",
+    "formats": """
+        concat(CASE WHEN o_orderkey % 19 = 0 THEN '[{' ELSE concat('[{"name":"', o_orderstatus, '",') END,
+               '"descriptions":["', CASE WHEN o_orderkey % 3 = 0 THEN 'Repress' ELSE 'LP' END, '"]}',
+               CASE WHEN o_orderkey % 19 = 0 THEN ']'
+                    WHEN o_orderkey % 9 = 0 THEN ',{"name":"All Media"}]'
+                    ELSE concat(',{"name":"', o_orderstatus, '"}]') END)""",
+    **DOCUMENTS,
+}
+
+# Durations in every accepted shape, and some that are blank or malformed.
+TRACK_DURATION = """
+    CASE l_partkey % 10
+      WHEN 0 THEN ' '
+      WHEN 1 THEN concat('1:', lpad(CAST(CAST(l_quantity AS INT) AS STRING), 2, '0'), ':',
+                         lpad(CAST(l_partkey % 60 AS STRING), 2, '0'))
+      WHEN 2 THEN CAST(CAST(l_quantity AS INT) AS STRING)
+      WHEN 3 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), ':',
+                         CAST(l_partkey % 60 % 10 AS STRING))
+      WHEN 4 THEN NULL
+      ELSE concat(CAST(CAST(l_quantity AS INT) AS STRING), ':',
+                  lpad(CAST(l_partkey % 60 AS STRING), 2, '0')) END"""
 
 
 class StarSchemaCatalogue:
     """Lazy catalogue tables over the Parquet files of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self._spark = spark
+        self.spark = spark
         self._folder = folder
+        self._scans: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        if name not in self._scans:
+            reader = self.spark.read.schema(SCHEMAS[name])
+            self._scans[name] = reader.parquet(f"{self._folder}/{name}.parquet")
+        return self._scans[name]
 
-    @property
+    @cached_property
     def releases(self) -> DataFrame:
-        """Genres and formats are JSON text here, some of it NULL or not valid."""
-        master = F.when(_mod("o_orderkey", 7) != 0, F.col("o_custkey"))
-        genre_list = F.when(
-            _mod("o_orderkey", 23) == 0,
-            F.format_string('["%s","%s"]', "o_orderpriority", "o_orderpriority"),
-        ).otherwise(F.format_string('["%s","%s"]', "o_orderpriority", "o_orderstatus"))
-        genres = F.when(_mod("o_orderkey", 17) == 0, F.lit(None)).when(
-            _mod("o_orderkey", 13) == 0, F.lit('["broken"')
-        ).otherwise(genre_list)
-        description = F.when(_mod("o_orderkey", 3) == 0, "Repress").otherwise("LP")
-        formats = F.when(
-            _mod("o_orderkey", 19) == 0, F.format_string('[{"descriptions":["%s"]}]', description)
-        ).otherwise(
-            F.format_string(
-                '[{"name":"%s","descriptions":["%s"]},{"name":"%s"}]',
-                "o_orderstatus", description,
-                F.when(_mod("o_orderkey", 9) == 0, "All Media").otherwise(F.col("o_orderstatus")),
-            )
-        )
-        notes = F.when(F.col("o_orderstatus") == "F", "Reissue").when(
-            F.col("o_orderstatus") == "P", "1990 remaster"
-        )
-        return self.table("orders").select(
-            F.col("o_orderkey").alias("id"),
-            master.alias("master_id"),
-            F.concat(F.lit("Release "), _text("o_orderkey")).alias("title"),
-            F.year("o_orderdate").alias("year"),
-            F.when(_mod("o_orderkey", 11) != 0, F.col("o_orderpriority")).alias("country"),
-            F.when(_mod("o_orderkey", 5) != 0, F.to_date("o_orderdate")).alias("released"),
-            notes.alias("notes"),
-            genres.alias("genres"),
-            formats.alias("formats"),
-            *[column.alias(name) for name, column in self._document_columns().items()],
+        return self.table("orders").selectExpr(
+            *[f"{expression} AS {name}" for name, expression in RELEASES.items()]
         )
 
-    def _document_columns(self) -> dict:
-        """Nested credits, labels and tracks of a release, with repeats and gaps."""
-        first = (_mod("o_orderkey", 97) + 1).cast("bigint")
-        second = (_mod("o_custkey", 89) + 1).cast("bigint")
-        third = (_mod("o_orderkey", 83) + 1).cast("bigint")
-        label = (_mod("o_orderkey", 50) + 1).cast("bigint")
-        none = F.lit(None).cast("string")
-
-        def credit(id_, anv=none, join=none, role=none, tracks=none):
-            name = F.coalesce(F.concat(F.lit("Artist "), id_.cast("string")), F.lit("Unknown"))
-            fields = {"id": id_, "name": name, "anv": anv, "join": join, "role": role,
-                      "tracks": tracks}
-            return F.struct(*[value.alias(key) for key, value in fields.items()])
-
-        def label_ref(id_, catno):
-            name = F.concat(F.lit("Label "), id_.cast("string"))
-            return F.struct(id_.alias("id"), name.alias("name"), catno.alias("catno"))
-
-        alternative = F.when(
-            _mod("o_orderkey", 4) == 0, F.concat(F.lit("Anv "), _text("o_orderkey"))
-        )
-        no_id = F.lit(None).cast("bigint")
-        artists = F.array(
-            credit(first, anv=alternative, join=F.lit(",")),
-            credit(second),
-            credit(first, anv=F.lit("Late")),
-            credit(no_id),
-        )
-        extraartists = F.array(
-            credit(second, role=F.lit("Producer"), tracks=F.lit("A1")),
-            credit(second, role=F.lit("Producer"), tracks=F.lit("B1")),
-            credit(first, role=F.lit("")),
-            credit(third, anv=F.lit("Guest")),
-        )
-        catalogue = F.concat(F.lit("CAT-"), _mod("o_orderkey", 10).cast("string"))
-        labels = F.array(
-            label_ref(label, catalogue),
-            label_ref(label, F.lit("")),
-            label_ref(label, catalogue),
-            label_ref(no_id, catalogue),
-        )
-        duration = F.format_string("%d:%02d", _mod("o_orderkey", 9), _mod("o_orderkey", 60))
-
-        def track(number):
-            title = F.when(number == 3, F.lit("")).otherwise(
-                F.format_string("Track %d of %d", number, "o_orderkey")
-            )
-            return F.struct(
-                number.cast("string").alias("position"),
-                title.alias("title"),
-                duration.alias("duration"),
-                F.lit("track").alias("type_"),
-            )
-
-        numbers = F.sequence(F.lit(1).cast("bigint"), _mod("o_orderkey", 5) + 1)
-        tracklist = F.when(_mod("o_orderkey", 4) != 0, F.transform(numbers, track))
-        return {
-            "artists": artists,
-            "extraartists": extraartists,
-            "labels": labels,
-            "tracklist": tracklist,
-        }
-
-    @property
+    @cached_property
     def masters(self) -> DataFrame:
         main = (
-            self.releases.where(F.col("master_id").isNotNull())
-            .groupBy("master_id")
-            .agg(F.min("id").alias("main"))
-        )
-        return self.table("customer").join(
-            main, F.col("c_custkey") == F.col("master_id"), "left"
-        ).select(
-            F.col("c_custkey").alias("id"),
-            F.col("c_name").alias("title"),
-            F.when(_mod("c_custkey", 4) != 0, F.col("main")).alias("main_release_id"),
-            F.when(_mod("c_custkey", 3) != 0, 1995 + _mod("c_custkey", 7)).cast("int").alias("year"),
+            self.releases.where("master_id IS NOT NULL").groupBy("master_id").agg({"id": "min"})
+        )
+        return (
+            self.table("customer")
+            .join(main.withColumnRenamed("min(id)", "main").withColumnRenamed("master_id", "key"),
+                  F.col("c_custkey") == F.col("key"), "left")
+            .selectExpr(
+                "c_custkey AS id",
+                "c_name AS title",
+                "CASE WHEN c_custkey % 4 <> 0 THEN main END AS main_release_id",
+                "CAST(CASE WHEN c_custkey % 3 <> 0 THEN 1995 + c_custkey % 7 END AS INT) AS year",
+            )
         )
 
-    @property
+    @cached_property
     def artists(self) -> DataFrame:
-        return self.table("part").select(
-            F.col("p_partkey").alias("id"), F.col("p_name").alias("name")
-        )
+        return self.table("part").selectExpr("p_partkey AS id", "p_name AS name")
 
-    @property
+    @cached_property
     def labels(self) -> DataFrame:
         """Every label but the first of ten has a parent; some parents are not stored."""
-        key = F.col("s_suppkey")
-        parent = F.when(key % 10 == 9, key * 100 + 99).when(key % 10 != 0, key - key % 10)
-        return self.table("supplier").select(
-            key.alias("id"), F.col("s_name").alias("name"), parent.alias("parent_label_id")
+        return self.table("supplier").selectExpr(
+            "s_suppkey AS id",
+            "s_name AS name",
+            """CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey * 100 + 99
+                    WHEN s_suppkey % 10 <> 0 THEN s_suppkey - s_suppkey % 10
+               END AS parent_label_id""",
         )
 
-    @property
+    @cached_property
     def release_artists(self) -> DataFrame:
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("release_id"),
-            F.col("l_partkey").alias("artist_id"),
-            F.col("l_returnflag").alias("role"),
+        return self.table("lineitem").selectExpr(
+            "l_orderkey AS release_id", "l_partkey AS artist_id", "l_returnflag AS role"
         ).distinct()
 
-    @property
+    @cached_property
     def release_labels(self) -> DataFrame:
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("release_id"),
-            F.col("l_suppkey").alias("label_id"),
-            _text("l_linenumber").alias("catalog_number"),
+        return self.table("lineitem").selectExpr(
+            "l_orderkey AS release_id",
+            "l_suppkey AS label_id",
+            "CAST(l_linenumber AS STRING) AS catalog_number",
         ).distinct()
 
-    @property
+    @cached_property
     def tracks(self) -> DataFrame:
-        """Durations in every accepted shape, and some that are blank or malformed."""
-        minutes = F.col("l_quantity").cast("int")
-        seconds = _mod("l_partkey", 60)
-        shape = _mod("l_partkey", 10)
-        duration = (
-            F.when(shape == 0, F.lit(" "))
-            .when(shape == 1, F.format_string("1:%02d:%02d", minutes, seconds))
-            .when(shape == 2, minutes.cast("string"))
-            .when(shape == 3, F.format_string("%d:%d", minutes, seconds % 10))
-            .when(shape == 4, F.lit(None))
-            .otherwise(F.format_string("%d:%02d", minutes, seconds))
+        # Exploded from a list of one, so that the text is built once per row and not
+        # again in every expression that reads it.
+        lines = self.table("lineitem").selectExpr(
+            "l_orderkey AS release_id",
+            "CAST(l_linenumber AS STRING) AS position",
+            "'Track ' || CAST(l_partkey AS STRING) AS title",
+            f"explode(array({TRACK_DURATION})) AS duration",
         )
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("release_id"),
-            _text("l_linenumber").alias("position"),
-            F.concat(F.lit("Track "), _text("l_partkey")).alias("title"),
-            duration.alias("duration"),
-            duration_seconds(duration).alias("duration_seconds"),
-            F.lit("track").alias("type"),
+        return lines.withColumn("duration_seconds", duration_seconds("duration")).selectExpr(
+            "*", "'track' AS type"
         )
 
-    @property
+    @cached_property
     def users(self) -> DataFrame:
-        return self.table("events").select(F.col("user_id").alias("id")).distinct().select(
-            "id", F.concat(F.lit("user"), _text("id")).alias("username")
+        return self.table("events").selectExpr("user_id AS id").distinct().selectExpr(
+            "id", "'user' || CAST(id AS STRING) AS username"
         )
 
-    @property
+    @cached_property
     def user_collection(self) -> DataFrame:
         """Pairs of items share a release, and a quarter of the releases are not stored."""
-        cached = 1950 + F.get_json_object("props", "$.k").try_cast("int")
-        return self.table("events").select(
+        return self.table("events").selectExpr(
             "user_id",
-            (2 * (F.col("event_id") - _mod("event_id", 2))).alias("release_id"),
-            F.lit(1).cast("bigint").alias("folder_id"),
-            F.col("event_id").alias("instance_id"),
-            _mod("event_id", 6).cast("int").alias("rating"),
-            F.lit(None).cast("string").alias("notes"),
-            F.col("ts").alias("date_added"),
-            F.struct(F.when(_mod("event_id", 9) != 4, cached).alias("year")).alias(
-                "basic_information"
-            ),
+            "2 * (event_id - event_id % 2) AS release_id",
+            "1L AS folder_id",
+            "event_id AS instance_id",
+            "CAST(event_id % 6 AS INT) AS rating",
+            "CAST(NULL AS STRING) AS notes",
+            "ts AS date_added",
+            """named_struct('year', CASE WHEN event_id % 9 <> 4 THEN
+                 1950 + try_cast(get_json_object(props, '$.k') AS INT) END) AS basic_information""",
         )
 
-    @property
+    @cached_property
     def data_sources(self) -> DataFrame:
         """One provenance row per event; the event type says which table was loaded."""
-        kinds = {"view": "artists", "signup": "labels", "click": "masters", "purchase": "releases"}
-        kind = F.lit("collection")
-        for event_type, name in kinds.items():
-            kind = F.when(F.col("event_type") == event_type, name).otherwise(kind)
-        return self.table("events").select(
-            kind.alias("source_type"),
-            F.lit("xml_dump").alias("source_name"),
-            F.col("ts").alias("last_updated"),
-            F.concat(F.lit("dump_"), _text("event_id")).alias("file_name"),
-            F.col("event_id").alias("record_count"),
+        return self.table("events").selectExpr(
+            """CASE event_type WHEN 'view' THEN 'artists' WHEN 'signup' THEN 'labels'
+                 WHEN 'click' THEN 'masters' WHEN 'purchase' THEN 'releases'
+                 ELSE 'collection' END AS source_type""",
+            "'xml_dump' AS source_name",
+            "ts AS last_updated",
+            "'dump_' || CAST(event_id AS STRING) AS file_name",
+            "event_id AS record_count",
         )
 
     def tables(self) -> dict[str, DataFrame]:
