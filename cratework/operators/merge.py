@@ -13,25 +13,34 @@ def last_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+def one_per_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key; which of several different rows stays is repeatable."""
+    return last_per_key(df, key, F.xxhash64(*df.columns))
+
+
+def upsert(
+    stored: DataFrame, incoming: DataFrame, key: list[str], keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Merge by key: columns of ``incoming`` overwrite, also with NULL; others stay.
 
-    ``incoming`` must be unique on the key (see ``last_per_key``).
+    Columns in ``keep`` are only set on new rows. ``incoming`` must be unique on
+    the key (see ``one_per_key``).
     """
     renamed = incoming.select(
         *key,
         *[F.col(c).alias(f"_new_{c}") for c in incoming.columns if c not in key],
         F.lit(True).alias("_supplied"),
     )
-    joined = stored.join(renamed, key, "full_outer")
+    joined = stored.withColumn("_stored", F.lit(True)).join(renamed, key, "full_outer")
 
     def merged(name: str) -> Column:
-        if name in key:
+        if name in key or name not in incoming.columns:
             return F.col(name)
-        if name in incoming.columns:
-            value = F.when(F.col("_supplied"), F.col(f"_new_{name}")).otherwise(F.col(name))
-            return value.cast(stored.schema[name].dataType).alias(name)
-        return F.col(name)
+        overwritten = F.col("_supplied").isNotNull()
+        if name in keep:
+            overwritten = F.col("_stored").isNull()
+        value = F.when(overwritten, F.col(f"_new_{name}")).otherwise(F.col(name))
+        return value.alias(name)
 
     return joined.select(*[merged(name) for name in stored.columns])
 
@@ -41,10 +50,8 @@ def refresh(
 ) -> DataFrame:
     """Upsert that keeps ``created_at`` of known rows and sets ``updated_at`` of all given."""
     now = F.current_timestamp() if now is None else now
-    stamped = incoming.drop("created_at", "updated_at").withColumn("updated_at", now)
-    touched = upsert(stored.withColumn("_known", F.lit(True)), stamped, key)
-    created = F.when(F.col("_known"), F.col("created_at")).otherwise(F.col("updated_at"))
-    return touched.withColumn("created_at", created).select(*stored.columns)
+    stamped = incoming.withColumn("created_at", now).withColumn("updated_at", now)
+    return upsert(stored, stamped, key, keep=("created_at",))
 
 
 def insert_new(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:

@@ -9,9 +9,12 @@ from cratework import schemas
 from cratework.functions import iso_timestamp, partial_date, reference_id
 
 
-def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Collection pages: one JSON document per file or per line."""
-    return spark.read.schema(schemas.JSON_PAGE).option("multiLine", True).json(path)
+def read_pages(
+    spark: SparkSession, path: str | list[str], json_lines: bool = False
+) -> DataFrame:
+    """Collection pages, one per file; ``json_lines`` for one per line, which splits files."""
+    reader = spark.read.schema(schemas.JSON_PAGE).option("multiLine", not json_lines)
+    return reader.json(path)
 
 
 def parse_pages(text: DataFrame, column: str = "value") -> DataFrame:
@@ -102,7 +105,15 @@ ROWS = {
 }
 
 
-def read_documents(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
-    """Rows of landed entity documents, one JSON object per file or line."""
-    documents = spark.read.schema(schemas.JSON_DOCUMENTS[kind]).option("multiLine", True).json(path)
-    return ROWS[kind](documents)
+def read_documents(
+    spark: SparkSession, path: str | list[str], kind: str, json_lines: bool = False
+) -> DataFrame:
+    """Rows of landed entity documents, one JSON object per file or, if asked, per line."""
+    reader = spark.read.schema(schemas.JSON_DOCUMENTS[kind]).option("multiLine", not json_lines)
+    return ROWS[kind](reader.json(path))
+
+
+def parse_documents(text: DataFrame, kind: str, column: str = "value") -> DataFrame:
+    """Rows of entity documents held as JSON text."""
+    document = F.from_json(F.col(column), schemas.JSON_DOCUMENTS[kind])
+    return ROWS[kind](text.select(document.alias("document")).select("document.*"))

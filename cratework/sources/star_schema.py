@@ -55,7 +55,7 @@ def _label(id_: str, catno: str) -> str:
     )
 
 
-_FIRST, _SECOND, _THIRD = "o_orderkey % 97 + 1", "o_custkey % 89 + 1", "o_orderkey % 83 + 1"
+_FIRST, _SECOND, _THIRD = "o_custkey * 2 + 1", "o_orderkey % 89 + 1", "o_orderkey % 83 + 1"
 _CATNO = "'CAT-' || CAST(o_orderkey % 10 AS STRING)"
 
 # Nested credits, labels and tracks of a release, with repeats and gaps.
@@ -76,9 +76,9 @@ DOCUMENTS = {
         _credit(_THIRD, anv="'Guest'"),
     ]) + ")",
     "labels": "array(" + ", ".join([
-        _label("o_orderkey % 50 + 1", _CATNO),
-        _label("o_orderkey % 50 + 1", "''"),
-        _label("o_orderkey % 50 + 1", _CATNO),
+        _label("o_custkey + 1", _CATNO),
+        _label("o_custkey + 1", "''"),
+        _label("o_custkey + 1", _CATNO),
         _label("NULL", _CATNO),
     ]) + ")",
     "tracklist": """

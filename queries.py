@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratework.plans import collaborations, collection, pressings, registry
+from cratework.functions import duration_text, leading_int, partial_date
+from cratework.operators import filters, merge, missing, prune, quality, sampling
+from cratework.operators import shred as shredding
+from cratework.operators.joins import owned_release_ids
+from cratework.operators.sinks import metric_rows
+from cratework.plans import collaborations, collection, pressings, registry, sync
+from cratework.session import shared_folder
+from cratework.sources import json_documents, xml_dumps
 from cratework.sources.star_schema import StarSchemaCatalogue
+from cratework.streaming import collection_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +118,495 @@ def collection_audit(c):
 @register
 def label_parents(c):
     return pressings.label_parents(c.labels)
+
+
+@register
+def summary_unpivot(c):
+    return metric_rows(registry.summary(c.tables()))
+
+
+@register
+def genres_typed(c):
+    typed = c.releases.withColumn("genres", F.from_json("genres", "array<string>"))
+    return collection.genre_analysis(typed, c.user_collection)
+
+
+# -------------------------------------------------------------------- shredding
+@register
+def shred_artists(c):
+    return shredding.shred_artists(c.releases)
+
+
+@register
+def shred_labels(c):
+    return shredding.shred_labels(c.releases)
+
+
+@register
+def shred_tracks(c):
+    return shredding.shred_tracks(c.releases)
+
+
+@register
+def shred_owned_artists(c):
+    return shredding.shred_only(c.releases, owned_release_ids(c.user_collection)).release_artists
+
+
+# ----------------------------------------------------------- filters by strategy
+def _strategy(c, **settings):
+    return filters.apply_strategy(
+        c.releases.select("id", "master_id", "title"),
+        filters.ReleaseStrategy(**settings),
+        c.user_collection,
+        c.release_artists,
+        c.release_labels,
+    )
+
+
+@register
+def filter_all(c):
+    return _strategy(c, name="all")
+
+
+@register
+def filter_collection_only(c):
+    return _strategy(c, name="collection_only")
+
+
+@register
+def filter_expanded(c):
+    return _strategy(c, name="collection_only", include_master_releases=True)
+
+
+@register
+def filter_selective_capped(c):
+    return _strategy(
+        c,
+        name="selective",
+        include_master_releases=True,
+        include_artist_releases=True,
+        include_label_releases=True,
+        max_releases_per_artist=2,
+        max_releases_per_label=5,
+    )
+
+
+@register
+def collection_masters(c):
+    return filters.collection_masters(c.releases, c.user_collection)
+
+
+@register
+def releases_of_masters(c):
+    owned = filters.collection_masters(c.releases, c.user_collection)
+    return filters.releases_of_masters(c.releases.select("id", "master_id", "title"), owned)
+
+
+@register
+def missing_entities(c):
+    return missing.missing_entities(c.user_collection, c.releases, c.artists, c.labels, c.masters)
+
+
+# ----------------------------------------------------------------------- merges
+def _owned_titles(c):
+    """What the collection knows of its releases: id, title and cached year."""
+    known = c.user_collection.groupBy("release_id").agg(
+        F.max("basic_information.year").alias("year")
+    )
+    return known.selectExpr(
+        "release_id AS id", "'Owned ' || CAST(release_id AS STRING) AS title", "year"
+    )
+
+
+@register
+def upsert_releases(c):
+    stored = c.releases.select("id", "master_id", "title", "year", "country")
+    return merge.upsert(stored, _owned_titles(c), ["id"])
+
+
+@register
+def refresh_releases(c):
+    stored = c.table("orders").selectExpr(
+        "o_orderkey AS id",
+        "'Release ' || CAST(o_orderkey AS STRING) AS title",
+        "year(o_orderdate) AS year",
+        "o_orderdate AS created_at",
+        "o_orderdate AS updated_at",
+    )
+    now = F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")
+    return merge.refresh(stored, _owned_titles(c), ["id"], now)
+
+
+@register
+def insert_ignore_artist_links(c):
+    stored = c.release_artists.withColumn("name", F.lit("stored"))
+    new = c.table("lineitem").selectExpr(
+        "l_orderkey AS release_id",
+        "l_partkey AS artist_id",
+        "CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE 'Remix' END AS role",
+        "'new' AS name",
+    )
+    return merge.insert_ignore(stored, new, ["release_id", "artist_id", "role"])
+
+
+@register
+def insert_ignore_label_links(c):
+    key = ["release_id", "label_id", "catalog_number"]
+    return merge.insert_ignore(c.release_labels, shredding.shred_labels(c.releases), key)
+
+
+@register
+def replace_tracks(c):
+    return merge.replace_children(c.tracks, shredding.shred_tracks(c.releases), "release_id")
+
+
+@register
+def emptied_labels(c):
+    """Status of all tables after the labels were cleared: they count 0 rows."""
+    return quality.table_status(
+        {"labels": merge.emptied(c.labels), "artists": c.artists},
+        c.data_sources.where("source_type <> 'labels'"),
+    )
+
+
+@register
+def prune_unused(c):
+    return prune.prune_releases(c.releases.select("id", "master_id", "title"), c.user_collection)
+
+
+@register
+def prune_links(c):
+    kept = prune.prune_releases(c.releases.select("id", "master_id"), c.user_collection)
+    return prune.prune_children(c.release_labels, kept)
+
+
+@register
+def prune_report(c):
+    return prune.prune_report(c.releases, c.user_collection)
+
+
+# ------------------------------------------------------------------ landed JSON
+def _pages(c):
+    """One collection page per order: a single item, its notes a list, text or absent."""
+    return c.table("orders").selectExpr(
+        """concat('{"pagination":{"page":1,"pages":1,"per_page":1,"items":1},"releases":[{"id":',
+             CAST(o_orderkey AS STRING), ',"instance_id":', CAST(o_orderkey AS STRING),
+             ',"date_added":"', date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:00:00-07:00"',
+             ',"rating":', CAST(o_orderkey % 7 AS STRING), ',"folder_id":1,"notes":',
+             CASE o_orderkey % 4 WHEN 0 THEN '[{"field_id":3,"value":"mint"}]'
+               WHEN 1 THEN '[]' WHEN 2 THEN '"plain"' ELSE 'null' END,
+             ',"basic_information":{',
+             CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE
+               concat('"id":', CAST(o_custkey AS STRING), ',') END,
+             '"title":"Item ', CAST(o_orderkey AS STRING), '","year":',
+             CAST(year(o_orderdate) AS STRING), ',"genres":["Rock"]}}]}') AS value"""
+    )
+
+
+def _items(c):
+    return json_documents.collection_items(json_documents.parse_pages(_pages(c)), 1)
+
+
+def _epoch(df):
+    return df.withColumn("date_added", F.unix_seconds("date_added"))
+
+
+@register
+def json_pages(c):
+    items = _items(c).withColumn("year", F.col("basic_information.year"))
+    return _epoch(items).drop("basic_information")
+
+
+def _stored_items(c):
+    return c.user_collection.selectExpr(
+        "1L AS user_id", "instance_id", "release_id", "folder_id", "rating", "notes",
+        "CAST(date_added AS TIMESTAMP) AS date_added",
+    )
+
+
+@register
+def sync_collection(c):
+    return _epoch(sync.sync_collection(_stored_items(c), _items(c)).collection)
+
+
+@register
+def sync_forced(c):
+    return _epoch(sync.sync_collection(_stored_items(c), _items(c), force=True).collection)
+
+
+@register
+def sync_counters(c):
+    return sync.sync_collection(_stored_items(c), _items(c)).counters
+
+
+@register
+def sync_rejected(c):
+    rejected = sync.sync_collection(_stored_items(c), _items(c)).rejected
+    return rejected.select("user_id", "instance_id", "rating")
+
+
+@register
+def sync_stream(c):
+    """The pages as landed files, taken in by the streaming sync into the stored items."""
+    root = f"{shared_folder(c.spark)}/sync-{uuid.uuid4().hex}"
+    _pages(c).write.text(f"{root}/landing")
+    items = collection_stream.stream_items(c.spark, f"{root}/landing", 1, json_lines=True)
+    collection_stream.start_sync(items, root, _stored_items(c)).awaitTermination()
+    return _epoch(
+        collection_stream.read_collection(c.spark, root).select(_stored_items(c).columns)
+    )
+
+
+@register
+def ensure_users(c):
+    names = c.table("customer").selectExpr("'user' || CAST(c_custkey AS STRING) AS username")
+    return sync.ensure_users(c.users, names).select("username")
+
+
+@register
+def json_artists(c):
+    text = c.table("part").selectExpr(
+        """concat('{"id":', CAST(p_partkey AS STRING), ',"name":"', p_name, '","realname":"',
+             p_brand, '","namevariations":["', p_type, '"],"members":[{"id":7,"name":"M"}]}')
+           AS value"""
+    )
+    rows = json_documents.parse_documents(text, "artists")
+    return rows.select(
+        "id", "name", "real_name", F.array_join("name_variations", "|").alias("variations"),
+        F.size("urls").alias("url_count"), F.get("members", F.lit(0))["name"].alias("member"),
+    )
+
+
+@register
+def json_labels(c):
+    text = c.table("supplier").selectExpr(
+        """concat('{"id":', CAST(s_suppkey AS STRING), ',"name":"', s_name,
+             '","sublabels":[{"id":', CAST(s_suppkey + 1 AS STRING),
+             ',"name":"a"},{"id":', CAST(s_suppkey + 2 AS STRING), '}]}') AS value"""
+    )
+    rows = json_documents.parse_documents(text, "labels")
+    return rows.select(
+        "id", "name", "parent_label_id",
+        F.array_join(F.col("subsidiaries").cast("array<string>"), "|").alias("subsidiaries"),
+        F.size("urls").alias("url_count"),
+    )
+
+
+@register
+def json_masters(c):
+    text = c.table("customer").selectExpr(
+        """concat('{"id":', CAST(c_custkey AS STRING), ',"title":"', c_name, '","year":',
+             CAST(1990 + c_nationkey AS STRING), ',"main_release":', CAST(c_custkey * 2 AS STRING),
+             ',"genres":["', c_mktsegment, '","Pop"]}') AS value"""
+    )
+    rows = json_documents.parse_documents(text, "masters")
+    return rows.select(
+        "id", "title", "year", "main_release_id", F.array_join("genres", "|").alias("genres"),
+        F.size("videos").alias("video_count"),
+    )
+
+
+@register
+def json_releases(c):
+    """Release documents whose credit ids are numbers, objects, or no numbers at all."""
+    text = c.table("orders").selectExpr(
+        """concat('{"id":', CAST(o_orderkey AS STRING), ',"title":"Doc ',
+             CAST(o_orderkey AS STRING), '","released":"', date_format(o_orderdate, 'yyyy-MM'),
+             '","master_id":', CAST(o_custkey AS STRING), ',"artists":[{"id":',
+             CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey + 1 AS STRING)
+               WHEN 1 THEN concat('{"text":"', CAST(o_custkey + 1 AS STRING), '"}')
+               WHEN 2 THEN concat('{"value":', CAST(o_custkey + 1 AS STRING), '}')
+               ELSE '"none"' END,
+             ',"name":"A"}],"labels":[{"id":5,"name":"L","catalog_number":"X1"}]}') AS value"""
+    )
+    rows = json_documents.parse_documents(text, "releases")
+    return rows.select(
+        "id", "title", "released", "master_id",
+        F.get("artists", F.lit(0))["id"].alias("artist_id"),
+        F.get("labels", F.lit(0))["catalog_number"].alias("catalog_number"),
+        F.size("tracklist").alias("track_count"),
+    )
+
+
+# ------------------------------------------------------------------- landed XML
+def _release_records(c):
+    """Release elements: some lack a title or a usable id, some are not well formed."""
+    fragments = c.table("orders").selectExpr(
+        """concat('<release id="', CASE WHEN o_orderkey % 29 = 0 THEN 'x' ELSE '' END,
+             CAST(o_orderkey AS STRING), '" status="Accepted"><title>',
+             CASE WHEN o_orderkey % 37 = 0 THEN ' ' ELSE concat(' Café &amp; ',
+               CAST(o_orderkey AS STRING)) END, '</title>',
+             CASE WHEN o_orderkey % 31 = 0 THEN '<notes>' ELSE '' END,
+             '<master_id is_main_release="true">', CAST(o_custkey AS STRING),
+             '</master_id><year>', date_format(o_orderdate, 'yyyy'), '</year><released>',
+             date_format(o_orderdate, 'yyyy-MM'), '</released><genres><genre>', o_orderpriority,
+             '</genre><genre> </genre></genres><formats><format name="Vinyl" qty="1" text="">',
+             '<descriptions><description>LP</description></descriptions></format></formats>',
+             '<artists><artist><id>', CAST(o_custkey AS STRING), '</id><name>One</name></artist>',
+             '<artist><id>bad</id><name>Two</name></artist></artists>',
+             '<labels><label name="L" catno="C1" id="bad"/></labels>',
+             '<tracklist><track type="track"><position>A1</position><title>T</title>',
+             '<duration>3:05</duration></track><track></track></tracklist></release>')
+           AS fragment"""
+    )
+    return xml_dumps.checked(xml_dumps.parse_fragments(fragments, "releases"), "releases")
+
+
+@register
+def xml_releases(c):
+    first = F.lit(0)
+    return xml_dumps.accepted(_release_records(c)).select(
+        "id", "master_id", "title", "year", "released", "status",
+        F.array_join("genres", "|").alias("genres"),
+        F.size("artists").alias("artist_count"),
+        F.get("artists", first)["id"].alias("artist_id"),
+        F.get("labels", first)["id"].alias("label_id"),
+        F.get("labels", first)["catno"].alias("catno"),
+        F.array_join(F.get("formats", first)["descriptions"], "|").alias("descriptions"),
+        F.size("tracklist").alias("track_count"),
+        F.get("tracklist", first)["duration"].alias("duration"),
+    )
+
+
+@register
+def xml_quality_gate(c):
+    return quality.quality_gate(_release_records(c), F.col("valid"))
+
+
+@register
+def xml_artists(c):
+    """Artist elements; a named alias with a bad id rejects its artist."""
+    fragments = c.table("part").selectExpr(
+        """concat('<artist><id>', CAST(p_partkey AS STRING), '</id><name>\n ', p_name,
+             ' </name><realname></realname><urls><url>u1</url><url/></urls><aliases><name id="',
+             CASE WHEN p_partkey % 17 = 0 THEN 'bad' ELSE CAST(p_partkey AS STRING) END, '">',
+             p_brand, '</name><name>', p_type, '</name></aliases></artist>') AS fragment"""
+    )
+    records = xml_dumps.checked(xml_dumps.parse_fragments(fragments, "artists"), "artists")
+    return xml_dumps.accepted(records).select(
+        "id", "name", "real_name", F.array_join("urls", "|").alias("urls"),
+        F.array_join(F.col("aliases.name"), "|").alias("aliases"),
+        F.get("aliases", F.lit(0))["id"].alias("alias_id"),
+    )
+
+
+@register
+def xml_labels(c):
+    fragments = c.table("supplier").selectExpr(
+        """concat('<label><id>', CAST(s_suppkey AS STRING), '</id><name>', s_name,
+             '</name><parentLabel id="', CASE WHEN s_suppkey % 3 = 0 THEN 'bad' ELSE
+               CAST(s_nationkey AS STRING) END, '">P</parentLabel><sublabels><label id="',
+             CAST(s_suppkey + 1 AS STRING), '">a</label><label id="bad">b</label>',
+             '<label>c</label></sublabels></label>') AS fragment"""
+    )
+    records = xml_dumps.checked(xml_dumps.parse_fragments(fragments, "labels"), "labels")
+    return xml_dumps.accepted(records).select(
+        "id", "name", "parent_label_id",
+        F.array_join(F.col("subsidiaries").cast("array<string>"), "|").alias("subsidiaries"),
+    )
+
+
+@register
+def xml_masters(c):
+    fragments = c.table("customer").selectExpr(
+        """concat('<master id="', CAST(c_custkey AS STRING), '"><main_release>',
+             CASE WHEN c_custkey % 5 = 0 THEN 'bad' ELSE CAST(c_custkey * 2 AS STRING) END,
+             '</main_release><title>', c_name, '</title><year>',
+             CASE WHEN c_custkey % 6 = 0 THEN '' ELSE CAST(1990 + c_nationkey AS STRING) END,
+             '</year><styles><style>', c_mktsegment, '</style></styles></master>') AS fragment"""
+    )
+    records = xml_dumps.checked(xml_dumps.parse_fragments(fragments, "masters"), "masters")
+    return xml_dumps.accepted(records).select(
+        "id", "title", "main_release_id", "year", F.array_join("styles", "|").alias("styles")
+    )
+
+
+# ------------------------------------------------------------ quality, provenance
+@register
+def table_status(c):
+    return quality.table_status(c.tables(), c.data_sources)
+
+
+@register
+def quality_gate(c):
+    return quality.quality_gate(_items(c), json_documents.has_release())
+
+
+@register
+def rating_rejects(c):
+    """Ratings outside 0 to 5, read from the event values."""
+    items = c.table("events").selectExpr(
+        "event_id AS instance_id", "CAST(floor(value) AS INT) AS rating"
+    )
+    return quality.split_valid(items, quality.rating_in_range())[1]
+
+
+@register
+def latest_loads(c):
+    return quality.latest_loads(c.data_sources)
+
+
+@register
+def files_not_loaded(c):
+    files = c.table("orders").selectExpr("'dump_' || CAST(o_orderkey AS STRING) AS file_name")
+    return quality.not_yet_loaded(files, c.data_sources)
+
+
+# ------------------------------------------------------------------- expressions
+@register
+def track_durations(c):
+    return c.tracks.select(
+        "release_id", "position", "title", "duration", "duration_seconds",
+        duration_text("duration_seconds").alias("formatted"),
+    )
+
+
+@register
+def release_dates(c):
+    texts = c.table("orders").selectExpr(
+        "o_orderkey AS id",
+        """CASE o_orderkey % 8
+             WHEN 0 THEN date_format(o_orderdate, ' yyyy-MM-dd ')
+             WHEN 1 THEN date_format(o_orderdate, 'yyyy-M')
+             WHEN 2 THEN date_format(o_orderdate, 'yyyy')
+             WHEN 3 THEN date_format(o_orderdate, "yyyy-MM-'00'")
+             WHEN 4 THEN date_format(o_orderdate, 'yyyy/MM/dd')
+             WHEN 5 THEN ''
+             WHEN 6 THEN 'not-a-date'
+             ELSE date_format(o_orderdate, 'yyyy-M-d') END AS text""",
+    )
+    return texts.select("id", partial_date("text").alias("released"))
+
+
+@register
+def loose_years(c):
+    """Cast of loose text to a number, as in cached years."""
+    texts = c.table("orders").selectExpr(
+        "o_orderkey AS id",
+        """CASE o_orderkey % 4 WHEN 0 THEN CAST(year(o_orderdate) AS STRING) || 'x'
+             WHEN 1 THEN 'x' WHEN 2 THEN NULL ELSE ' ' || CAST(o_orderkey AS STRING) END AS text""",
+    )
+    return texts.select("id", leading_int("text").alias("year"))
+
+
+# -------------------------------------------------------------------- sampling
+@register
+def sample_closed_subset(c):
+    """Keys of every table in the sampled subset."""
+    subset = sampling.closed_subset(c.tables())
+    keys = {
+        "users": ["id"], "artists": ["id"], "labels": ["id"], "masters": ["id"],
+        "releases": ["id"], "release_artists": ["release_id", "artist_id", "role"],
+        "release_labels": ["release_id", "label_id", "catalog_number"],
+        "tracks": ["release_id", "position", "title"], "user_collection": ["instance_id"],
+    }
+    return reduce(
+        DataFrame.unionByName,
+        [
+            subset[name].select(
+                F.lit(name).alias("table_name"),
+                F.concat_ws(":", *[F.col(k).cast("string") for k in key]).alias("row_key"),
+            )
+            for name, key in keys.items()
+        ],
+    )
