@@ -36,7 +36,7 @@ def land_dump(
     """Parse a dump once into Parquet; raises if it is cut off or has too many bad records."""
     spark = store.spark
     counters, roots = Observation("counters"), Observation("roots")
-    whole = kind in xml_dumps.FRAGMENTS
+    whole = kind in xml_dumps.RECORD_TAGS
     records = xml_dumps.read_records(spark, path, kind, gzip_partitions, roots if whole else None)
     observed = records.observe(counters, *quality.load_counters(F.col("valid")))
     landing = store.landing(kind, snapshot)

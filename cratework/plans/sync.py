@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratework.operators.merge import insert_ignore, last_per_key, upsert
-from cratework.operators.quality import split_valid
+from cratework.operators.quality import rating_in_range, split_valid
 from cratework.sources.json_documents import has_release
 
 KEY = ["user_id", "instance_id"]
@@ -20,19 +20,24 @@ class Synced(NamedTuple):
     counters: DataFrame
 
 
+def is_valid_item() -> Column:
+    """An item names a release and its rating is in range."""
+    return has_release() & rating_in_range()
+
+
 def latest_items(items: DataFrame) -> DataFrame:
-    """Items with a release, one per user and instance: the one added last."""
-    valid, _ = split_valid(items, has_release())
+    """Valid items, one per user and instance: the one added last."""
+    valid, _ = split_valid(items, is_valid_item())
     return last_per_key(valid, KEY, F.struct("date_added", "release_id"))
 
 
 def sync_collection(stored: DataFrame, items: DataFrame, force: bool = False) -> Synced:
-    """The next collection, the items without a release and the counters.
+    """The next collection, the items that are not valid and the counters.
 
     A known item stays as it is; with ``force`` everything but its release and its
     creation time is taken from the new item.
     """
-    _, rejected = split_valid(items, has_release())
+    _, rejected = split_valid(items, is_valid_item())
     latest = latest_items(items)
     if force:
         collection = upsert(stored, latest, KEY, keep=("release_id", "created_at"))
@@ -54,7 +59,7 @@ def _shaped(items: DataFrame, stored: DataFrame) -> DataFrame:
 def sync_counters(stored: DataFrame, items: DataFrame, force: bool = False) -> DataFrame:
     """One row: added, updated, unchanged, errors."""
     known = stored.select(*KEY, F.lit(True).alias("_known"))
-    checked = items.select(*KEY, has_release().alias("_valid")).join(known, KEY, "left")
+    checked = items.select(*KEY, is_valid_item().alias("_valid")).join(known, KEY, "left")
     seen = F.col("_valid") & F.col("_known").isNotNull()
     none = F.lit(0).cast("bigint")
     return checked.agg(

@@ -31,14 +31,17 @@ def collection_items(pages: DataFrame, user_id: Column | int) -> DataFrame:
     """
     user = user_id if isinstance(user_id, Column) else F.lit(user_id)
     items = pages.select(F.explode("releases").alias("i"))
-    notes = F.when(~F.col("i.notes").isin("", "[]"), F.col("i.notes"))
+    listed = F.try_parse_json("i.notes").cast("string")
+    notes = F.when(F.col("i.notes").startswith("["), F.coalesce(listed, F.col("i.notes"))).otherwise(
+        F.col("i.notes")
+    )
     return items.select(
         user.cast("bigint").alias("user_id"),
         F.nullif("i.basic_information.id", F.lit(0).cast("bigint")).alias("release_id"),
         "i.folder_id",
         "i.instance_id",
         "i.rating",
-        notes.alias("notes"),
+        F.when(~notes.isin("", "[]"), notes).alias("notes"),
         iso_timestamp("i.date_added").alias("date_added"),
         "i.basic_information",
     )

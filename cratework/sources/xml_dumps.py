@@ -9,7 +9,6 @@ task; its fragments are spread over the cluster before any XML is parsed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -23,21 +22,8 @@ from cratework.operators.quality import LoadRejected
 KINDS = ("artists", "labels", "masters", "releases")
 
 
-@dataclass(frozen=True)
-class Fragment:
-    """How the records of a dump are cut out of its text."""
-
-    separator: str
-    opening: str
-    before: str
-    after: str
-
-
-FRAGMENTS = {
-    "artists": Fragment("</artist>", r"<artist[\s>]", "", "</artist>"),
-    "masters": Fragment("</master>", r"<master[\s>]", "", "</master>"),
-    "releases": Fragment("</release>", r"<release[\s>]", "", "</release>"),
-}
+# Record element of each dump whose records never nest an element of the same name.
+RECORD_TAGS = {"artists": "artist", "masters": "master", "releases": "release"}
 
 
 # ------------------------------------------------------------------ nested lists
@@ -248,8 +234,8 @@ def read_fragments(
     ``gzip_partitions`` spreads the fragments of unsplittable files. ``roots``
     observes ``opened`` and ``closed`` root elements, which differ if a file ends early.
     """
-    cut = FRAGMENTS[kind]
-    text = spark.read.option("lineSep", cut.separator).text(path)
+    tag = RECORD_TAGS[kind]
+    text = spark.read.option("lineSep", f"</{tag}>").text(path)
     if roots is not None:
         text = text.observe(
             roots,
@@ -258,10 +244,19 @@ def read_fragments(
         )
     if gzip_partitions:
         text = text.repartition(gzip_partitions)
-    start = F.regexp_instr("value", F.lit(cut.opening))
-    return text.where(start > 0).select(
-        F.concat(F.substring("value", start, F.length("value")), F.lit(cut.after)).alias("fragment")
+    # An opening tag that does not close itself starts the record; whatever closes
+    # itself before that is a record of its own, an empty one.
+    opening = f"<{tag}(?:\\s(?:[^<]*?[^/<])?)?>"
+    empty = f"<{tag}(?:\\s[^<]*?)?/>"
+    start = F.regexp_instr("value", F.lit(opening))
+    size = F.length("value")
+    before = F.when(start > 0, F.substring("value", F.lit(1), start - 1)).otherwise(F.col("value"))
+    record = F.concat(F.substring("value", start, size), F.lit(f"</{tag}>"))
+    pieces = F.concat(
+        F.regexp_extract_all(before, F.lit(empty), F.lit(0)),
+        F.when(start > 0, F.array(record)).otherwise(F.array().cast("array<string>")),
     )
+    return text.select(F.explode(pieces).alias("fragment"))
 
 
 def check_roots(opened: int, closed: int) -> None:

@@ -15,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from cratework import schemas
 from cratework.operators.merge import insert_new
 from cratework.operators.quality import split_valid
-from cratework.plans.sync import KEY, latest_items
-from cratework.sources.json_documents import collection_items, has_release
+from cratework.plans.sync import KEY, is_valid_item, latest_items
+from cratework.sources.json_documents import collection_items
 
 ITEM = schemas.TABLES["user_collection"]
 
@@ -42,7 +42,7 @@ def start_sync(
 ) -> StreamingQuery:
     """Append new items below ``root``; ``stored`` seeds the collection on the first start.
 
-    Items without a release go to ``rejected``. Checkpoint and data share ``root``,
+    Items that are not valid go to ``rejected``. Checkpoint and data share ``root``,
     as batch numbers are only meaningful together.
     """
     spark = items.sparkSession
@@ -62,7 +62,7 @@ def start_sync(
         new = insert_new(earlier, latest_items(batch), KEY)
         new = new.withColumn("created_at", F.current_timestamp())
         new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        _, rejected = split_valid(batch, has_release())
+        _, rejected = split_valid(batch, is_valid_item())
         rejected.write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id}")
 
     writer = items.writeStream.foreachBatch(apply).option(
