@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from cratework.functions.text import strip
 
-# Date shapes tried in this order.
-PARTIAL_DATE_FORMATS = ("yyyy-M-d", "yyyy-M", "yyyy")
-
-
 def partial_date(value: Column | str) -> Column:
-    """Date of ``Y-m-d``, ``Y-m`` or ``Y``; missing parts are 1, bad dates are NULL."""
+    """Date of ``Y-m-d``, ``Y-m`` or ``Y``; missing parts are 1, bad dates are NULL.
+
+    Missing parts are appended, so that each text is parsed once.
+    """
     text = strip(value)
-    date = F.coalesce(*[F.try_to_date(text, fmt) for fmt in PARTIAL_DATE_FORMATS])
-    return F.when(F.year(date) >= 1, date)
+    missing = 2 - F.regexp_count(text, F.lit("-"))
+    whole = F.concat(text, F.repeat(F.lit("-1"), missing))
+    return F.when(~text.startswith("0000"), F.try_to_date(whole, "yyyy-M-d"))
 
 
 def iso_timestamp(value: Column | str) -> Column:

@@ -7,10 +7,11 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters counted as white space around a value.
-WHITESPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
-    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# The characters counted as white space around a value.
+ASCII_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+OTHER_SPACE = (
+    "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 
@@ -18,9 +19,19 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def is_ascii(value: Column | str) -> Column:
+    return F.octet_length(_col(value)) == F.char_length(_col(value))
+
+
 def strip(value: Column | str) -> Column:
-    """Text without surrounding white space of any kind."""
-    return F.btrim(_col(value), F.lit(WHITESPACE))
+    """Text without surrounding white space of any kind.
+
+    ASCII text, the common case, is only searched for the ASCII kinds.
+    """
+    text = _col(value)
+    return F.when(is_ascii(text), F.btrim(text, F.lit(ASCII_SPACE))).otherwise(
+        F.btrim(text, F.lit(ASCII_SPACE + OTHER_SPACE))
+    )
 
 
 def clean_text(value: Column | str) -> Column:
@@ -30,11 +41,17 @@ def clean_text(value: Column | str) -> Column:
 
 def safe_long(value: Column | str) -> Column:
     """Whole number from text, NULL when it is not one."""
-    return strip(_col(value).cast("string")).try_cast("bigint")
+    return _whole_number(value, "bigint")
 
 
 def safe_int(value: Column | str) -> Column:
-    return strip(_col(value).cast("string")).try_cast("int")
+    return _whole_number(value, "int")
+
+
+def _whole_number(value: Column | str, kind: str) -> Column:
+    """The cast skips plain white space itself; other kinds are stripped on a second try."""
+    text = _col(value)
+    return F.coalesce(text.try_cast(kind), strip(text).try_cast(kind))
 
 
 def leading_int(value: Column | str) -> Column:

@@ -32,17 +32,20 @@ def land_dump(
     snapshot: str,
     max_error_rate: float = 0.1,
     gzip_partitions: int | None = None,
+    split_labels: bool = False,
 ) -> DataFrame:
     """Parse a dump once into Parquet; raises if it is cut off or has too many bad records."""
     spark = store.spark
     counters, roots = Observation("counters"), Observation("roots")
-    whole = kind in xml_dumps.RECORD_TAGS
-    records = xml_dumps.read_records(spark, path, kind, gzip_partitions, roots if whole else None)
+    by_text = kind in xml_dumps.RECORD_TAGS or split_labels
+    records = xml_dumps.read_records(
+        spark, path, kind, gzip_partitions, roots if by_text else None, split_labels
+    )
     observed = records.observe(counters, *quality.load_counters(F.col("valid")))
     landing = store.landing(kind, snapshot)
     xml_dumps.accepted(observed).write.mode("overwrite").parquet(landing)
-    if whole:
-        xml_dumps.check_roots(roots.get["opened"], roots.get["closed"])
+    found = roots.get if by_text else xml_dumps.count_roots(spark, path, kind).first().asDict()
+    xml_dumps.check_roots(found["opened"], found["closed"])
     seen = counters.get
     if seen["processed"] == 0:
         raise quality.LoadRejected(f"no {kind} records in {path}")

@@ -1,22 +1,25 @@
 """XML catalogue dumps as typed rows.
 
 A dump is split at the closing tag of its records, so plain files are read by
-many tasks and one broken record spoils only itself. Labels nest a tag of the
-same name and are read record by record instead (one task per file) unless their
-opening tag marks records unambiguously. A gzip file is always unpacked by one
-task; its fragments are spread over the cluster before any XML is parsed.
+many tasks and one broken record spoils only itself. Label records nest elements
+of their own name; they are read with Spark's XML source, one task per file, or
+split at the bare opening tag where nested labels are known to carry an id. A
+gzip file is always unpacked by one task; its fragments are spread over the
+cluster before any XML is parsed.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cratework import schemas
-from cratework.functions import clean_text, dump_date, partial_date, safe_int, safe_long, strip
+from cratework.functions import clean_text, dump_date, partial_date, safe_int, safe_long
+from cratework.functions.text import is_ascii
 from cratework.operators.quality import LoadRejected
 
 KINDS = ("artists", "labels", "masters", "releases")
@@ -27,54 +30,52 @@ RECORD_TAGS = {"artists": "artist", "masters": "master", "releases": "release"}
 
 
 # ------------------------------------------------------------------ nested lists
-def _or_null(items: Column) -> Column:
-    """An empty list is stored as NULL."""
-    return F.when(F.size(items) > 0, items)
+def _text(value: Column | str) -> Column:
+    """Text of an element, NULL if blank.
+
+    The XML reader has removed plain white space already; only text with other
+    characters is searched again.
+    """
+    text = F.col(value) if isinstance(value, str) else value
+    return F.when(is_ascii(text), F.when(text != "", text)).otherwise(clean_text(text))
+
+
+def _bad_id(value: Column) -> Column:
+    return (F.coalesce(value, F.lit("")) != "") & safe_long(value).isNull()
 
 
 def _texts(items: str) -> Column:
-    cleaned = F.transform(F.col(items), clean_text)
-    return _or_null(F.filter(cleaned, lambda x: x.isNotNull()))
+    return F.filter(F.transform(F.col(items), _text), lambda x: x.isNotNull())
 
 
 def _aliases() -> Column:
     aliases = F.transform(
         F.col("aliases.name"),
-        lambda a: F.struct(
-            safe_long(a["_id"]).alias("id"), clean_text(a["_VALUE"]).alias("name")
-        ),
+        lambda a: F.struct(safe_long(a["_id"]).alias("id"), _text(a["_VALUE"]).alias("name")),
     )
-    return _or_null(F.filter(aliases, lambda a: a["name"].isNotNull()))
+    return F.filter(aliases, lambda a: a["name"].isNotNull())
 
 
 def _has_bad_alias() -> Column:
     """A named alias whose id is no number rejects the whole artist."""
     return F.exists(
-        F.col("aliases.name"),
-        lambda a: clean_text(a["_VALUE"]).isNotNull()
-        & (F.coalesce(a["_id"], F.lit("")) != "")
-        & safe_long(a["_id"]).isNull(),
+        F.col("aliases.name"), lambda a: _text(a["_VALUE"]).isNotNull() & _bad_id(a["_id"])
     )
 
 
 def _holds_something(item: Column, names: list[str]) -> Column:
-    return F.coalesce(*[item[name].cast("string") for name in names]).isNotNull()
+    return reduce(or_, [item[name].isNotNull() for name in names])
 
 
 def _credits(column: str) -> Column:
     """Credits with a bad id or nothing in them are dropped, those without an id kept."""
     texts = ["name", "anv", "join", "role", "tracks"]
-    usable = F.filter(
-        F.col(f"{column}.artist"),
-        lambda c: clean_text(c["id"]).isNull() | safe_long(c["id"]).isNotNull(),
-    )
+    usable = F.filter(F.col(f"{column}.artist"), lambda c: ~_bad_id(c["id"]))
     credits = F.transform(
         usable,
-        lambda c: F.struct(
-            safe_long(c["id"]).alias("id"), *[clean_text(c[t]).alias(t) for t in texts]
-        ),
+        lambda c: F.struct(safe_long(c["id"]).alias("id"), *[_text(c[t]).alias(t) for t in texts]),
     )
-    return _or_null(F.filter(credits, lambda c: _holds_something(c, ["id", *texts])))
+    return F.filter(credits, lambda c: _holds_something(c, ["id", *texts]))
 
 
 def _release_labels() -> Column:
@@ -86,7 +87,7 @@ def _release_labels() -> Column:
             F.nullif(r["_catno"], F.lit("")).alias("catno"),
         ),
     )
-    return _or_null(F.filter(refs, lambda r: _holds_something(r, ["id", "name", "catno"])))
+    return F.filter(refs, lambda r: _holds_something(r, ["id", "name", "catno"]))
 
 
 def _formats() -> Column:
@@ -97,34 +98,39 @@ def _formats() -> Column:
             F.coalesce(item["description"], F.array()),
             F.coalesce(item["descriptions"]["description"], F.array()),
         )
-        descriptions = F.filter(F.transform(every, clean_text), lambda d: d.isNotNull())
         return F.struct(
             item["_name"].alias("name"),
             item["_qty"].alias("qty"),
             item["_text"].alias("text"),
-            _or_null(descriptions).alias("descriptions"),
+            F.filter(F.transform(every, _text), lambda d: d.isNotNull()).alias("descriptions"),
         )
 
-    return _or_null(F.transform(F.col("formats.format"), one))
+    described = F.transform(F.col("formats.format"), one)
+    return F.transform(
+        described,
+        lambda f: f.withField(
+            "descriptions", F.when(F.size(f["descriptions"]) > 0, f["descriptions"])
+        ),
+    )
 
 
 def _tracklist() -> Column:
     tracks = F.transform(
         F.col("tracklist.track"),
         lambda t: F.struct(
-            clean_text(t["position"]).alias("position"),
-            clean_text(t["title"]).alias("title"),
-            clean_text(t["duration"]).alias("duration"),
+            _text(t["position"]).alias("position"),
+            _text(t["title"]).alias("title"),
+            _text(t["duration"]).alias("duration"),
             F.nullif(t["_type"], F.lit("")).alias("type_"),
         ),
     )
     names = ["position", "title", "duration", "type_"]
-    return _or_null(F.filter(tracks, lambda t: _holds_something(t, names)))
+    return F.filter(tracks, lambda t: _holds_something(t, names))
 
 
 def _sublabels() -> Column:
     ids = F.transform(F.col("sublabels.label"), lambda s: safe_long(s["_id"]))
-    return _or_null(F.filter(ids, lambda i: i.isNotNull()))
+    return F.filter(ids, lambda i: i.isNotNull())
 
 
 # -------------------------------------------------------------- record to columns
@@ -132,10 +138,10 @@ def _columns(kind: str) -> dict[str, Column]:
     if kind == "artists":
         return {
             "id": safe_long("id"),
-            "name": clean_text("name"),
-            "real_name": clean_text("realname"),
-            "profile": clean_text("profile"),
-            "data_quality": clean_text("data_quality"),
+            "name": _text("name"),
+            "real_name": _text("realname"),
+            "profile": _text("profile"),
+            "data_quality": _text("data_quality"),
             "urls": _texts("urls.url"),
             "name_variations": _texts("namevariations.name"),
             "aliases": _aliases(),
@@ -143,10 +149,10 @@ def _columns(kind: str) -> dict[str, Column]:
     if kind == "labels":
         return {
             "id": safe_long("id"),
-            "name": clean_text("name"),
-            "contact_info": clean_text("contactinfo"),
-            "profile": clean_text("profile"),
-            "data_quality": clean_text("data_quality"),
+            "name": _text("name"),
+            "contact_info": _text("contactinfo"),
+            "profile": _text("profile"),
+            "data_quality": _text("data_quality"),
             "parent_label_id": safe_long("parentLabel._id"),
             "subsidiaries": _sublabels(),
             "urls": _texts("urls.url"),
@@ -154,23 +160,23 @@ def _columns(kind: str) -> dict[str, Column]:
     if kind == "masters":
         return {
             "id": safe_long("_id"),
-            "title": clean_text("title"),
+            "title": _text("title"),
             "main_release_id": safe_long("main_release"),
             "year": safe_int("year"),
-            "data_quality": clean_text("data_quality"),
-            "notes": clean_text("notes"),
+            "data_quality": _text("data_quality"),
+            "notes": _text("notes"),
             "genres": _texts("genres.genre"),
             "styles": _texts("styles.style"),
         }
     return {
         "id": safe_long("_id"),
         "master_id": safe_long("master_id"),
-        "title": clean_text("title"),
+        "title": _text("title"),
         "year": safe_int("year"),
-        "country": clean_text("country"),
+        "country": _text("country"),
         "released": partial_date("released"),
-        "notes": clean_text("notes"),
-        "data_quality": clean_text("data_quality"),
+        "notes": _text("notes"),
+        "data_quality": _text("data_quality"),
         "status": F.col("_status"),
         "artists": _credits("artists"),
         "extraartists": _credits("extraartists"),
@@ -188,7 +194,7 @@ def _is_valid(kind: str) -> Column:
     conditions = [
         F.col("_corrupt").isNull(),
         safe_long(id_column).isNotNull(),
-        clean_text(text).isNotNull(),
+        _text(text).isNotNull(),
     ]
     if kind in ("artists", "labels"):
         conditions.append(safe_long(id_column) != 0)
@@ -208,13 +214,24 @@ def parse_fragments(fragments: DataFrame, kind: str, column: str = "fragment") -
         raw_schema(kind),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
     )
-    return fragments.select(record.alias("record")).select("record.*")
+    # Unpacked by a generator, so that each element is parsed once: a plain projection
+    # would be merged into, and repeated by, every expression that reads a field of it.
+    return fragments.select(F.inline(F.array(record)))
 
 
 def checked(raw: DataFrame, kind: str) -> DataFrame:
     """Typed catalogue columns plus ``valid``; both come from one pass over the records."""
     columns = [column.alias(name) for name, column in _columns(kind).items()]
-    return raw.select(*columns, _is_valid(kind).alias("valid"))
+    typed = raw.select(*columns, _is_valid(kind).alias("valid"))
+    # An empty list is stored as NULL.
+    return typed.select(
+        *[
+            F.when(F.size(f.name) > 0, F.col(f.name)).alias(f.name)
+            if isinstance(f.dataType, T.ArrayType)
+            else F.col(f.name)
+            for f in typed.schema.fields
+        ]
+    )
 
 
 def accepted(records: DataFrame) -> DataFrame:
@@ -222,6 +239,32 @@ def accepted(records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- files
+def _roots(kind: str) -> list[Column]:
+    return [
+        F.count_if(F.col("value").rlike(f"<{kind}[\\s>]")).alias("opened"),
+        F.count_if(F.col("value").contains(f"</{kind}>")).alias("closed"),
+    ]
+
+
+def count_roots(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
+    """``opened`` and ``closed`` root elements of a dump, in a pass of its own."""
+    return spark.read.text(path).agg(*_roots(kind))
+
+
+def _read_pieces(
+    spark: SparkSession,
+    path: str | list[str],
+    kind: str,
+    separator: str,
+    gzip_partitions: int | None,
+    roots: Observation | None,
+) -> DataFrame:
+    text = spark.read.option("lineSep", separator).text(path)
+    if roots is not None:
+        text = text.observe(roots, *_roots(kind))
+    return text.repartition(gzip_partitions) if gzip_partitions else text
+
+
 def read_fragments(
     spark: SparkSession,
     path: str | list[str],
@@ -234,29 +277,30 @@ def read_fragments(
     ``gzip_partitions`` spreads the fragments of unsplittable files. ``roots``
     observes ``opened`` and ``closed`` root elements, which differ if a file ends early.
     """
-    tag = RECORD_TAGS[kind]
-    text = spark.read.option("lineSep", f"</{tag}>").text(path)
-    if roots is not None:
-        text = text.observe(
-            roots,
-            F.count_if(F.col("value").rlike(f"<{kind}[\\s>]")).alias("opened"),
-            F.count_if(F.col("value").contains(f"</{kind}>")).alias("closed"),
+    if kind == "labels":
+        text = _read_pieces(spark, path, kind, "<label>", gzip_partitions, roots)
+        closed = F.substring_index("value", "</label>", -1)
+        return text.where(F.col("value").contains("</label>")).select(
+            F.concat(
+                F.lit("<label>"),
+                F.substring("value", F.lit(1), F.char_length("value") - F.char_length(closed)),
+            ).alias("fragment")
         )
-    if gzip_partitions:
-        text = text.repartition(gzip_partitions)
+    tag = RECORD_TAGS[kind]
+    text = _read_pieces(spark, path, kind, f"</{tag}>", gzip_partitions, roots)
     # An opening tag that does not close itself starts the record; whatever closes
     # itself before that is a record of its own, an empty one.
     opening = f"<{tag}(?:\\s(?:[^<]*?[^/<])?)?>"
     empty = f"<{tag}(?:\\s[^<]*?)?/>"
-    start = F.regexp_instr("value", F.lit(opening))
-    size = F.length("value")
-    before = F.when(start > 0, F.substring("value", F.lit(1), start - 1)).otherwise(F.col("value"))
-    record = F.concat(F.substring("value", start, size), F.lit(f"</{tag}>"))
+    found = text.select("value", F.regexp_instr("value", F.lit(opening)).alias("start"))
+    has_record = F.col("start") > 0
+    before = F.when(has_record, F.expr("substring(value, 1, start - 1)")).otherwise(F.col("value"))
+    record = F.concat(F.expr("substring(value, start)"), F.lit(f"</{tag}>"))
     pieces = F.concat(
         F.regexp_extract_all(before, F.lit(empty), F.lit(0)),
-        F.when(start > 0, F.array(record)).otherwise(F.array().cast("array<string>")),
+        F.when(has_record, F.array(record)).otherwise(F.array().cast("array<string>")),
     )
-    return text.select(F.explode(pieces).alias("fragment"))
+    return found.select(F.explode(pieces).alias("fragment"))
 
 
 def check_roots(opened: int, closed: int) -> None:
@@ -271,22 +315,25 @@ def read_records(
     kind: str,
     gzip_partitions: int | None = None,
     roots: Observation | None = None,
+    split_labels: bool = False,
 ) -> DataFrame:
-    """Typed rows of a dump with a ``valid`` flag; nothing is rejected silently."""
-    if kind == "labels":
-        reader = (
-            spark.read.format("xml")
-            .option("rowTag", "label")
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt")
-            .schema(raw_schema(kind))
-        )
-        raw = reader.load(path)
-        if gzip_partitions:
-            raw = raw.repartition(gzip_partitions)
-    else:
-        raw = parse_fragments(read_fragments(spark, path, kind, gzip_partitions, roots), kind)
-    return checked(raw, kind)
+    """Typed rows of a dump with a ``valid`` flag; nothing is rejected silently.
+
+    ``split_labels`` reads label dumps in parallel. It needs nested labels to carry
+    an attribute; a record that breaks this rule comes out as not valid.
+    """
+    if kind in RECORD_TAGS or split_labels:
+        fragments = read_fragments(spark, path, kind, gzip_partitions, roots)
+        return checked(parse_fragments(fragments, kind), kind)
+    reader = (
+        spark.read.format("xml")
+        .option("rowTag", "label")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt")
+        .schema(raw_schema(kind))
+    )
+    raw = reader.load(path)
+    return checked(raw.repartition(gzip_partitions) if gzip_partitions else raw, kind)
 
 
 def read_dump(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:

@@ -138,12 +138,14 @@ def test_too_many_bad_records_publish_nothing(store, dumps):
     assert load.load_dump(store, path, "masters", max_error_rate=1.0)
 
 
-def test_truncated_dump_publishes_nothing(store, tmp_path):
-    path = tmp_path / "x_20250601_releases.xml"
-    path.write_text("<releases>" + release(1, 0) + "<release id='2'><title>cut")
+@pytest.mark.parametrize("kind", ["releases", "labels"])
+def test_truncated_dump_publishes_nothing(store, tmp_path, kind):
+    path = tmp_path / f"x_20250601_{kind}.xml"
+    record = release(1, 0) if kind == "releases" else "<label><id>1</id><name>L</name></label>"
+    path.write_text(f"<{kind}>{record}" + record[:20])
     with pytest.raises(LoadRejected):
-        load.load_dump(store, str(path), "releases")
-    assert store.read("releases").isEmpty()
+        load.load_dump(store, str(path), kind)
+    assert store.read(kind).isEmpty()
 
 
 def test_repeated_ids_in_a_dump_give_one_row(store, dumps):

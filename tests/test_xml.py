@@ -71,6 +71,17 @@ def test_labels_keep_nested_labels(spark, tmp_path):
     assert rows[2]["parent_label_id"] is None and rows[2]["subsidiaries"] is None
 
 
+def test_split_labels(spark, tmp_path):
+    nested = LABELS.replace("<label>C</label>", '<label id="9">C</label>')
+    whole = records(spark, tmp_path, "labels", nested)
+    split = records(spark, tmp_path, "labels", nested, split_labels=True)
+    assert good(split) == good(whole) and good(split)[1]["subsidiaries"] == [456, 9]
+    assert split.where("not valid").count() == 1
+    # A nested label without an attribute is noticed, not lost.
+    broken = records(spark, tmp_path, "labels", LABELS, split_labels=True)
+    assert sorted(good(broken)) == [2] and broken.where("not valid").count() == 3
+
+
 MASTERS = """
 <master id="10"><main_release>100</main_release><artists><artist><id>1</id></artist></artists>
   <genres><genre>Rock</genre></genres><styles><style>Pop</style><style/></styles>
