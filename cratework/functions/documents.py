@@ -57,5 +57,5 @@ def reference_id(value: Column | str) -> Column:
         F.nullif(F.get_json_object(text, "$.text"), F.lit("")),
         F.get_json_object(text, "$.value"),
     )
-    plain = safe_long(text)
-    return F.nullif(F.coalesce(plain, safe_long(nested)), F.lit(0).cast("bigint"))
+    number = F.when(text.startswith("{"), safe_long(nested)).otherwise(safe_long(text))
+    return F.nullif(number, F.lit(0).cast("bigint"))

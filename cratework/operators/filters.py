@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cratework.operators.joins import keep_keys, left_lookup, owned_release_ids
+from cratework.session import written
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,8 @@ def selective(
     stored_releases: DataFrame | None = None,
 ) -> DataFrame:
     """Collection, then its masters, then capped releases of its artists and labels."""
-    flagged = flag_collection(releases, user_collection, stored_releases)
+    # Read three times below, so it is written once: two flags per release id.
+    flagged = written(flag_collection(releases, user_collection, stored_releases))
     keep = F.col("owned")
     if strategy.include_master_releases:
         keep = keep | F.col("via_master")

@@ -79,14 +79,20 @@ def release_country(releases: DataFrame, masters: DataFrame) -> DataFrame:
 
 def _known_users(user_collection: DataFrame, users: DataFrame) -> DataFrame:
     return keep_keys(
-        user_collection.select("user_id", "release_id", "rating", "date_added"),
+        user_collection.select("user_id", "instance_id", "release_id", "rating", "date_added"),
         users, "user_id", "id",
     )
 
 
+# Last sort keys of listings with a row per copy. Without them all copies of one
+# release, or all copies of unknown releases, would sort into one partition.
+COPY_KEYS = ("user_id", "instance_id")
+
+
 def _per_copy(found: DataFrame, user_collection: DataFrame) -> DataFrame:
     """One row per collection row of the found releases, with rating and date."""
     copies = user_collection.select(
+        *COPY_KEYS,
         F.col("release_id").alias("_owned"),
         "rating",
         F.col("date_added").alias("added_to_collection"),
@@ -142,12 +148,12 @@ def artist_holdings(
     found = left_lookup(found, lookup, "master_id", "_master", "release_id")
     return (
         _per_copy(found, items)
+        .orderBy("release_year", "release_date", "release_title", "release_id", *COPY_KEYS)
         .select(
             "release_id", "release_title", "release_country", "release_year", "release_date",
             F.col("known_master").alias("master_id"), "master_title", "master_year",
             "master_country", "rating", "added_to_collection",
         )
-        .orderBy("release_year", "release_date", "release_title", "release_id")
     )
 
 
@@ -188,12 +194,12 @@ def first_press(
     )
     return (
         _per_copy(first, items)
+        .orderBy("master_year", "release_title", "release_id", *COPY_KEYS)
         .select(
             "release_id", "release_title", "release_country", "release_year", "release_date",
             "master_id", "master_title", "master_year", "master_country",
             status.alias("country_match_status"), "rating", "added_to_collection",
         )
-        .orderBy("master_year", "release_title", "release_id")
     )
 
 
@@ -243,7 +249,7 @@ def originality(
         .otherwise("Uncertain")
         .alias("assessment"),
     )
-    copies = user_collection.select(F.col("release_id").alias("_owned"))
+    copies = user_collection.select(F.col("release_id").alias("_owned"), *COPY_KEYS)
     score = (
         F.col("same_year_score")
         + F.col("main_release_score")
@@ -251,13 +257,13 @@ def originality(
         + F.col("format_score")
     )
     return (
-        parts.join(copies, F.col("release_id") == F.col("_owned"))
+        parts.withColumn("originality_score", score)
+        .join(copies, F.col("release_id") == F.col("_owned"))
+        .orderBy(F.desc("originality_score"), "release_year", "release_id", *COPY_KEYS)
         .select(
             "release_id", "title", "release_year", "master_year", "country", "same_year_score",
-            "notes_score", "format_score", "main_release_score",
-            score.alias("originality_score"), "assessment",
+            "notes_score", "format_score", "main_release_score", "originality_score", "assessment",
         )
-        .orderBy(F.desc("originality_score"), "release_year", "release_id")
     )
 
 
@@ -285,7 +291,7 @@ def collection_audit(
         "main_release_id",
     )
     known = left_lookup(owned, lookup, "master_id", "_master", "id")
-    copies = user_collection.select("release_id")
+    copies = user_collection.select("release_id", *COPY_KEYS)
     rows = copies.join(known, F.col("release_id") == F.col("id"), "left")
     year, master_year = F.col("release_year"), F.col("master_year")
     status = (
@@ -304,10 +310,14 @@ def collection_audit(
         .when(year != master_year, "Different years")
         .otherwise("Included in strict query")
     )
-    return rows.select(
-        "id", "title", "release_year", "master_year", "country",
-        status.alias("status"), reason.alias("exclusion_reason"),
-    ).orderBy("status", "release_year", "id")
+    return (
+        rows.withColumn("status", status)
+        .withColumn("exclusion_reason", reason)
+        .orderBy("status", "release_year", "id", *COPY_KEYS)
+        .select(
+            "id", "title", "release_year", "master_year", "country", "status", "exclusion_reason"
+        )
+    )
 
 
 def label_parents(labels: DataFrame) -> DataFrame:

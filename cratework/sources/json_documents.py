@@ -19,8 +19,7 @@ def read_pages(
 
 def parse_pages(text: DataFrame, column: str = "value") -> DataFrame:
     """Collection pages from JSON text."""
-    page = F.from_json(F.col(column), schemas.JSON_PAGE)
-    return text.select(page.alias("page")).select("page.*")
+    return text.select(F.inline(F.array(F.from_json(F.col(column), schemas.JSON_PAGE))))
 
 
 def collection_items(pages: DataFrame, user_id: Column | int) -> DataFrame:
@@ -118,5 +117,6 @@ def read_documents(
 
 def parse_documents(text: DataFrame, kind: str, column: str = "value") -> DataFrame:
     """Rows of entity documents held as JSON text."""
+    # Unpacked by a generator, so that each document is parsed once.
     document = F.from_json(F.col(column), schemas.JSON_DOCUMENTS[kind])
-    return ROWS[kind](text.select(document.alias("document")).select("document.*"))
+    return ROWS[kind](text.select(F.inline(F.array(document))))

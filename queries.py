@@ -15,7 +15,7 @@ from cratework.operators import shred as shredding
 from cratework.operators.joins import owned_release_ids
 from cratework.operators.sinks import metric_rows
 from cratework.plans import collaborations, collection, pressings, registry, sync
-from cratework.session import shared_folder
+from cratework.session import shared_folder, spread
 from cratework.sources import json_documents, xml_dumps
 from cratework.sources.star_schema import StarSchemaCatalogue
 from cratework.streaming import collection_stream
@@ -288,7 +288,7 @@ def prune_report(c):
 # ------------------------------------------------------------------ landed JSON
 def _pages(c):
     """One collection page per order: a single item, its notes a list, text or absent."""
-    return c.table("orders").selectExpr(
+    return spread(c.table("orders")).selectExpr(
         """concat('{"pagination":{"page":1,"pages":1,"per_page":1,"items":1},"releases":[{"id":',
              CAST(o_orderkey AS STRING), ',"instance_id":', CAST(o_orderkey AS STRING),
              ',"date_added":"', date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:00:00-07:00"',
@@ -365,7 +365,7 @@ def ensure_users(c):
 
 @register
 def json_artists(c):
-    text = c.table("part").selectExpr(
+    text = spread(c.table("part")).selectExpr(
         """concat('{"id":', CAST(p_partkey AS STRING), ',"name":"', p_name, '","realname":"',
              p_brand, '","namevariations":["', p_type, '"],"members":[{"id":7,"name":"M"}]}')
            AS value"""
@@ -379,7 +379,7 @@ def json_artists(c):
 
 @register
 def json_labels(c):
-    text = c.table("supplier").selectExpr(
+    text = spread(c.table("supplier")).selectExpr(
         """concat('{"id":', CAST(s_suppkey AS STRING), ',"name":"', s_name,
              '","sublabels":[{"id":', CAST(s_suppkey + 1 AS STRING),
              ',"name":"a"},{"id":', CAST(s_suppkey + 2 AS STRING), '}]}') AS value"""
@@ -394,7 +394,7 @@ def json_labels(c):
 
 @register
 def json_masters(c):
-    text = c.table("customer").selectExpr(
+    text = spread(c.table("customer")).selectExpr(
         """concat('{"id":', CAST(c_custkey AS STRING), ',"title":"', c_name, '","year":',
              CAST(1990 + c_nationkey AS STRING), ',"main_release":', CAST(c_custkey * 2 AS STRING),
              ',"genres":["', c_mktsegment, '","Pop"]}') AS value"""
@@ -409,7 +409,7 @@ def json_masters(c):
 @register
 def json_releases(c):
     """Release documents whose credit ids are numbers, objects, or no numbers at all."""
-    text = c.table("orders").selectExpr(
+    text = spread(c.table("orders")).selectExpr(
         """concat('{"id":', CAST(o_orderkey AS STRING), ',"title":"Doc ',
              CAST(o_orderkey AS STRING), '","released":"', date_format(o_orderdate, 'yyyy-MM'),
              '","master_id":', CAST(o_custkey AS STRING), ',"artists":[{"id":',
@@ -431,7 +431,7 @@ def json_releases(c):
 # ------------------------------------------------------------------- landed XML
 def _release_records(c):
     """Release elements: some lack a title or a usable id, some are not well formed."""
-    fragments = c.table("orders").selectExpr(
+    fragments = spread(c.table("orders")).selectExpr(
         """concat('<release id="', CASE WHEN o_orderkey % 29 = 0 THEN 'x' ELSE '' END,
              CAST(o_orderkey AS STRING), '" status="Accepted"><title>',
              CASE WHEN o_orderkey % 37 = 0 THEN ' ' ELSE concat(' Café &amp; ',
@@ -476,7 +476,7 @@ def xml_quality_gate(c):
 @register
 def xml_artists(c):
     """Artist elements; a named alias with a bad id rejects its artist."""
-    fragments = c.table("part").selectExpr(
+    fragments = spread(c.table("part")).selectExpr(
         """concat('<artist><id>', CAST(p_partkey AS STRING), '</id><name>\n ', p_name,
              ' </name><realname></realname><urls><url>u1</url><url/></urls><aliases><name id="',
              CASE WHEN p_partkey % 17 = 0 THEN 'bad' ELSE CAST(p_partkey AS STRING) END, '">',
@@ -492,7 +492,7 @@ def xml_artists(c):
 
 @register
 def xml_labels(c):
-    fragments = c.table("supplier").selectExpr(
+    fragments = spread(c.table("supplier")).selectExpr(
         """concat('<label><id>', CAST(s_suppkey AS STRING), '</id><name>', s_name,
              '</name><parentLabel id="', CASE WHEN s_suppkey % 3 = 0 THEN 'bad' ELSE
                CAST(s_nationkey AS STRING) END, '">P</parentLabel><sublabels><label id="',
@@ -508,7 +508,7 @@ def xml_labels(c):
 
 @register
 def xml_masters(c):
-    fragments = c.table("customer").selectExpr(
+    fragments = spread(c.table("customer")).selectExpr(
         """concat('<master id="', CAST(c_custkey AS STRING), '"><main_release>',
              CASE WHEN c_custkey % 5 = 0 THEN 'bad' ELSE CAST(c_custkey * 2 AS STRING) END,
              '</main_release><title>', c_name, '</title><year>',

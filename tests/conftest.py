@@ -22,3 +22,14 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def small_jobs(spark):
+    """Few partitions and no generated code: faster for many jobs over a few rows."""
+    settings = {"spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.unset("spark.sql.codegen.wholeStage")

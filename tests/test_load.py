@@ -9,6 +9,8 @@ from cratework.operators.quality import LoadRejected
 from cratework.plans import load
 from cratework.sources.snapshots import SnapshotStore
 
+pytestmark = pytest.mark.usefixtures("small_jobs")
+
 
 def dump(folder, kind, body, day="20250601"):
     path = folder / f"x_{day}_{kind}.xml.gz"

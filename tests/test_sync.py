@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cratework import schemas
@@ -8,6 +9,8 @@ from cratework.plans import sync
 from cratework.sources import json_documents
 from cratework.streaming import collection_stream
 
+pytestmark = pytest.mark.usefixtures("small_jobs")
+
 USER = 1
 
 
