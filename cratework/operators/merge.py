@@ -54,14 +54,22 @@ def refresh(
     return upsert(stored, stamped, key, keep=("created_at",))
 
 
-def insert_new(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``incoming`` whose key is not stored, one per key."""
-    return incoming.dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+def insert_new(
+    stored: DataFrame, incoming: DataFrame, key: list[str], unique: bool = False
+) -> DataFrame:
+    """Rows of ``incoming`` whose key is not stored, one per key.
+
+    ``unique`` says that ``incoming`` has one row per key already.
+    """
+    rows = incoming if unique else incoming.dropDuplicates(key)
+    return rows.join(stored.select(*key), key, "left_anti")
 
 
-def insert_ignore(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+def insert_ignore(
+    stored: DataFrame, incoming: DataFrame, key: list[str], unique: bool = False
+) -> DataFrame:
     """Append rows with a new key; a stored row always wins."""
-    new = insert_new(stored, incoming, key)
+    new = insert_new(stored, incoming, key, unique)
     return stored.unionByName(new.select(*stored.columns))
 
 

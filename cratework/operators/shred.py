@@ -65,7 +65,7 @@ def shred_artists(releases: DataFrame) -> DataFrame:
         _credits("extraartists", 1, lambda credit: F.coalesce(credit["role"], F.lit(""))),
     )
     usable = F.filter(every, lambda c: c["artist_id"].isNotNull() & (c["artist_id"] != 0))
-    rows = releases.select(F.col("id").alias("release_id"), F.array_sort(usable).alias("credits"))
+    rows = releases.select(F.col("id").alias("release_id"), F.sort_array(usable).alias("credits"))
     first = _without_repeats(F.col("credits"), "artist_id", "role")
     return rows.select("release_id", F.explode(first).alias("c")).select(
         "release_id", "c.artist_id", "c.role", "c.name", "c.anv", "c.join_relation", "c.tracks"

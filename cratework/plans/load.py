@@ -1,4 +1,8 @@
-"""Dump loads: land, check, filter, merge, shred, publish."""
+"""Jobs over the stored tables.
+
+Dump loads (land, check, filter, merge, shred, publish), merges of landed entity
+documents, and the collection sync.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +21,10 @@ from cratework.operators.merge import (
     refresh,
     replace_children,
 )
+from cratework.operators.missing import missing_entities
 from cratework.operators.shred import Shredded, shred
-from cratework.sources import xml_dumps
+from cratework.plans.sync import ensure_users, sync_collection
+from cratework.sources import json_documents, xml_dumps
 from cratework.sources.snapshots import SnapshotStore
 
 ARTIST_LINK = ["release_id", "artist_id", "role"]
@@ -54,12 +60,17 @@ def land_dump(
 
 
 def provenance(
-    data_sources: DataFrame, kind: str, file_name: str, loaded: DataFrame, snapshot: str
+    data_sources: DataFrame,
+    kind: str,
+    file_name: str,
+    loaded: DataFrame,
+    snapshot: str,
+    source_name: str = "xml_dump",
 ) -> DataFrame:
     """The provenance table with a row for this load."""
     row = loaded.agg(F.count("*").alias("record_count")).select(
         F.lit(kind).alias("source_type"),
-        F.lit("xml_dump").alias("source_name"),
+        F.lit(source_name).alias("source_name"),
         F.current_timestamp().alias("last_updated"),
         F.lit(file_name).alias("file_name"),
         "record_count",
@@ -70,13 +81,13 @@ def provenance(
 
 
 def merged_links(store: SnapshotStore, parts: Shredded) -> dict[str, DataFrame]:
-    """Next states of the link and track tables."""
+    """Next states of the link and track tables; shredded links are unique already."""
     return {
         "release_artists": insert_ignore(
-            store.read("release_artists"), parts.release_artists, ARTIST_LINK
+            store.read("release_artists"), parts.release_artists, ARTIST_LINK, unique=True
         ),
         "release_labels": insert_ignore(
-            store.read("release_labels"), parts.release_labels, LABEL_LINK
+            store.read("release_labels"), parts.release_labels, LABEL_LINK, unique=True
         ),
         "tracks": replace_children(store.read("tracks"), parts.tracks, "release_id"),
     }
@@ -120,14 +131,15 @@ def load_dump(
             stored,
         )
     incoming = one_per_key(landed, ["id"])
+    counted = landed
     if kind == "releases":
         # Filtered and made unique once, then read by the merge and by the shredding.
         kept = f"{store.landing(kind, snapshot)}_kept"
         incoming.write.mode("overwrite").parquet(kept)
-        incoming = store.spark.read.parquet(kept)
+        incoming = counted = store.spark.read.parquet(kept)
         tables.update(merged_links(store, shred(incoming)))
     tables[kind] = refresh(stored, incoming, ["id"])
-    tables["data_sources"] = provenance(sources, kind, file_name, incoming, snapshot)
+    tables["data_sources"] = provenance(sources, kind, file_name, counted, snapshot)
     store.replace(tables)
     return True
 
@@ -152,6 +164,61 @@ def load_all(
     return done
 
 
+def merge_documents(
+    store: SnapshotStore, path: str, kind: str, json_lines: bool = False
+) -> None:
+    """Merge landed entity documents into their table; releases are shredded as well."""
+    snapshot = uuid.uuid4().hex
+    landing = store.landing(kind, snapshot)
+    rows = json_documents.read_documents(store.spark, path, kind, json_lines)
+    one_per_key(rows, ["id"]).write.mode("overwrite").parquet(landing)
+    incoming = store.spark.read.parquet(landing)
+    tables = merged_links(store, shred(incoming)) if kind == "releases" else {}
+    tables[kind] = refresh(store.read(kind), incoming, ["id"])
+    tables["data_sources"] = provenance(
+        store.read("data_sources"), kind, path, incoming, snapshot, "api"
+    )
+    store.replace(tables)
+
+
+def sync_pages(
+    store: SnapshotStore, path: str, username: str, force: bool = False, json_lines: bool = False
+) -> DataFrame:
+    """Sync a user's landed collection pages; returns the entities named but not stored."""
+    spark = store.spark
+    names = spark.createDataFrame([(username,)], "username string")
+    users = ensure_users(store.read("users"), names)
+    store.replace({"users": users.withColumn("created_at", F.coalesce("created_at", F.now()))})
+    user_id = store.read("users").where(F.col("username") == username).first()["id"]
+    snapshot = uuid.uuid4().hex
+    landing = store.landing("collection", snapshot)
+    pages = json_documents.read_pages(spark, path, json_lines)
+    json_documents.collection_items(pages, user_id).write.mode("overwrite").parquet(landing)
+    items = spark.read.parquet(landing)
+    synced = sync_collection(store.read("user_collection"), items, force)
+    status = synced.counters.select(
+        F.lit(user_id).alias("user_id"),
+        F.lit("collection").alias("sync_type"),
+        F.current_timestamp().alias("last_sync"),
+        F.expr("added + updated + unchanged + errors").alias("records_processed"),
+        F.when(F.col("errors") > 0, "partial").otherwise("success").alias("status"),
+        F.when(F.col("errors") > 0, F.concat(F.col("errors").cast("string"), F.lit(" items rejected")))
+        .alias("error_message"),
+    )
+    store.replace(
+        {
+            "user_collection": synced.collection,
+            "sync_status": store.read("sync_status").unionByName(status),
+            "data_sources": provenance(
+                store.read("data_sources"), "collection", path, items, snapshot, "api"
+            ),
+        }
+    )
+    return missing_entities(
+        *[store.read(t) for t in ("user_collection", "releases", "artists", "labels", "masters")]
+    )
+
+
 def reprocess_links(store: SnapshotStore) -> None:
     """Shred every stored release again."""
     store.replace(merged_links(store, shred(store.read("releases"))))

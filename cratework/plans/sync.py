@@ -39,10 +39,12 @@ def sync_collection(stored: DataFrame, items: DataFrame, force: bool = False) ->
     """
     _, rejected = split_valid(items, is_valid_item())
     latest = latest_items(items)
+    if "created_at" in stored.columns:
+        latest = latest.withColumn("created_at", F.current_timestamp())
     if force:
         collection = upsert(stored, latest, KEY, keep=("release_id", "created_at"))
     else:
-        collection = insert_ignore(stored, _shaped(latest, stored), KEY)
+        collection = insert_ignore(stored, _shaped(latest, stored), KEY, unique=True)
     return Synced(collection, rejected, sync_counters(stored, items, force))
 
 

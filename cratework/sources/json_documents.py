@@ -55,12 +55,28 @@ def _empty_if_absent(*names: str) -> list[Column]:
 
 
 def _with_ids(column: str) -> Column:
-    """Credits or label references with their id read as a number."""
+    """Credits with their id read as a number."""
     return F.transform(
         F.coalesce(F.col(column), F.array()), lambda x: x.withField("id", reference_id(x["id"]))
     )
 
 
+def _label_refs() -> Column:
+    """Label references in the stored shape; the catalogue number has two spellings."""
+    return F.transform(
+        F.coalesce("labels", F.array()),
+        lambda x: F.struct(
+            reference_id(x["id"]).alias("id"),
+            x["name"].alias("name"),
+            F.coalesce(
+                F.nullif(x["catno"], F.lit("")),
+                F.nullif(x["catalog_number"], F.lit("")),
+                x["catno"],
+            ).alias("catno"),
+        ),
+    )
+
+
 def artist_rows(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("id") != 0).select(
         "id", "name", F.col("realname").alias("real_name"), "profile", "data_quality",
@@ -90,7 +106,9 @@ def release_rows(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("id").isNotNull()).select(
         "id", "title", "year", partial_date("released").alias("released"), "master_id", "country",
         "status", "data_quality",
-        *[_with_ids(name).alias(name) for name in ("artists", "extraartists", "labels")],
+        _with_ids("artists").alias("artists"),
+        _with_ids("extraartists").alias("extraartists"),
+        _label_refs().alias("labels"),
         *_empty_if_absent(
             "companies", "formats", "genres", "styles", "tracklist", "identifiers", "images",
             "videos",

@@ -59,7 +59,7 @@ def start_sync(
             .parquet(target)
             .where(F.col("batch") < batch_id)
         )
-        new = insert_new(earlier, latest_items(batch), KEY)
+        new = insert_new(earlier, latest_items(batch), KEY, unique=True)
         new = new.withColumn("created_at", F.current_timestamp())
         new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         _, rejected = split_valid(batch, is_valid_item())

@@ -252,7 +252,9 @@ def insert_ignore_artist_links(c):
 @register
 def insert_ignore_label_links(c):
     key = ["release_id", "label_id", "catalog_number"]
-    return merge.insert_ignore(c.release_labels, shredding.shred_labels(c.releases), key)
+    return merge.insert_ignore(
+        c.release_labels, shredding.shred_labels(c.releases), key, unique=True
+    )
 
 
 @register
@@ -423,7 +425,7 @@ def json_releases(c):
     return rows.select(
         "id", "title", "released", "master_id",
         F.get("artists", F.lit(0))["id"].alias("artist_id"),
-        F.get("labels", F.lit(0))["catalog_number"].alias("catalog_number"),
+        F.get("labels", F.lit(0))["catno"].alias("catalog_number"),
         F.size("tracklist").alias("track_count"),
     )
 

@@ -67,6 +67,40 @@ def test_hot_release_is_counted_in_full(spark):
     assert decades == {"1970s": 1, "1990s": 300}
 
 
+def test_copies_of_a_hot_release_are_split_over_tasks(spark, tmp_path):
+    """A third of all copies is one release; the join splits them, and keeps every row."""
+    spark.range(60000).selectExpr(
+        "id AS user_id", "id AS instance_id", "IF(id % 3 = 0, 5, id) AS release_id"
+    ).repartition(8).write.parquet(str(tmp_path / "items"))
+    owned = spark.read.parquet(str(tmp_path / "items"))
+    releases = spark.range(50000).selectExpr(
+        "id", "concat('title of ', id) AS title", "2000 AS year", "'UK' AS country",
+        "id % 100 AS master_id", "CAST(NULL AS DATE) AS released"
+    )
+    masters = spark.range(100).selectExpr("id", "2000 AS year", "id AS main_release_id")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        audit = pressings.collection_audit(releases, masters, owned)
+        sizes = audit.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        rows = audit.collect()
+        final = plan(audit).split("== Initial Plan ==")[0]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert "skew=true" in final
+    assert len(rows) == 60000 and sum(r["id"] == 5 for r in rows) == 20001
+    # The sorted listing is spread too, although a third of it is one release.
+    assert max(r["count"] for r in sizes) < 20000
+
+
 # ---------------------------------------------------------------------- analyses
 def test_collaborations_equal_the_pairwise_definition(spark):
     rng = random.Random(1)
