@@ -23,6 +23,24 @@ MAIN_RELEASE = 2
 NOTES_PENALTY = -1
 FORMAT_PENALTY = -1
 
+# Texts of the verdicts.
+COUNTRY_UNKNOWN = "Unknown"
+COUNTRY_MATCH = "Match"
+COUNTRY_DIFFERENT = "Different"
+IS_MAIN_RELEASE = "Main Release (Likely Original)"
+LIKELY_ORIGINAL = "Likely Original Press"
+LATER_PRESS = "Later Press/Reissue"
+UNCERTAIN = "Uncertain"
+NO_MASTER = "No Master Data"
+NO_YEARS = "Missing Year Data"
+SAME_YEAR_STATUS = "Same Year (Possible Original)"
+BEFORE_MASTER = "Pre-Master (Check Data Quality)"
+REASON_NO_MASTER = "No master relationship"
+REASON_NO_YEAR = "Missing release year"
+REASON_NO_MASTER_YEAR = "Missing master year"
+REASON_OTHER_YEAR = "Different years"
+REASON_NONE = "Included in strict query"
+
 
 def _any_word(text: Column, words: tuple[str, ...]) -> Column:
     """One scan for any of the words, ASCII case ignored."""
@@ -185,12 +203,10 @@ def first_press(
         master_countries(masters, releases),
         (F.col("master_id") == F.col("_master")) & (F.col("release_year") == F.col("master_year")),
     )
+    # NULL on either side makes the comparison NULL, which is neither true nor false.
+    same = F.col("release_country") == F.col("master_country")
     status = (
-        F.when(
-            F.col("release_country").isNull() | F.col("master_country").isNull(), F.lit("Unknown")
-        )
-        .when(F.col("release_country") == F.col("master_country"), F.lit("Match"))
-        .otherwise(F.lit("Different"))
+        F.when(same, COUNTRY_MATCH).when(~same, COUNTRY_DIFFERENT).otherwise(COUNTRY_UNKNOWN)
     )
     return (
         _per_copy(first, items)
@@ -231,7 +247,7 @@ def originality(
         ),
         F.col("master_id") == F.col("_master"),
     )
-    same_year = F.col("release_year") == F.col("master_year")
+    gap = F.col("release_year") - F.col("master_year")
     is_main = F.coalesce(F.col("id") == F.col("main_release_id"), F.lit(False))
     parts = with_master.select(
         F.col("id").alias("release_id"),
@@ -239,14 +255,14 @@ def originality(
         "release_year",
         "master_year",
         "country",
-        F.when(same_year, SAME_YEAR).otherwise(0).alias("same_year_score"),
+        F.when(gap == 0, SAME_YEAR).otherwise(0).alias("same_year_score"),
         F.when(F.col("reworked"), NOTES_PENALTY).otherwise(0).alias("notes_score"),
         F.when(F.col("repressed"), FORMAT_PENALTY).otherwise(0).alias("format_score"),
         F.when(is_main, MAIN_RELEASE).otherwise(0).alias("main_release_score"),
-        F.when(is_main, "Main Release (Likely Original)")
-        .when(same_year & ~F.col("reworked"), "Likely Original Press")
-        .when(F.col("release_year") > F.col("master_year"), "Later Press/Reissue")
-        .otherwise("Uncertain")
+        F.when(is_main, IS_MAIN_RELEASE)
+        .when(gap > 0, LATER_PRESS)
+        .when((gap == 0) & ~F.col("reworked"), LIKELY_ORIGINAL)
+        .otherwise(UNCERTAIN)
         .alias("assessment"),
     )
     copies = user_collection.select(F.col("release_id").alias("_owned"), *COPY_KEYS)
@@ -293,22 +309,26 @@ def collection_audit(
     known = left_lookup(owned, lookup, "master_id", "_master", "id")
     copies = user_collection.select("release_id", *COPY_KEYS)
     rows = copies.join(known, F.col("release_id") == F.col("id"), "left")
-    year, master_year = F.col("release_year"), F.col("master_year")
+    # The gap in years is NULL unless both years are known.
+    unmastered = F.col("known_master").isNull()
+    gap = F.col("release_year") - F.col("master_year")
+    by_year = (
+        F.when(gap == 0, SAME_YEAR_STATUS).when(gap < 0, BEFORE_MASTER).otherwise(LATER_PRESS)
+    )
     status = (
-        F.when(F.col("known_master").isNull(), "No Master Data")
-        .when(year.isNull() | master_year.isNull(), "Missing Year Data")
-        .when(F.col("id") == F.col("main_release_id"), "Main Release (Likely Original)")
-        .when(year == master_year, "Same Year (Possible Original)")
-        .when(year < master_year, "Pre-Master (Check Data Quality)")
-        .when(year > master_year, "Later Press/Reissue")
-        .otherwise("Unknown Status")
+        F.when(unmastered, NO_MASTER)
+        .when(gap.isNull(), NO_YEARS)
+        .when(F.col("id") == F.col("main_release_id"), IS_MAIN_RELEASE)
+        .otherwise(by_year)
+    )
+    missing_year = F.when(F.col("release_year").isNull(), REASON_NO_YEAR).otherwise(
+        REASON_NO_MASTER_YEAR
     )
     reason = (
-        F.when(F.col("known_master").isNull(), "No master relationship")
-        .when(year.isNull(), "Missing release year")
-        .when(master_year.isNull(), "Missing master year")
-        .when(year != master_year, "Different years")
-        .otherwise("Included in strict query")
+        F.when(unmastered, REASON_NO_MASTER)
+        .when(gap.isNull(), missing_year)
+        .when(gap == 0, REASON_NONE)
+        .otherwise(REASON_OTHER_YEAR)
     )
     return (
         rows.withColumn("status", status)
