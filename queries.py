@@ -322,7 +322,7 @@ def json_pages(c):
 def _stored_items(c):
     return c.user_collection.selectExpr(
         "1L AS user_id", "instance_id", "release_id", "folder_id", "rating", "notes",
-        "CAST(date_added AS TIMESTAMP) AS date_added",
+        "CAST(convert_timezone('UTC', current_timezone(), date_added) AS TIMESTAMP) AS date_added",
     )
 
 
