@@ -38,10 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     Unset, it is a folder in the warehouse, which all executors share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
