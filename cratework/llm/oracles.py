@@ -29,4 +29,38 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
-ORACLES = {"op7_exact_dedup": OP7, "op10_line_dedup": OP10}
+_WORDS = f"""regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                   '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"""
+
+OP8 = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark
+), s AS (
+  SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p
+  FROM b WHERE len(w) > 0
+), iw AS (
+  SELECT DISTINCT item, n, array_to_string(w[p : p + n - 1], ' ') AS win FROM s
+), sizes AS (
+  SELECT DISTINCT n FROM iw
+), dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+        FROM d, sizes WHERE len(w) >= n)
+), hit AS (
+  SELECT doc_id, item, n, p FROM dw JOIN iw USING (n, win)
+), words AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES = {"op7_exact_dedup": OP7, "op8_decontamination": OP8, "op10_line_dedup": OP10}
