@@ -9,9 +9,15 @@ from cratework.llm.common import table
 from cratework.llm.decontamination import contamination
 from cratework.llm.exact_dedup import exact_duplicates
 from cratework.llm.line_dedup import drop_repeated_lines
+from cratework.llm.order_minhash import near_duplicates
 from cratework.llm.toxicity import fit, held_out, score_toxicity
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "group_id", "group_size")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
