@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,25 @@ from cratework.llm.decontamination import contamination
 from cratework.llm.exact_dedup import exact_duplicates
 from cratework.llm.line_dedup import drop_repeated_lines
 from cratework.llm.order_minhash import near_duplicates
+from cratework.llm.sentencepiece_fst import round_trip
+from cratework.llm.token_counts import count_tokens
 from cratework.llm.toxicity import fit, held_out, score_toxicity
 
 
+#: The public SentencePiece model that the queries use; the operators take any path.
+MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, MODEL).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, MODEL).select("doc_id", "n_tokens", "n_unigram")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "group_id", "group_size")
@@ -50,6 +68,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
