@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cratework.llm.common import table
 from cratework.llm.decontamination import contamination
 from cratework.llm.exact_dedup import exact_duplicates
+from cratework.llm.html_text import extract_main_text
+from cratework.llm.license_scan import scan_licenses
 from cratework.llm.line_dedup import drop_repeated_lines
 from cratework.llm.order_minhash import near_duplicates
 from cratework.llm.sentencepiece_fst import round_trip
@@ -21,6 +23,11 @@ from cratework.llm.toxicity import fit, held_out, score_toxicity
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs).select("doc_id", "license", "coverage", "licenses")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return round_trip(docs, MODEL).select("doc_id", "n_tokens", "ids", "round_trip")
@@ -36,6 +43,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "group_id", "group_size")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,9 +80,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
