@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratework.llm.common import table
+from cratework.llm.compact_windows import repeated_passages
 from cratework.llm.decontamination import contamination
 from cratework.llm.exact_dedup import exact_duplicates
 from cratework.llm.html_text import extract_main_text
@@ -48,6 +49,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
     "op5_html_extraction": op5_html_extraction,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
