@@ -148,7 +148,7 @@ def contamination(
     sparks = docs.sparkSession.sparkContext
     hits = []
     for items in _shards(benchmark, item_id_column, item_text_column, automaton_bytes):
-        shared, token, name = sparks.broadcast(items), uuid.uuid4().hex, f"_hits{len(hits)}"
+        shared, token, name = sparks.broadcast(items), uuid.uuid4().hex, f"__llm_hits{len(hits)}"
 
         def prepare(shared=shared, token=token):
             if token not in _automata:

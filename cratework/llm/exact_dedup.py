@@ -87,8 +87,11 @@ def _key() -> Column:
 def drop_exact_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int = SALTS
 ) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    groups = exact_duplicates(docs, id_column, text_column, salts)
-    kept = groups.where("kept").select(F.col("keep_id").alias("_keep_id"))
-    same = F.col(id_column).eqNullSafe(F.col("_keep_id"))
-    return docs.join(kept.distinct(), same, "left_semi")
+    """One document of each group, that with the largest id, with all its columns."""
+    groups = exact_duplicates(docs, id_column, text_column, salts).where("kept")
+    kept = groups.select(F.col("keep_id").alias("__llm_id"), F.col("text_sha256").alias("__llm_text"))
+    marked = docs.withColumn("__llm_sha", F.sha2(folded(text_or_empty(text_column)), 256))
+    same = F.col(id_column).eqNullSafe(F.col("__llm_id"))
+    same &= F.col("__llm_sha") == F.col("__llm_text")
+    stays = marked.join(kept.distinct(), same, "left_semi")
+    return stays.dropDuplicates([id_column, "__llm_sha"]).drop("__llm_sha")

@@ -102,31 +102,31 @@ def drop_repeated_lines(
     """
     lines = written(line_hashes(docs, id_column, text_column, min_chars))
     bitmaps = keep_bitmaps(lines, frequent_hashes(lines, min_docs)).select(
-        F.col("doc_id").alias("_doc_id"),
-        F.col("text_mark").alias("_text_mark"),
-        F.col("keep").alias("_keep"),
-        F.col("n_dropped").alias("_n_dropped"),
+        F.col("doc_id").alias("__llm_doc_id"),
+        F.col("text_mark").alias("__llm_text_mark"),
+        F.col("keep").alias("__llm_keep"),
+        F.col("n_dropped").alias("__llm_n_dropped"),
     )
     text = text_or_empty(text_column)
     joined = docs.join(
         bitmaps,
-        F.col(id_column).eqNullSafe(F.col("_doc_id")) & (F.xxhash64(text) == F.col("_text_mark")),
+        F.col(id_column).eqNullSafe(F.col("__llm_doc_id")) & (F.xxhash64(text) == F.col("__llm_text_mark")),
         "left",
     )
     kept = F.array_join(F.filter(_lines(text), _stays), "\n")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
         *[
-            F.when(F.col("_keep").isNull(), text).otherwise(kept).alias(c)
+            F.when(F.col("__llm_keep").isNull(), text).otherwise(kept).alias(c)
             if c == text_column
             else F.col(c)
             for c in others
         ],
         F.size(_lines(text)).cast("bigint").alias("n_lines"),
-        F.coalesce("_n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce("__llm_n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
     )
 
 
 def _stays(line: Column, position: Column) -> Column:
-    word = F.get(F.col("_keep"), F.floor(position / WORD_BITS).cast("int"))
+    word = F.get(F.col("__llm_keep"), F.floor(position / WORD_BITS).cast("int"))
     return word.isNull() | (F.getbit(word, position % WORD_BITS) == 1)

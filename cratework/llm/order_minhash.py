@@ -260,9 +260,9 @@ def drop_near_duplicates(
     """One document of each group, that with the smallest id, with all its columns."""
     groups = near_duplicates(docs, id_column, text_column, **settings)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node"))
-    same = F.col(id_column).eqNullSafe(F.col("_kept_id"))
-    same &= F.unhex(F.md5(text_or_empty(text_column))) == F.col("_kept_node")
+    kept = kept.select(F.col("doc_id").alias("__llm_kept_id"), F.col("node").alias("__llm_kept_node"))
+    same = F.col(id_column).eqNullSafe(F.col("__llm_kept_id"))
+    same &= F.unhex(F.md5(text_or_empty(text_column))) == F.col("__llm_kept_node")
     stays = docs.join(kept.distinct(), same, "left_semi")
-    marked = stays.withColumn("_node", F.unhex(F.md5(text_or_empty(text_column))))
-    return marked.dropDuplicates([id_column, "_node"]).drop("_node")
+    marked = stays.withColumn("__llm_node", F.unhex(F.md5(text_or_empty(text_column))))
+    return marked.dropDuplicates([id_column, "__llm_node"]).drop("__llm_node")
