@@ -7,33 +7,30 @@ from pyspark.sql import functions as F
 
 from cratework.functions.text import strip
 
-# M+:SS, H+:MM:SS or S+; SS and MM are not range-checked.
-MINUTES_SHAPE = r"^\s*[0-9]+:[0-9]{2}\s*$"
-HOURS_SHAPE = r"^\s*[0-9]+:[0-9]{2}:[0-9]{2}\s*$"
-SECONDS_SHAPE = r"^\s*[0-9]+\s*$"
+# S+, M+:SS or H+:MM:SS; SS and MM are not range-checked.
+SHAPE = r"^[0-9]+(?::[0-9]{2}){0,2}$"
 
 
 def _parse(text: Column) -> Column:
-    first = F.substring_index(text, ":", 1).try_cast("bigint")
-    middle = F.substring_index(F.substring_index(text, ":", -2), ":", 1).try_cast("bigint")
-    last = F.substring_index(text, ":", -1).try_cast("bigint")
-    return (
-        F.when(text.rlike(MINUTES_SHAPE), F.try_add(F.try_multiply(first, F.lit(60)), last))
-        .when(
-            text.rlike(HOURS_SHAPE),
-            F.try_add(F.try_multiply(first, F.lit(3600)), middle * 60 + last),
-        )
-        .when(text.rlike(SECONDS_SHAPE), last)
+    """Each part counts sixty of the next; a number too large for a long gives NULL."""
+    seconds = F.aggregate(
+        F.split(text, ":"),
+        F.lit(0).cast("bigint"),
+        lambda total, part: F.try_add(
+            F.try_multiply(total, F.lit(60)), part.try_cast("bigint")
+        ),
     )
+    return F.when(text.rlike(SHAPE), seconds).try_cast("int")
 
 
 def duration_seconds(value: Column | str) -> Column:
     """``3:45`` -> 225, ``1:02:03`` -> 3723, ``45`` -> 45; anything else is NULL.
 
-    Text with unusual white space around it is stripped and tried again.
+    White space around the text is ignored. The text is stripped once: as the
+    element of a list it is a variable of what is computed from it.
     """
     text = F.col(value) if isinstance(value, str) else value
-    return F.coalesce(_parse(text), _parse(strip(text))).try_cast("int")
+    return F.get(F.transform(F.array(strip(text)), _parse), F.lit(0))
 
 
 def duration_text(value: Column | str) -> Column:

@@ -6,7 +6,7 @@ very many users is collapsed to a count before it is joined to anything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratework.functions.documents import list_column, struct_list_column
@@ -109,7 +109,8 @@ def favorite_decade(
         .groupBy(F.expr("(year div 10) * 10").alias("decade_start"))
         .agg(F.sum("votes").alias("release_count"))
     )
-    total = decades.agg(F.sum("release_count").alias("total")).scalar()
+    # One row per decade is left, so a window over all of them is no bottleneck.
+    total = F.sum("release_count").over(Window.partitionBy())
     return decades.select(
         "decade_start",
         F.concat(F.col("decade_start").cast("string"), F.lit("s")).alias("decade"),
@@ -165,11 +166,25 @@ def collection_summary(
         known = keep_keys(linked.select(key).distinct(), entities, key, "id")
         return row_total(known)
 
-    years = _copies_by_year(releases, masters, items, False)
-    return years.agg(
-        F.min("year").alias("earliest_year"), F.max("year").alias("latest_year")
+    # One row per owned release carries all that the years need of its copies.
+    cached = F.col("basic_information.year")
+    copies = items.groupBy("release_id").agg(
+        F.count("*").alias("copies"),
+        F.min(cached).alias("first_cached"),
+        F.max(cached).alias("last_cached"),
+    )
+    stored = releases.select("id", "master_id", F.year("released").alias("release_year"))
+    found = copies.join(stored, F.col("release_id") == F.col("id"), "left")
+    dated = left_lookup(found, _master_years(masters, False), "master_id", "_master", "release_id")
+    first = F.coalesce("release_year", "master_year", "first_cached")
+    last = F.coalesce("release_year", "master_year", "last_cached")
+    is_stored = F.col("id").isNotNull()
+    return dated.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("total_releases"),
+        F.min(F.when(is_stored, first)).alias("earliest_year"),
+        F.max(F.when(is_stored, last)).alias("latest_year"),
     ).select(
-        row_total(items).alias("total_releases"),
+        "total_releases",
         distinct_entities(release_artists, "artist_id", artists).alias("total_artists"),
         distinct_entities(release_labels, "label_id", labels).alias("total_labels"),
         "earliest_year",
@@ -216,19 +231,22 @@ def releases_by_label(
 
 def longest_tracks(tracks: DataFrame, releases: DataFrame, limit: int | None = 10) -> DataFrame:
     """release_title, track_title, duration, duration_seconds of the longest tracks."""
-    timed = tracks.where(F.col("duration_seconds").isNotNull())
-    joined = timed.select(
+    timed = tracks.where(F.col("duration_seconds").isNotNull()).select(
         "release_id", "position", F.col("title").alias("track_title"), "duration",
         "duration_seconds",
-    ).join(
+    )
+    order = [
+        F.desc("duration_seconds"), F.asc("release_id"), F.asc("position"), F.asc("track_title"),
+    ]
+    # The texts of releases are fetched for the winners alone.
+    best = top_k(keep_keys(timed, releases, "release_id", "id"), limit, *order)
+    titled = best.join(
         releases.select("id", F.col("title").alias("release_title")),
         F.col("release_id") == F.col("id"),
     )
-    best = top_k(
-        joined, limit, F.desc("duration_seconds"), F.asc("release_id"), F.asc("position"),
-        F.asc("track_title"),
+    return titled.orderBy(*order).select(
+        "release_title", "track_title", "duration", "duration_seconds"
     )
-    return best.select("release_title", "track_title", "duration", "duration_seconds")
 
 
 def multiple_copies(

@@ -42,16 +42,27 @@ REASON_OTHER_YEAR = "Different years"
 REASON_NONE = "Included in strict query"
 
 
+def verdict(rules: list[tuple[Column, str]], otherwise: str) -> Column:
+    """The text of the first rule that holds; a rule that is NULL doesn't."""
+    text = F.lit(otherwise)
+    for holds, found in reversed(rules):
+        text = F.when(holds, found).otherwise(text)
+    return text
+
+
 def _any_word(text: Column, words: tuple[str, ...]) -> Column:
     """One scan for any of the words, ASCII case ignored."""
     return text.rlike("(?i)" + "|".join(words))
 
 
-def master_countries(masters: DataFrame, releases: DataFrame) -> DataFrame:
+def master_countries(
+    masters: DataFrame, releases: DataFrame, wanted: DataFrame | None = None
+) -> DataFrame:
     """_master, master_title, master_year, main_release_id, master_country per master.
 
     The country is that of the main release; a master without one takes the most
-    common country of its releases.
+    common country of its releases. ``wanted.master_id`` says which masters are asked
+    for; countries are counted only over the releases of those without a main release.
     """
     head = masters.select(
         F.col("id").alias("_master"),
@@ -59,8 +70,15 @@ def master_countries(masters: DataFrame, releases: DataFrame) -> DataFrame:
         F.col("year").alias("master_year"),
         "main_release_id",
     )
+    if wanted is not None:
+        head = keep_keys(head, wanted, "_master", "master_id")
     main = releases.select(F.col("id").alias("_main"), F.col("country").alias("main_country"))
-    common = most_common(releases.select("master_id", "country"), "master_id", "country").select(
+    without = head.where(F.col("main_release_id").isNull())
+    pressings = keep_keys(
+        releases.select("master_id", "country").where(F.col("country").isNotNull()),
+        without, "master_id", "_master",
+    )
+    common = most_common(pressings, "master_id", "country").select(
         F.col("master_id").alias("_of"), F.col("country").alias("common_country")
     )
     found = left_lookup(head, main, "main_release_id", "_main", "_master")
@@ -162,7 +180,9 @@ def artist_holdings(
     found = left_lookup(owned, named, "master_id", "_named", "release_id").where(
         F.col("by_release") | F.coalesce("by_master", F.lit(False))
     )
-    lookup = master_countries(masters, releases).withColumn("known_master", F.col("_master"))
+    lookup = master_countries(masters, releases, found.select("master_id")).withColumn(
+        "known_master", F.col("_master")
+    )
     found = left_lookup(found, lookup, "master_id", "_master", "release_id")
     return (
         _per_copy(found, items)
@@ -203,10 +223,13 @@ def first_press(
         master_countries(masters, releases),
         (F.col("master_id") == F.col("_master")) & (F.col("release_year") == F.col("master_year")),
     )
-    # NULL on either side makes the comparison NULL, which is neither true nor false.
-    same = F.col("release_country") == F.col("master_country")
-    status = (
-        F.when(same, COUNTRY_MATCH).when(~same, COUNTRY_DIFFERENT).otherwise(COUNTRY_UNKNOWN)
+    unknown = F.col("release_country").isNull() | F.col("master_country").isNull()
+    status = verdict(
+        [
+            (unknown, COUNTRY_UNKNOWN),
+            (F.col("release_country") == F.col("master_country"), COUNTRY_MATCH),
+        ],
+        COUNTRY_DIFFERENT,
     )
     return (
         _per_copy(first, items)
@@ -247,23 +270,28 @@ def originality(
         ),
         F.col("master_id") == F.col("_master"),
     )
-    gap = F.col("release_year") - F.col("master_year")
     is_main = F.coalesce(F.col("id") == F.col("main_release_id"), F.lit(False))
+    same_year = F.col("release_year") == F.col("master_year")
+    later = F.col("release_year") > F.col("master_year")
+    assessment = verdict(
+        [
+            (is_main, IS_MAIN_RELEASE),
+            (same_year & ~F.col("reworked"), LIKELY_ORIGINAL),
+            (later, LATER_PRESS),
+        ],
+        UNCERTAIN,
+    )
     parts = with_master.select(
         F.col("id").alias("release_id"),
         "title",
         "release_year",
         "master_year",
         "country",
-        F.when(gap == 0, SAME_YEAR).otherwise(0).alias("same_year_score"),
+        F.when(same_year, SAME_YEAR).otherwise(0).alias("same_year_score"),
         F.when(F.col("reworked"), NOTES_PENALTY).otherwise(0).alias("notes_score"),
         F.when(F.col("repressed"), FORMAT_PENALTY).otherwise(0).alias("format_score"),
         F.when(is_main, MAIN_RELEASE).otherwise(0).alias("main_release_score"),
-        F.when(is_main, IS_MAIN_RELEASE)
-        .when(gap > 0, LATER_PRESS)
-        .when((gap == 0) & ~F.col("reworked"), LIKELY_ORIGINAL)
-        .otherwise(UNCERTAIN)
-        .alias("assessment"),
+        assessment.alias("assessment"),
     )
     copies = user_collection.select(F.col("release_id").alias("_owned"), *COPY_KEYS)
     score = (
@@ -309,26 +337,26 @@ def collection_audit(
     known = left_lookup(owned, lookup, "master_id", "_master", "id")
     copies = user_collection.select("release_id", *COPY_KEYS)
     rows = copies.join(known, F.col("release_id") == F.col("id"), "left")
-    # The gap in years is NULL unless both years are known.
-    unmastered = F.col("known_master").isNull()
-    gap = F.col("release_year") - F.col("master_year")
-    by_year = (
-        F.when(gap == 0, SAME_YEAR_STATUS).when(gap < 0, BEFORE_MASTER).otherwise(LATER_PRESS)
-    )
-    status = (
-        F.when(unmastered, NO_MASTER)
-        .when(gap.isNull(), NO_YEARS)
-        .when(F.col("id") == F.col("main_release_id"), IS_MAIN_RELEASE)
-        .otherwise(by_year)
-    )
-    missing_year = F.when(F.col("release_year").isNull(), REASON_NO_YEAR).otherwise(
-        REASON_NO_MASTER_YEAR
+    release_year, master_year = F.col("release_year"), F.col("master_year")
+    no_master = F.col("known_master").isNull()
+    status = verdict(
+        [
+            (no_master, NO_MASTER),
+            (release_year.isNull() | master_year.isNull(), NO_YEARS),
+            (F.col("id") == F.col("main_release_id"), IS_MAIN_RELEASE),
+            (release_year == master_year, SAME_YEAR_STATUS),
+            (release_year < master_year, BEFORE_MASTER),
+        ],
+        LATER_PRESS,
     )
-    reason = (
-        F.when(unmastered, REASON_NO_MASTER)
-        .when(gap.isNull(), missing_year)
-        .when(gap == 0, REASON_NONE)
-        .otherwise(REASON_OTHER_YEAR)
+    reason = verdict(
+        [
+            (no_master, REASON_NO_MASTER),
+            (release_year.isNull(), REASON_NO_YEAR),
+            (master_year.isNull(), REASON_NO_MASTER_YEAR),
+            (release_year != master_year, REASON_OTHER_YEAR),
+        ],
+        REASON_NONE,
     )
     return (
         rows.withColumn("status", status)
