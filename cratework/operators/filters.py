@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cratework.operators.joins import keep_keys, left_lookup, owned_release_ids
-from cratework.session import written
 
 
 @dataclass(frozen=True)
 class ReleaseStrategy:
-    """``all``, ``skip``, ``collection_only`` or ``selective``; an unknown name keeps all."""
+    """``all``, ``skip``, ``collection_only`` or ``selective``; an unknown name keeps all.
+
+    Without a cap all releases of the followed artists and labels are kept.
+    """
 
     name: str = "all"
     include_master_releases: bool = False
     include_artist_releases: bool = False
     include_label_releases: bool = False
-    max_releases_per_artist: int = 50
-    max_releases_per_label: int = 100
+    max_releases_per_artist: int | None = None
+    max_releases_per_label: int | None = None
 
 
 def collection_masters(releases: DataFrame, user_collection: DataFrame) -> DataFrame:
@@ -79,20 +81,31 @@ def flag_collection(
     )
 
 
-def capped_releases(
-    links: DataFrame, entity: str, owned: DataFrame, candidates: DataFrame, cap: int
+def releases_of_entities(
+    links: DataFrame,
+    entity: str,
+    owned: DataFrame,
+    candidates: DataFrame,
+    cap: int | None,
+    stored_links: DataFrame | None = None,
 ) -> DataFrame:
     """Candidate releases of entities found on owned releases, at most ``cap`` per entity.
 
-    The lowest release ids are taken. Spark applies ``row_number <= cap`` in the
-    map tasks too, so a hot entity shuffles at most ``cap`` rows per task.
+    Entities are found through incoming and stored links. Links are reduced to these before
+    any are ranked. The lowest release ids are taken; Spark applies ``row_number <= cap`` in
+    the map tasks too, so a hot entity shuffles at most ``cap`` rows per task.
     """
     pairs = links.select("release_id", entity)
-    entities = keep_keys(pairs, owned, "release_id", "release_id").select(entity).distinct()
-    pool = keep_keys(pairs, candidates, "release_id", "id").distinct()
+    known = pairs
+    if stored_links is not None:
+        known = known.unionByName(stored_links.select("release_id", entity))
+    entities = keep_keys(known, owned, "release_id", "release_id").select(entity).distinct()
+    pool = keep_keys(keep_keys(pairs, entities, entity, entity), candidates, "release_id", "id")
+    if cap is None:
+        return pool.select("release_id")
     rank = F.row_number().over(Window.partitionBy(entity).orderBy("release_id"))
-    best = pool.withColumn("_rank", rank).where(F.col("_rank") <= cap)
-    return keep_keys(best, entities, entity, entity).select("release_id")
+    best = pool.distinct().withColumn("_rank", rank).where(F.col("_rank") <= cap)
+    return best.select("release_id")
 
 
 def selective(
@@ -102,24 +115,29 @@ def selective(
     release_artists: DataFrame,
     release_labels: DataFrame,
     stored_releases: DataFrame | None = None,
+    stored_artists: DataFrame | None = None,
+    stored_labels: DataFrame | None = None,
 ) -> DataFrame:
-    """Collection, then its masters, then capped releases of its artists and labels."""
-    # Read three times below, so it is written once: two flags per release id.
-    flagged = written(flag_collection(releases, user_collection, stored_releases))
+    """Collection, then its masters, then releases of its artists and labels.
+
+    Lazy: the flags are two columns of ids, and their exchanges are shared between branches.
+    """
+    flagged = flag_collection(releases, user_collection, stored_releases)
     keep = F.col("owned")
     if strategy.include_master_releases:
         keep = keep | F.col("via_master")
     wanted = flagged.where(keep).select(F.col("id").alias("release_id"))
     rest = flagged.where(~keep).select("id")
     owned = owned_release_ids(user_collection)
-    for include, links, entity, cap in (
-        (strategy.include_artist_releases, release_artists, "artist_id",
+    for include, links, stored, entity, cap in (
+        (strategy.include_artist_releases, release_artists, stored_artists, "artist_id",
          strategy.max_releases_per_artist),
-        (strategy.include_label_releases, release_labels, "label_id",
+        (strategy.include_label_releases, release_labels, stored_labels, "label_id",
          strategy.max_releases_per_label),
     ):
         if include:
-            wanted = wanted.unionByName(capped_releases(links, entity, owned, rest, cap))
+            more = releases_of_entities(links, entity, owned, rest, cap, stored)
+            wanted = wanted.unionByName(more)
     return keep_keys(releases, wanted, "id", "release_id")
 
 
@@ -130,6 +148,8 @@ def apply_strategy(
     release_artists: DataFrame | None = None,
     release_labels: DataFrame | None = None,
     stored_releases: DataFrame | None = None,
+    stored_artists: DataFrame | None = None,
+    stored_labels: DataFrame | None = None,
 ) -> DataFrame:
     """The releases that ``strategy`` lets into the catalogue."""
     if strategy.name == "skip":
@@ -140,6 +160,7 @@ def apply_strategy(
         )
     if strategy.name == "selective":
         return selective(
-            releases, user_collection, strategy, release_artists, release_labels, stored_releases
+            releases, user_collection, strategy, release_artists, release_labels,
+            stored_releases, stored_artists, stored_labels,
         )
     return releases

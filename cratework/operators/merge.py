@@ -13,9 +13,10 @@ def last_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
-def one_per_key(df: DataFrame, key: list[str]) -> DataFrame:
-    """One row per key; which of several different rows stays is repeatable."""
-    return last_per_key(df, key, F.xxhash64(*df.columns))
+def first_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
+    """The first row per key in ``order``."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(order.asc()))
+    return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
 def upsert(
@@ -24,7 +25,7 @@ def upsert(
     """Merge by key: columns of ``incoming`` overwrite, also with NULL; others stay.
 
     Columns in ``keep`` are only set on new rows. ``incoming`` must be unique on
-    the key (see ``one_per_key``).
+    the key (see ``last_per_key``).
     """
     renamed = incoming.select(
         *key,
@@ -55,21 +56,33 @@ def refresh(
 
 
 def insert_new(
-    stored: DataFrame, incoming: DataFrame, key: list[str], unique: bool = False
+    stored: DataFrame,
+    incoming: DataFrame,
+    key: list[str],
+    unique: bool = False,
+    order: Column | None = None,
 ) -> DataFrame:
-    """Rows of ``incoming`` whose key is not stored, one per key.
+    """Rows of ``incoming`` whose key is not stored, one per key: the first in ``order``.
 
+    Without an order the smallest row of equal keys stays, on any number of partitions.
     ``unique`` says that ``incoming`` has one row per key already.
     """
-    rows = incoming if unique else incoming.dropDuplicates(key)
+    rows = incoming
+    if not unique:
+        order = F.struct(*[F.col(c) for c in incoming.columns]) if order is None else order
+        rows = first_per_key(incoming, key, order)
     return rows.join(stored.select(*key), key, "left_anti")
 
 
 def insert_ignore(
-    stored: DataFrame, incoming: DataFrame, key: list[str], unique: bool = False
+    stored: DataFrame,
+    incoming: DataFrame,
+    key: list[str],
+    unique: bool = False,
+    order: Column | None = None,
 ) -> DataFrame:
     """Append rows with a new key; a stored row always wins."""
-    new = insert_new(stored, incoming, key, unique)
+    new = insert_new(stored, incoming, key, unique, order)
     return stored.unionByName(new.select(*stored.columns))
 
 

@@ -17,7 +17,7 @@ from cratework.operators.filters import ReleaseStrategy, apply_strategy
 from cratework.operators.merge import (
     emptied,
     insert_ignore,
-    one_per_key,
+    last_per_key,
     refresh,
     replace_children,
 )
@@ -25,6 +25,7 @@ from cratework.operators.missing import missing_entities
 from cratework.operators.shred import Shredded, shred
 from cratework.plans.sync import ensure_users, sync_collection
 from cratework.sources import json_documents, xml_dumps
+from cratework.sources.positions import POSITION
 from cratework.sources.snapshots import SnapshotStore
 
 ARTIST_LINK = ["release_id", "artist_id", "role"]
@@ -32,30 +33,25 @@ LABEL_LINK = ["release_id", "label_id", "catalog_number"]
 
 
 def land_dump(
-    store: SnapshotStore,
-    path: str,
-    kind: str,
-    snapshot: str,
-    max_error_rate: float = 0.1,
-    gzip_partitions: int | None = None,
-    split_labels: bool = False,
+    store: SnapshotStore, path: str, kind: str, snapshot: str, max_error_rate: float = 0.1
 ) -> DataFrame:
-    """Parse a dump once into Parquet; raises if it is cut off or has too many bad records."""
+    """Parse a dump once into Parquet; raises if it is cut off or has too many bad records.
+
+    A record that a broken one hides is a bad one too: records whose tag was opened are
+    compared with those that were parsed.
+    """
     spark = store.spark
-    counters, roots = Observation("counters"), Observation("roots")
-    by_text = kind in xml_dumps.RECORD_TAGS or split_labels
-    records = xml_dumps.read_records(
-        spark, path, kind, gzip_partitions, roots if by_text else None, split_labels
-    )
+    counters, tags = Observation("counters"), Observation("tags")
+    records = xml_dumps.read_records(spark, path, kind, tags)
     observed = records.observe(counters, *quality.load_counters(F.col("valid")))
     landing = store.landing(kind, snapshot)
     xml_dumps.accepted(observed).write.mode("overwrite").parquet(landing)
-    found = roots.get if by_text else xml_dumps.count_roots(spark, path, kind).first().asDict()
+    found, seen = tags.get, counters.get
     xml_dumps.check_roots(found["opened"], found["closed"])
-    seen = counters.get
     if seen["processed"] == 0:
         raise quality.LoadRejected(f"no {kind} records in {path}")
-    quality.check_gate(seen["processed"], seen["rejected"], max_error_rate)
+    hidden = max(0, found["records"] - seen["processed"])
+    quality.check_gate(seen["processed"] + hidden, seen["rejected"] + hidden, max_error_rate)
     return spark.read.parquet(landing)
 
 
@@ -99,7 +95,6 @@ def load_dump(
     kind: str,
     strategy: ReleaseStrategy = ReleaseStrategy(),
     max_error_rate: float = 0.1,
-    gzip_partitions: int | None = None,
     force: bool = False,
 ) -> bool:
     """Load one dump file; False when there was nothing to do.
@@ -117,7 +112,7 @@ def load_dump(
         if strategy.name == "collection_only" and store.read("user_collection").isEmpty():
             return False
     snapshot = uuid.uuid4().hex
-    landed = land_dump(store, path, kind, snapshot, max_error_rate, gzip_partitions)
+    landed = land_dump(store, path, kind, snapshot, max_error_rate)
     stored = store.read(kind)
     tables: dict[str, DataFrame] = {}
     if kind == "releases":
@@ -129,8 +124,12 @@ def load_dump(
             links and links.release_artists,
             links and links.release_labels,
             stored,
+            store.read("release_artists"),
+            store.read("release_labels"),
         )
-    incoming = one_per_key(landed, ["id"])
+    # As in the order of the file, the last record of an id stays.
+    position = F.col(POSITION)
+    incoming = last_per_key(landed, ["id"], position).drop(POSITION)
     counted = landed
     if kind == "releases":
         # Filtered and made unique once, then read by the merge and by the shredding.
@@ -149,7 +148,6 @@ def load_all(
     folder: str,
     strategy: ReleaseStrategy = ReleaseStrategy(),
     max_error_rate: float = 0.1,
-    gzip_partitions: int | None = None,
     force: bool = False,
 ) -> dict[str, bool]:
     """Load the newest dump of each kind: artists, labels, masters, then releases."""
@@ -159,7 +157,7 @@ def load_all(
         newest = files.select("path").first()
         if newest is not None:
             done[kind] = load_dump(
-                store, newest["path"], kind, strategy, max_error_rate, gzip_partitions, force
+                store, newest["path"], kind, strategy, max_error_rate, force
             )
     return done
 
@@ -171,7 +169,7 @@ def merge_documents(
     snapshot = uuid.uuid4().hex
     landing = store.landing(kind, snapshot)
     rows = json_documents.read_documents(store.spark, path, kind, json_lines)
-    one_per_key(rows, ["id"]).write.mode("overwrite").parquet(landing)
+    last_per_key(rows, ["id"], F.col(POSITION)).drop(POSITION).write.mode("overwrite").parquet(landing)
     incoming = store.spark.read.parquet(landing)
     tables = merged_links(store, shred(incoming)) if kind == "releases" else {}
     tables[kind] = refresh(store.read(kind), incoming, ["id"])

@@ -59,9 +59,16 @@ def _shaped(items: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def sync_counters(stored: DataFrame, items: DataFrame, force: bool = False) -> DataFrame:
-    """One row: added, updated, unchanged, errors."""
+    """One row: added, updated, unchanged, errors.
+
+    Of several copies of an item one is stored, so one is counted; errors are rows.
+    """
     known = stored.select(*KEY, F.lit(True).alias("_known"))
-    checked = items.select(*KEY, is_valid_item().alias("_valid")).join(known, KEY, "left")
+    latest = latest_items(items).select(*KEY, F.lit(True).alias("_valid"))
+    _, rejected = split_valid(items, is_valid_item())
+    checked = latest.join(known, KEY, "left").unionByName(
+        rejected.select(*KEY, F.lit(False).alias("_valid"), F.lit(None).cast("boolean").alias("_known"))
+    )
     seen = F.col("_valid") & F.col("_known").isNotNull()
     none = F.lit(0).cast("bigint")
     return checked.agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cratework import schemas
 from cratework.functions import iso_timestamp, partial_date, reference_id
+from cratework.sources.positions import POSITION, file_position, position_of
 
 
 def read_pages(
@@ -79,6 +80,7 @@ def _label_refs() -> Column:
 
 def artist_rows(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("id") != 0).select(
+        *position_of(documents),
         "id", "name", F.col("realname").alias("real_name"), "profile", "data_quality",
         F.coalesce("namevariations", F.array()).alias("name_variations"),
         *_empty_if_absent("aliases", "urls", "members", "groups", "images"),
@@ -88,6 +90,7 @@ def artist_rows(documents: DataFrame) -> DataFrame:
 def label_rows(documents: DataFrame) -> DataFrame:
     """The parent stays NULL on this path."""
     return documents.where(F.col("id") != 0).select(
+        *position_of(documents),
         "id", "name", F.col("contactinfo").alias("contact_info"), "profile", "data_quality",
         F.lit(None).cast("bigint").alias("parent_label_id"),
         F.coalesce(F.col("sublabels.id"), F.array()).alias("subsidiaries"),
@@ -97,6 +100,7 @@ def label_rows(documents: DataFrame) -> DataFrame:
 
 def master_rows(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("id").isNotNull()).select(
+        *position_of(documents),
         "id", "title", "year", F.col("main_release").alias("main_release_id"), "data_quality",
         *_empty_if_absent("artists", "genres", "styles", "images", "videos"),
     )
@@ -104,6 +108,7 @@ def master_rows(documents: DataFrame) -> DataFrame:
 
 def release_rows(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("id").isNotNull()).select(
+        *position_of(documents),
         "id", "title", "year", partial_date("released").alias("released"), "master_id", "country",
         "status", "data_quality",
         _with_ids("artists").alias("artists"),
@@ -128,9 +133,13 @@ ROWS = {
 def read_documents(
     spark: SparkSession, path: str | list[str], kind: str, json_lines: bool = False
 ) -> DataFrame:
-    """Rows of landed entity documents, one JSON object per file or, if asked, per line."""
+    """Rows of landed entity documents, one JSON object per file or, if asked, per line.
+
+    ``position`` is where a document stands: file, first byte of the split, row in it.
+    """
     reader = spark.read.schema(schemas.JSON_DOCUMENTS[kind]).option("multiLine", not json_lines)
-    return ROWS[kind](reader.json(path))
+    documents = reader.json(path)
+    return ROWS[kind](documents.select("*", file_position().alias(POSITION)))
 
 
 def parse_documents(text: DataFrame, kind: str, column: str = "value") -> DataFrame:

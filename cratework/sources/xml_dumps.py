@@ -1,11 +1,10 @@
 """XML catalogue dumps as typed rows.
 
-A dump is split at the closing tag of its records, so plain files are read by
-many tasks and one broken record spoils only itself. Label records nest elements
-of their own name; they are read with Spark's XML source, one task per file, or
-split at the bare opening tag where nested labels are known to carry an id. A
-gzip file is always unpacked by one task; its fragments are spread over the
-cluster before any XML is parsed.
+A dump is split at a tag of its records, so plain files are read by many tasks
+and one broken record spoils only itself: artists, masters and releases at the
+closing tag, labels, which nest elements of their own name, at the bare opening
+tag, as nested labels carry an id. A gzip file is unpacked by one task; its
+fragments are spread over the cluster before any XML is parsed.
 """
 
 from __future__ import annotations
@@ -21,10 +20,14 @@ from cratework import schemas
 from cratework.functions import clean_text, dump_date, partial_date, safe_int, safe_long
 from cratework.functions.text import is_ascii
 from cratework.operators.quality import LoadRejected
+from cratework.sources.positions import POSITION, file_position, position_of
 
 KINDS = ("artists", "labels", "masters", "releases")
 
 
+#: Compressed bytes that one partition of unpacked fragments stands for.
+GZIP_PARTITION_BYTES = 8 << 20
+
 # Record element of each dump whose records never nest an element of the same name.
 RECORD_TAGS = {"artists": "artist", "masters": "master", "releases": "release"}
 
@@ -216,13 +219,13 @@ def parse_fragments(fragments: DataFrame, kind: str, column: str = "fragment") -
     )
     # Unpacked by a generator, so that each element is parsed once: a plain projection
     # would be merged into, and repeated by, every expression that reads a field of it.
-    return fragments.select(F.inline(F.array(record)))
+    return fragments.select(*position_of(fragments), F.inline(F.array(record)))
 
 
 def checked(raw: DataFrame, kind: str) -> DataFrame:
     """Typed catalogue columns plus ``valid``; both come from one pass over the records."""
     columns = [column.alias(name) for name, column in _columns(kind).items()]
-    typed = raw.select(*columns, _is_valid(kind).alias("valid"))
+    typed = raw.select(*columns, _is_valid(kind).alias("valid"), *position_of(raw))
     # An empty list is stored as NULL.
     return typed.select(
         *[
@@ -239,60 +242,75 @@ def accepted(records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- files
-def _roots(kind: str) -> list[Column]:
+def _tags(kind: str) -> list[Column]:
+    """``opened`` and ``closed`` root elements, and ``records`` whose tag was opened."""
+    if kind == "labels":
+        records = F.count_if(_is_label())
+    else:
+        records = F.sum(F.regexp_count("value", F.lit(f"<{RECORD_TAGS[kind]}(?=[\\s/>])")))
     return [
         F.count_if(F.col("value").rlike(f"<{kind}[\\s>]")).alias("opened"),
         F.count_if(F.col("value").contains(f"</{kind}>")).alias("closed"),
+        F.coalesce(records, F.lit(0)).cast("bigint").alias("records"),
     ]
 
 
-def count_roots(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
-    """``opened`` and ``closed`` root elements of a dump, in a pass of its own."""
-    return spark.read.text(path).agg(*_roots(kind))
+def _is_label() -> Column:
+    """Neither what stands before the first label, nor a nested one without an attribute."""
+    before = F.col("value").rlike("<labels[\\s>]") | (F.trim("value") == "")
+    return ~before & ~F.col("value").rlike("^[^<]*</label>")
+
+
+def _gzip_partitions(spark: SparkSession, path: str | list[str]) -> int:
+    """Partitions for the fragments of gzip files, by their size; 0 for plain files."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("path").endswith(".gz"))
+    size = files.agg(F.sum("length")).first()[0]
+    if size is None:
+        return 0
+    return max(spark.sparkContext.defaultParallelism, size // GZIP_PARTITION_BYTES + 1)
 
 
 def _read_pieces(
-    spark: SparkSession,
-    path: str | list[str],
-    kind: str,
-    separator: str,
-    gzip_partitions: int | None,
-    roots: Observation | None,
+    spark: SparkSession, path: str | list[str], kind: str, separator: str, tags: Observation | None
 ) -> DataFrame:
     text = spark.read.option("lineSep", separator).text(path)
-    if roots is not None:
-        text = text.observe(roots, *_roots(kind))
-    return text.repartition(gzip_partitions) if gzip_partitions else text
+    text = text.select("value", file_position().alias("piece"))
+    if tags is not None:
+        text = text.observe(tags, *_tags(kind))
+    partitions = _gzip_partitions(spark, path)
+    return text.repartition(partitions) if partitions else text
 
 
 def read_fragments(
-    spark: SparkSession,
-    path: str | list[str],
-    kind: str,
-    gzip_partitions: int | None = None,
-    roots: Observation | None = None,
+    spark: SparkSession, path: str | list[str], kind: str, tags: Observation | None = None
 ) -> DataFrame:
-    """One XML element per row, cut out of the text of the dump.
+    """``fragment``: one XML element per row, cut out of the text of the dump; ``position``.
 
-    ``gzip_partitions`` spreads the fragments of unsplittable files. ``roots``
-    observes ``opened`` and ``closed`` root elements, which differ if a file ends early.
+    ``tags`` observes ``opened`` and ``closed`` root elements, which differ if a file ends
+    early, and the ``records`` whose tag was opened, of which a broken one may hide the next.
     """
     if kind == "labels":
-        text = _read_pieces(spark, path, kind, "<label>", gzip_partitions, roots)
+        text = _read_pieces(spark, path, kind, "<label>", tags).where(_is_label())
         closed = F.substring_index("value", "</label>", -1)
-        return text.where(F.col("value").contains("</label>")).select(
-            F.concat(
-                F.lit("<label>"),
-                F.substring("value", F.lit(1), F.char_length("value") - F.char_length(closed)),
-            ).alias("fragment")
+        whole = F.substring("value", F.lit(1), F.char_length("value") - F.char_length(closed))
+        # A nested label without an attribute ends the piece early; what stands after it
+        # in its record is not read.
+        cut = F.col("value").contains("<sublabels>") & ~F.col("value").contains("</sublabels>")
+        record = F.when(cut, F.concat(F.col("value"), F.lit("</sublabels></label>"))).otherwise(
+            F.when(F.col("value").contains("</label>"), whole).otherwise(F.col("value"))
+        )
+        fragment = F.concat(F.lit("<label>"), record)
+        return text.select(
+            fragment.alias("fragment"),
+            F.struct("piece.*", F.lit(0).alias("nth")).alias(POSITION),
         )
     tag = RECORD_TAGS[kind]
-    text = _read_pieces(spark, path, kind, f"</{tag}>", gzip_partitions, roots)
+    text = _read_pieces(spark, path, kind, f"</{tag}>", tags)
     # An opening tag that does not close itself starts the record; whatever closes
     # itself before that is a record of its own, an empty one.
     opening = f"<{tag}(?:\\s(?:[^<]*?[^/<])?)?>"
     empty = f"<{tag}(?:\\s[^<]*?)?/>"
-    found = text.select("value", F.regexp_instr("value", F.lit(opening)).alias("start"))
+    found = text.select("value", "piece", F.regexp_instr("value", F.lit(opening)).alias("start"))
     has_record = F.col("start") > 0
     before = F.when(has_record, F.expr("substring(value, 1, start - 1)")).otherwise(F.col("value"))
     record = F.concat(F.expr("substring(value, start)"), F.lit(f"</{tag}>"))
@@ -300,7 +318,8 @@ def read_fragments(
         F.regexp_extract_all(before, F.lit(empty), F.lit(0)),
         F.when(has_record, F.array(record)).otherwise(F.array().cast("array<string>")),
     )
-    return found.select(F.explode(pieces).alias("fragment"))
+    exploded = found.select("piece", F.posexplode(pieces).alias("nth", "fragment"))
+    return exploded.select("fragment", F.struct("piece.*", "nth").alias(POSITION))
 
 
 def check_roots(opened: int, closed: int) -> None:
@@ -310,35 +329,15 @@ def check_roots(opened: int, closed: int) -> None:
 
 
 def read_records(
-    spark: SparkSession,
-    path: str | list[str],
-    kind: str,
-    gzip_partitions: int | None = None,
-    roots: Observation | None = None,
-    split_labels: bool = False,
+    spark: SparkSession, path: str | list[str], kind: str, tags: Observation | None = None
 ) -> DataFrame:
-    """Typed rows of a dump with a ``valid`` flag; nothing is rejected silently.
-
-    ``split_labels`` reads label dumps in parallel. It needs nested labels to carry
-    an attribute; a record that breaks this rule comes out as not valid.
-    """
-    if kind in RECORD_TAGS or split_labels:
-        fragments = read_fragments(spark, path, kind, gzip_partitions, roots)
-        return checked(parse_fragments(fragments, kind), kind)
-    reader = (
-        spark.read.format("xml")
-        .option("rowTag", "label")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .schema(raw_schema(kind))
-    )
-    raw = reader.load(path)
-    return checked(raw.repartition(gzip_partitions) if gzip_partitions else raw, kind)
+    """Typed rows of a dump, ``valid`` and ``position``; nothing is rejected silently."""
+    return checked(parse_fragments(read_fragments(spark, path, kind, tags), kind), kind)
 
 
 def read_dump(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
     """Accepted rows of a dump."""
-    return accepted(read_records(spark, path, kind))
+    return accepted(read_records(spark, path, kind)).drop(POSITION)
 
 
 def dump_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
