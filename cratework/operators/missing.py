@@ -21,17 +21,21 @@ def missing_entities(
     artists: DataFrame,
     labels: DataFrame,
     masters: DataFrame,
+    force: bool = False,
 ) -> DataFrame:
     """(entity, id) of releases owned, and artists, labels and masters named, yet not stored.
 
+    With ``force`` every owned release is listed, stored or not, to be fetched again.
+
     Ids are made distinct before the anti join, so a hot name costs one row per task.
     """
     credited = releases.select(F.explode("artists.id").alias("id"))
     labelled = releases.select(F.explode("labels.id").alias("id"))
+    owned = user_collection.select(F.col("release_id").alias("id"))
     return reduce(
         DataFrame.unionByName,
         [
-            _missing("release", user_collection.select(F.col("release_id").alias("id")), releases),
+            _missing("release", owned, releases.limit(0) if force else releases),
             _missing("artist", credited, artists),
             _missing("label", labelled, labels),
             _missing("master", releases.select(F.col("master_id").alias("id")), masters),

@@ -34,6 +34,21 @@ def load_counters(valid: Column) -> list[Column]:
     ]
 
 
+def created_counters(
+    merges: Mapping[str, tuple[DataFrame, DataFrame, list[str]]]
+) -> DataFrame:
+    """(table_name, created) of insert-ignore merges (stored, incoming, key): true inserts."""
+    counted = [
+        incoming.select(*key)
+        .distinct()
+        .join(stored.select(*key), key, "left_anti")
+        .agg(F.count(F.lit(1)).alias("created"))
+        .select(F.lit(name).alias("table_name"), "created")
+        for name, (stored, incoming, key) in merges.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def quality_gate(df: DataFrame, valid: Column, max_error_rate: float = 0.1) -> DataFrame:
     """One row: processed, rejected, error_rate, passed.
 

@@ -22,6 +22,7 @@ from cratework.operators.merge import (
     replace_children,
 )
 from cratework.operators.missing import missing_entities
+from cratework.operators.prune import prune_children, prune_releases
 from cratework.operators.shred import Shredded, shred
 from cratework.plans.sync import ensure_users, sync_collection
 from cratework.sources import json_documents, xml_dumps
@@ -73,7 +74,7 @@ def provenance(
         dump_date(F.lit(file_name)).alias("source_date"),
         F.lit(snapshot).alias("snapshot"),
     )
-    return data_sources.unionByName(row)
+    return data_sources.unionByName(row, allowMissingColumns=True)
 
 
 def merged_links(store: SnapshotStore, parts: Shredded) -> dict[str, DataFrame]:
@@ -213,7 +214,8 @@ def sync_pages(
         }
     )
     return missing_entities(
-        *[store.read(t) for t in ("user_collection", "releases", "artists", "labels", "masters")]
+        *[store.read(t) for t in ("user_collection", "releases", "artists", "labels", "masters")],
+        force=force,
     )
 
 
@@ -222,6 +224,16 @@ def reprocess_links(store: SnapshotStore) -> None:
     store.replace(merged_links(store, shred(store.read("releases"))))
 
 
+def prune_store(store: SnapshotStore, keep_masters: bool = False) -> None:
+    """Remove releases that no collection holds, with their links and tracks, all at once."""
+    releases = store.read("releases")
+    kept = prune_releases(releases, store.read("user_collection"), keep_masters)
+    children = ("release_artists", "release_labels", "tracks")
+    store.replace(
+        {"releases": kept, **{t: prune_children(store.read(t), kept) for t in children}}
+    )
+
+
 def clear(store: SnapshotStore, kind: str) -> None:
     """Empty one table and forget its loads, so that its dumps can be loaded again."""
     store.replace(

@@ -257,8 +257,9 @@ def _tags(kind: str) -> list[Column]:
 
 def _is_label() -> Column:
     """Neither what stands before the first label, nor a nested one without an attribute."""
-    before = F.col("value").rlike("<labels[\\s>]") | (F.trim("value") == "")
-    return ~before & ~F.col("value").rlike("^[^<]*</label>")
+    value = F.col("value")
+    before = value.rlike("<labels[\\s>]") & ~value.contains("</label>") | (F.trim(value) == "")
+    return ~before & ~value.rlike("^[^<]*</label>")
 
 
 def _gzip_partitions(spark: SparkSession, path: str | list[str]) -> int:

@@ -6,16 +6,16 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cratework.functions import duration_text, leading_int, partial_date
+from cratework.functions import dump_date, duration_text, leading_int, partial_date
 from cratework.operators import filters, merge, missing, prune, quality, sampling
 from cratework.operators import shred as shredding
 from cratework.operators.joins import owned_release_ids
 from cratework.operators.sinks import metric_rows
-from cratework.plans import collaborations, collection, pressings, registry, sync
-from cratework.session import shared_folder, spread
+from cratework.plans import collaborations, collection, load, pressings, registry, sync
+from cratework.session import shared_folder
 from cratework.sources import json_documents, xml_dumps
 from cratework.sources.star_schema import StarSchemaCatalogue
 from cratework.streaming import collection_stream
@@ -191,6 +191,30 @@ def filter_selective_capped(c):
     )
 
 
+@register
+def filter_selective(c):
+    """Without caps: all releases of the artists and labels that are owned."""
+    strategy = filters.ReleaseStrategy(
+        "selective",
+        include_master_releases=True,
+        include_artist_releases=True,
+        include_label_releases=True,
+    )
+    narrow = c.releases.select("id", "master_id", "title")
+    return filters.apply_strategy(
+        narrow, strategy, c.user_collection, c.release_artists, c.release_labels
+    )
+
+
+@register
+def filter_skip(c):
+    """The number of releases that ``skip`` lets through."""
+    kept = filters.apply_strategy(
+        c.releases, filters.ReleaseStrategy("skip"), c.user_collection
+    )
+    return kept.agg(F.count(F.lit(1)).alias("kept"))
+
+
 @register
 def collection_masters(c):
     return filters.collection_masters(c.releases, c.user_collection)
@@ -202,6 +226,14 @@ def releases_of_masters(c):
     return filters.releases_of_masters(c.releases.select("id", "master_id", "title"), owned)
 
 
+@register
+def missing_entities_forced(c):
+    """Every owned release is named again when a sync is forced."""
+    return missing.missing_entities(
+        c.user_collection, c.releases, c.artists, c.labels, c.masters, force=True
+    )
+
+
 @register
 def missing_entities(c):
     return missing.missing_entities(c.user_collection, c.releases, c.artists, c.labels, c.masters)
@@ -224,6 +256,34 @@ def upsert_releases(c):
     return merge.upsert(stored, _owned_titles(c), ["id"])
 
 
+@register
+def upsert_last_wins(c):
+    """Every event is a record of its release; the last one in order of event id stays."""
+    stored = c.releases.select("id", "master_id", "title", "year", "country")
+    incoming = c.table("events").selectExpr(
+        "2 * (event_id - event_id % 8) AS id",
+        "'Event ' || CAST(event_id AS STRING) AS title",
+        "event_id",
+    )
+    last = merge.last_per_key(incoming, ["id"], F.col("event_id")).drop("event_id")
+    return merge.upsert(stored, last, ["id"])
+
+
+@register
+def created_counters(c):
+    """Rows that a load of the release documents adds to the link and track tables."""
+    parts = shredding.shred(c.releases)
+    return quality.created_counters(
+        {
+            "release_artists": (c.release_artists, parts.release_artists,
+                                ["release_id", "artist_id", "role"]),
+            "release_labels": (c.release_labels, parts.release_labels,
+                               ["release_id", "label_id", "catalog_number"]),
+            "tracks": (c.tracks, parts.tracks, ["release_id", "position", "title"]),
+        }
+    )
+
+
 @register
 def refresh_releases(c):
     stored = c.table("orders").selectExpr(
@@ -244,9 +304,11 @@ def insert_ignore_artist_links(c):
         "l_orderkey AS release_id",
         "l_partkey AS artist_id",
         "CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE 'Remix' END AS role",
-        "'new' AS name",
+        "'new ' || CAST(l_linenumber AS STRING) AS name",
+        "l_linenumber",
     )
-    return merge.insert_ignore(stored, new, ["release_id", "artist_id", "role"])
+    key = ["release_id", "artist_id", "role"]
+    return merge.insert_ignore(stored, new, key, order=F.col("l_linenumber"))
 
 
 @register
@@ -288,9 +350,16 @@ def prune_report(c):
 
 
 # ------------------------------------------------------------------ landed JSON
+def _dealt(c, table, key):
+    """The rows of a table over the cluster, ahead of costly parsing."""
+    return c.table(table).repartition(
+        int(c.spark.conf.get("spark.sql.shuffle.partitions")), key
+    )
+
+
 def _pages(c):
     """One collection page per order: a single item, its notes a list, text or absent."""
-    return spread(c.table("orders")).selectExpr(
+    return _dealt(c, "orders", "o_orderkey").selectExpr(
         """concat('{"pagination":{"page":1,"pages":1,"per_page":1,"items":1},"releases":[{"id":',
              CAST(o_orderkey AS STRING), ',"instance_id":', CAST(o_orderkey AS STRING),
              ',"date_added":"', date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:00:00-07:00"',
@@ -344,7 +413,31 @@ def sync_counters(c):
 @register
 def sync_rejected(c):
     rejected = sync.sync_collection(_stored_items(c), _items(c)).rejected
-    return rejected.select("user_id", "instance_id", "rating")
+    return _epoch(rejected).drop("basic_information")
+
+
+def _repeated_items(c):
+    """Pages of three items: one twice, the second time later and rated, and one without release."""
+    pages = _dealt(c, "orders", "o_orderkey").selectExpr(
+        """concat('{"releases":[{"id":1,"instance_id":', CAST(o_orderkey AS STRING),
+             ',"date_added":"2020-01-01T00:00:00Z","rating":1,"folder_id":1,',
+             '"basic_information":{"id":', CAST(o_custkey + 1 AS STRING), '}},',
+             '{"id":1,"instance_id":', CAST(o_orderkey AS STRING),
+             ',"date_added":"2021-01-01T00:00:00Z","rating":', CAST(o_orderkey % 6 AS STRING),
+             ',"folder_id":2,"basic_information":{"id":', CAST(o_custkey + 1 AS STRING), '}},',
+             '{"id":1,"instance_id":', CAST(-o_orderkey AS STRING), ',"rating":0}]}') AS value"""
+    )
+    return json_documents.collection_items(json_documents.parse_pages(pages), 1)
+
+
+@register
+def sync_repeated(c):
+    return _epoch(sync.sync_collection(_stored_items(c), _repeated_items(c)).collection)
+
+
+@register
+def sync_repeated_counters(c):
+    return sync.sync_collection(_stored_items(c), _repeated_items(c)).counters
 
 
 @register
@@ -361,13 +454,23 @@ def sync_stream(c):
 
 @register
 def ensure_users(c):
+    """Old ids stay; new ones are above all of them and unique."""
     names = c.table("customer").selectExpr("'user' || CAST(c_custkey AS STRING) AS username")
-    return sync.ensure_users(c.users, names).select("username")
+    known = c.users.select("username", F.col("id").alias("known_id"))
+    last = c.users.agg(F.max("id")).scalar()
+    given = sync.ensure_users(c.users, names)
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("id")) > 1
+    return given.join(known, "username", "left").select(
+        "username",
+        F.when(F.col("known_id").isNotNull(), F.col("id")).alias("known_id"),
+        (F.col("id") > last).alias("is_above"),
+        repeated.alias("is_repeated"),
+    )
 
 
 @register
 def json_artists(c):
-    text = spread(c.table("part")).selectExpr(
+    text = _dealt(c, "part", "p_partkey").selectExpr(
         """concat('{"id":', CAST(p_partkey AS STRING), ',"name":"', p_name, '","realname":"',
              p_brand, '","namevariations":["', p_type, '"],"members":[{"id":7,"name":"M"}]}')
            AS value"""
@@ -381,7 +484,7 @@ def json_artists(c):
 
 @register
 def json_labels(c):
-    text = spread(c.table("supplier")).selectExpr(
+    text = _dealt(c, "supplier", "s_suppkey").selectExpr(
         """concat('{"id":', CAST(s_suppkey AS STRING), ',"name":"', s_name,
              '","sublabels":[{"id":', CAST(s_suppkey + 1 AS STRING),
              ',"name":"a"},{"id":', CAST(s_suppkey + 2 AS STRING), '}]}') AS value"""
@@ -396,7 +499,7 @@ def json_labels(c):
 
 @register
 def json_masters(c):
-    text = spread(c.table("customer")).selectExpr(
+    text = _dealt(c, "customer", "c_custkey").selectExpr(
         """concat('{"id":', CAST(c_custkey AS STRING), ',"title":"', c_name, '","year":',
              CAST(1990 + c_nationkey AS STRING), ',"main_release":', CAST(c_custkey * 2 AS STRING),
              ',"genres":["', c_mktsegment, '","Pop"]}') AS value"""
@@ -411,7 +514,7 @@ def json_masters(c):
 @register
 def json_releases(c):
     """Release documents whose credit ids are numbers, objects, or no numbers at all."""
-    text = spread(c.table("orders")).selectExpr(
+    text = _dealt(c, "orders", "o_orderkey").selectExpr(
         """concat('{"id":', CAST(o_orderkey AS STRING), ',"title":"Doc ',
              CAST(o_orderkey AS STRING), '","released":"', date_format(o_orderdate, 'yyyy-MM'),
              '","master_id":', CAST(o_custkey AS STRING), ',"artists":[{"id":',
@@ -427,13 +530,18 @@ def json_releases(c):
         F.get("artists", F.lit(0))["id"].alias("artist_id"),
         F.get("labels", F.lit(0))["catno"].alias("catalog_number"),
         F.size("tracklist").alias("track_count"),
+        "year", "country", "status", "data_quality", "notes", "estimated_weight",
+        F.size("extraartists").alias("extra_count"), F.size("companies").alias("company_count"),
+        F.size("formats").alias("format_count"), F.size("genres").alias("genre_count"),
+        F.size("styles").alias("style_count"), F.size("identifiers").alias("identifier_count"),
+        F.size("images").alias("image_count"), F.size("videos").alias("video_count"),
     )
 
 
 # ------------------------------------------------------------------- landed XML
 def _release_records(c):
     """Release elements: some lack a title or a usable id, some are not well formed."""
-    fragments = spread(c.table("orders")).selectExpr(
+    fragments = _dealt(c, "orders", "o_orderkey").selectExpr(
         """concat('<release id="', CASE WHEN o_orderkey % 29 = 0 THEN 'x' ELSE '' END,
              CAST(o_orderkey AS STRING), '" status="Accepted"><title>',
              CASE WHEN o_orderkey % 37 = 0 THEN ' ' ELSE concat(' Café &amp; ',
@@ -467,6 +575,8 @@ def xml_releases(c):
         F.array_join(F.get("formats", first)["descriptions"], "|").alias("descriptions"),
         F.size("tracklist").alias("track_count"),
         F.get("tracklist", first)["duration"].alias("duration"),
+        "country", "notes", F.size("styles").alias("style_count"),
+        F.size("extraartists").alias("extra_count"),
     )
 
 
@@ -478,7 +588,7 @@ def xml_quality_gate(c):
 @register
 def xml_artists(c):
     """Artist elements; a named alias with a bad id rejects its artist."""
-    fragments = spread(c.table("part")).selectExpr(
+    fragments = _dealt(c, "part", "p_partkey").selectExpr(
         """concat('<artist><id>', CAST(p_partkey AS STRING), '</id><name>\n ', p_name,
              ' </name><realname></realname><urls><url>u1</url><url/></urls><aliases><name id="',
              CASE WHEN p_partkey % 17 = 0 THEN 'bad' ELSE CAST(p_partkey AS STRING) END, '">',
@@ -494,7 +604,7 @@ def xml_artists(c):
 
 @register
 def xml_labels(c):
-    fragments = spread(c.table("supplier")).selectExpr(
+    fragments = _dealt(c, "supplier", "s_suppkey").selectExpr(
         """concat('<label><id>', CAST(s_suppkey AS STRING), '</id><name>', s_name,
              '</name><parentLabel id="', CASE WHEN s_suppkey % 3 = 0 THEN 'bad' ELSE
                CAST(s_nationkey AS STRING) END, '">P</parentLabel><sublabels><label id="',
@@ -510,7 +620,7 @@ def xml_labels(c):
 
 @register
 def xml_masters(c):
-    fragments = spread(c.table("customer")).selectExpr(
+    fragments = _dealt(c, "customer", "c_custkey").selectExpr(
         """concat('<master id="', CAST(c_custkey AS STRING), '"><main_release>',
              CASE WHEN c_custkey % 5 = 0 THEN 'bad' ELSE CAST(c_custkey * 2 AS STRING) END,
              '</main_release><title>', c_name, '</title><year>',
@@ -523,7 +633,111 @@ def xml_masters(c):
     )
 
 
+def _dump(c, kind, records, key):
+    """A dump of the records, a file per partition, in the shared folder."""
+    folder = f"{shared_folder(c.spark)}/dump-{uuid.uuid4().hex}"
+    root = F.concat(F.lit(f"<{kind}>"), F.array_join(F.collect_list("value"), "\n"), F.lit(f"</{kind}>"))
+    parts = records.groupBy(F.expr(f"{key} % 40").alias("part")).agg(root.alias("value"))
+    parts.select("value").write.text(folder)
+    return folder
+
+
+@register
+def xml_label_file(c):
+    """A label dump read from files; a seventh of the records is broken."""
+    records = c.table("supplier").selectExpr(
+        "s_suppkey",
+        """concat('<label><id>', CAST(s_suppkey AS STRING), '</id><name>', s_name,
+             CASE WHEN s_suppkey % 7 = 3 THEN '' ELSE '</name>' END,
+             '<sublabels><label id="', CAST(s_suppkey + 1 AS STRING), '">a</label></sublabels>',
+             CASE WHEN s_suppkey % 7 = 3 THEN '' ELSE '</label>' END) AS value""",
+    )
+    read = xml_dumps.read_dump(c.spark, _dump(c, "labels", records, "s_suppkey"), "labels")
+    return read.select(
+        "id", "name", F.array_join(F.col("subsidiaries").cast("array<string>"), "|").alias("subsidiaries")
+    )
+
+
+@register
+def xml_release_file(c):
+    """A release dump read from files, name variations and dates included."""
+    records = c.table("orders").selectExpr(
+        "o_orderkey",
+        """concat('<release id="', CAST(o_orderkey AS STRING), '" status="Accepted"><title>T ',
+             CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE '</title>' END,
+             '<country>', o_orderpriority, '</country></release>') AS value""",
+    )
+    read = xml_dumps.read_dump(c.spark, _dump(c, "releases", records, "o_orderkey"), "releases")
+    return read.select("id", "title", "country", "status")
+
+
+@register
+def xml_name_variations(c):
+    fragments = c.table("part").selectExpr(
+        """concat('<artist><id>', CAST(p_partkey AS STRING), '</id><name>N</name><namevariations>',
+             '<name>', p_brand, '</name><name> </name><name>', p_type, '</name></namevariations>',
+             '</artist>') AS fragment"""
+    )
+    records = xml_dumps.checked(xml_dumps.parse_fragments(fragments, "artists"), "artists")
+    return xml_dumps.accepted(records).select(
+        "id", F.array_join("name_variations", "|").alias("name_variations")
+    )
+
+
+# ------------------------------------------------------------------------- sinks
+def _written(c, fmt, schema):
+    """A sorted analysis written as a report, and read back."""
+    folder = f"{shared_folder(c.spark)}/report-{uuid.uuid4().hex}"
+    registry.report(c.tables(), folder, fmt)
+    reader = c.spark.read.schema(schema).option("header", True)
+    return reader.format(fmt).load(f"{folder}/genres")
+
+
+GENRES = "genre string, release_count bigint, percentage double"
+
+
+@register
+def report_csv(c):
+    return _written(c, "csv", GENRES)
+
+
+@register
+def report_json(c):
+    return _written(c, "json", GENRES)
+
+
 # ------------------------------------------------------------ quality, provenance
+@register
+def load_provenance(c):
+    """The provenance table after a load of the labels."""
+    sources = c.data_sources
+    loaded = load.provenance(sources, "labels", "x_20250601_labels.xml", c.labels, "s1")
+    return loaded.select("source_type", "file_name", "record_count", "source_date")
+
+
+@register
+def dump_dates(c):
+    files = c.table("orders").selectExpr(
+        """CASE o_orderkey % 4 WHEN 0 THEN 'x_' || date_format(o_orderdate, 'yyyyMMdd') || '_a.xml.gz'
+             WHEN 1 THEN 'x_20251399_a.xml' WHEN 2 THEN 'plain.xml'
+             ELSE 'x_' || date_format(o_orderdate, 'yyyyMMdd') || '.xml' END AS name""",
+        "o_orderkey AS id",
+    )
+    return files.select("id", dump_date("name").alias("dump_date"))
+
+
+@register
+def newest_dumps(c):
+    """The dump with the latest date in its name, of one per order."""
+    files = c.table("orders").selectExpr(
+        "'x_' || date_format(o_orderdate, 'yyyyMMdd') || '_artists.xml' AS file_name",
+        "CAST(o_orderkey AS STRING) AS path",
+        "o_orderkey AS modified",
+    )
+    dated = files.withColumn("dump_date", dump_date("file_name"))
+    return xml_dumps.newest_dump(dated).select("path", "file_name", "dump_date")
+
+
 @register
 def table_status(c):
     return quality.table_status(c.tables(), c.data_sources)
