@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,32 +33,36 @@ class Settings:
     seed: int = 7
 
 
-def subwords(word: str, settings: Settings) -> list[int]:
-    """Buckets of the word and of its character n-grams, with marks at both ends."""
-    marked = f"<{word}>"
-    grams = {marked}
-    for n in range(settings.shortest, settings.longest + 1):
-        grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % settings.buckets for g in grams]
-
+def subwords(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of their character n-grams, end to end, and each one's word.
 
-class Vocabulary:
-    """Numbers for the words of the sample, and each word's subword buckets, end to end."""
+    A word has a mark at both ends; an n-gram that it holds twice counts twice.
+    """
+    marked = "".join(f"<{w}>" for w in words)
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(codes)) - starts[owner]
+    whole = np.add.reduceat(_mixed(codes + (place.astype(np.uint64) << np.uint64(32))), starts)
+    found, owners = [_mixed(whole)], [np.arange(len(words))]
+    for n in range(settings.shortest, settings.longest + 1):
+        count = len(codes) - n + 1
+        if count < 1:
+            break
+        total = np.full(count, n, np.uint64)
+        for i in range(n):
+            total = _mixed(total + codes[i : i + count])
+        inside = owner[:count] == owner[n - 1 :]
+        found.append(total[inside])
+        owners.append(owner[:count][inside])
+    buckets = np.concatenate(found) % np.uint64(settings.buckets)
+    return buckets.astype(np.int32), np.concatenate(owners)
 
-    def __init__(self, settings: Settings):
-        self.settings, self.numbers = settings, {}
-        self.buckets: list[np.ndarray] = []
 
-    def passages(self, text: str) -> list[np.ndarray]:
-        words = []
-        for word in _WORDS.findall(text.lower()):
-            number = self.numbers.setdefault(word, len(self.numbers))
-            if number == len(self.buckets):
-                self.buckets.append(np.array(subwords(word, self.settings), np.int32))
-            words.append(number)
-        size = self.settings.passage
-        parts = [np.array(words[i : i + size], np.int32) for i in range(0, len(words), size)]
-        return parts or [np.zeros(0, np.int32)]
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return values ^ (values >> np.uint64(32))
 
 
 @dataclass
@@ -84,8 +87,13 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> Model:
     as it does in scoring.
     """
     rng = np.random.default_rng(settings.seed)
-    vocabulary = Vocabulary(settings)
-    docs = [vocabulary.passages(t) for t in texts]
+    numbers: dict[str, int] = {}
+    docs = [_passages(t, numbers, settings.passage) for t in texts]
+    ids, owner = subwords(list(numbers), settings) if numbers else (np.zeros(0, np.int32),) * 2
+    order = np.argsort(owner, kind="stable")
+    by_words, sizes = ids[order], np.bincount(owner, minlength=len(numbers))
+    ends = np.cumsum(sizes)
+    buckets = [by_words[e - n : e] for e, n in zip(ends, sizes, strict=True)]
     y = np.asarray(labels, np.int64)
     embedding = rng.normal(0, 0.1, (settings.buckets, settings.dims)).astype(np.float32)
     output = rng.normal(0, 0.1, (settings.dims, 2)).astype(np.float32)
@@ -102,7 +110,7 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> Model:
             doc = np.repeat(np.arange(len(chosen)), [len(docs[i]) for i in chosen])
             words, token = np.unique(np.concatenate(passages), return_inverse=True)
             row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-            bags = [vocabulary.buckets[w] for w in words] or [np.zeros(0, np.int32)]
+            bags = [buckets[w] for w in words] or [np.zeros(0, np.int32)]
             ids = np.concatenate(bags)
             sizes = np.array([len(b) for b in bags])
             owner = np.repeat(np.arange(len(bags)), sizes)
@@ -138,34 +146,53 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> Model:
     return Model(embedding @ difference, float(bias[1] - bias[0]), settings)
 
 
+def _passages(text: str, numbers: dict[str, int], size: int) -> list[np.ndarray]:
+    words = [numbers.setdefault(w, len(numbers)) for w in _WORDS.findall(text.lower())]
+    parts = [np.array(words[i : i + size], np.int32) for i in range(0, len(words), size)]
+    return parts or [np.zeros(0, np.int32)]
+
+
 def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     columns = [np.bincount(index, values[:, d], size) for d in range(values.shape[1])]
     return np.stack(columns, axis=1).astype(np.float32)
 
 
 class Scorer:
-    def __init__(self, model: Model, most: int = 200_000):
-        self.model, self.most, self.known = model, most, {}
-
-    def of_word(self, word: str) -> tuple[float, int]:
-        ids = subwords(word, self.model.settings)
-        return float(self.model.weights[ids].sum()), len(ids)
-
-    def score(self, text: str | None) -> float:
-        """Probability of label 1 of the passage most like it; without words, of the bias alone."""
-        known, best, step = self.known, None, self.model.settings.passage
-        words = _WORDS.findall((text or "").lower())
-        if len(known) > self.most:
-            known.clear()
-        for word in words:
-            if word not in known:
-                known[word] = self.of_word(word)
-        for at in range(0, len(words), step):
-            sums, counts = zip(*[known[w] for w in words[at : at + step]], strict=True)
-            odds = sum(sums) / sum(counts)
-            best = odds if best is None or odds > best else best
-        odds = self.model.bias + (best or 0.0)
-        return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+    """Scores texts; remembers what the subwords of words add, up to a bound."""
+
+    def __init__(self, model: Model, most: int = 500_000):
+        self.model, self.most = model, most
+        self._forget()
+
+    def _forget(self):
+        self.places: dict[str, int] = {}
+        self.sums, self.counts = np.zeros(0), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]):
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids, owner = subwords(part, self.model.settings)
+            added = np.bincount(owner, self.model.weights[ids], len(part))
+            self.sums = np.append(self.sums, added)
+            self.counts = np.append(self.counts, np.bincount(owner, minlength=len(part)))
+            self.places.update(zip(part, range(len(self.places), len(self.places) + len(part))))
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of label 1 of each text's passage most like it; without words, the bias's."""
+        odds = np.full(len(texts), self.model.bias)
+        for at in range(0, len(texts), 200):
+            lists = [_WORDS.findall((t or "").lower()) for t in texts[at : at + 200]]
+            if len(self.places) > self.most:
+                self._forget()
+            self._learn(list({w for words in lists for w in words if w not in self.places}))
+            for i, words in enumerate(lists, at):
+                if words:
+                    place = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+                    first = np.arange(0, len(words), self.model.settings.passage)
+                    sums = np.add.reduceat(self.sums[place], first)
+                    counts = np.add.reduceat(self.counts[place], first)
+                    odds[i] += (sums / counts).max()
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
 def held_out(id_column: str = "doc_id"):
@@ -220,8 +247,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_column: str = "text") ->
         scorer = Scorer(shared.value)
 
         def run(texts):
-            scores = [scorer.score(t) for t in texts]
-            return [(s, int(s >= 0.5)) for s in scores]
+            return [(float(s), int(s >= 0.5)) for s in scorer.score(texts)]
 
         return run
 
