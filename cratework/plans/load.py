@@ -16,7 +16,7 @@ from cratework.operators import quality
 from cratework.operators.filters import ReleaseStrategy, apply_strategy
 from cratework.operators.merge import (
     emptied,
-    insert_ignore,
+    insert_new,
     last_per_key,
     refresh,
     replace_children,
@@ -24,10 +24,10 @@ from cratework.operators.merge import (
 from cratework.operators.missing import missing_entities
 from cratework.operators.prune import prune_children, prune_releases
 from cratework.operators.shred import Shredded, shred
-from cratework.plans.sync import ensure_users, sync_collection
+from cratework.plans.sync import new_users, sync_collection
 from cratework.sources import json_documents, xml_dumps
 from cratework.sources.positions import POSITION
-from cratework.sources.snapshots import SnapshotStore
+from cratework.sources.snapshots import Change, SnapshotStore
 
 ARTIST_LINK = ["release_id", "artist_id", "role"]
 LABEL_LINK = ["release_id", "label_id", "catalog_number"]
@@ -56,16 +56,11 @@ def land_dump(
     return spark.read.parquet(landing)
 
 
-def provenance(
-    data_sources: DataFrame,
-    kind: str,
-    file_name: str,
-    loaded: DataFrame,
-    snapshot: str,
-    source_name: str = "xml_dump",
+def provenance_row(
+    kind: str, file_name: str, loaded: DataFrame, snapshot: str, source_name: str = "xml_dump"
 ) -> DataFrame:
-    """The provenance table with a row for this load."""
-    row = loaded.agg(F.count("*").alias("record_count")).select(
+    """One row that tells of a load."""
+    return loaded.agg(F.count("*").alias("record_count")).select(
         F.lit(kind).alias("source_type"),
         F.lit(source_name).alias("source_name"),
         F.current_timestamp().alias("last_updated"),
@@ -74,22 +69,46 @@ def provenance(
         dump_date(F.lit(file_name)).alias("source_date"),
         F.lit(snapshot).alias("snapshot"),
     )
+
+
+def provenance(
+    data_sources: DataFrame,
+    kind: str,
+    file_name: str,
+    loaded: DataFrame,
+    snapshot: str,
+    source_name: str = "xml_dump",
+) -> DataFrame:
+    """The provenance table with a row for this load."""
+    row = provenance_row(kind, file_name, loaded, snapshot, source_name)
     return data_sources.unionByName(row, allowMissingColumns=True)
 
 
-def merged_links(store: SnapshotStore, parts: Shredded) -> dict[str, DataFrame]:
-    """Next states of the link and track tables; shredded links are unique already."""
+def link_changes(store: SnapshotStore, parts: Shredded, releases: DataFrame) -> dict[str, Change]:
+    """New links, and the tracks of the buckets that the releases are in.
+
+    Shredded links are unique already; only new ones are written.
+    """
+    buckets = store.buckets_of("tracks", releases.select(F.col("id").alias("release_id")))
+
+    def new(table: str, rows: DataFrame, key: list[str]) -> Change:
+        return Change(insert_new(store.read(table, buckets), rows, key, unique=True), [])
+
     return {
-        "release_artists": insert_ignore(
-            store.read("release_artists"), parts.release_artists, ARTIST_LINK, unique=True
+        "release_artists": new("release_artists", parts.release_artists, ARTIST_LINK),
+        "release_labels": new("release_labels", parts.release_labels, LABEL_LINK),
+        "tracks": Change(
+            replace_children(store.read("tracks", buckets), parts.tracks, "release_id"), buckets
         ),
-        "release_labels": insert_ignore(
-            store.read("release_labels"), parts.release_labels, LABEL_LINK, unique=True
-        ),
-        "tracks": replace_children(store.read("tracks"), parts.tracks, "release_id"),
     }
 
 
+def refreshed(store: SnapshotStore, kind: str, incoming: DataFrame) -> Change:
+    """The buckets of an entity table that some rows are in, with these merged."""
+    buckets = store.buckets_of(kind, incoming)
+    return Change(refresh(store.read(kind, buckets), incoming, ["id"]), buckets)
+
+
 def load_dump(
     store: SnapshotStore,
     path: str,
@@ -115,7 +134,7 @@ def load_dump(
     snapshot = uuid.uuid4().hex
     landed = land_dump(store, path, kind, snapshot, max_error_rate)
     stored = store.read(kind)
-    tables: dict[str, DataFrame] = {}
+    changes: dict[str, Change] = {}
     if kind == "releases":
         links = shred(landed) if strategy.name == "selective" else None
         landed = apply_strategy(
@@ -131,16 +150,15 @@ def load_dump(
     # As in the order of the file, the last record of an id stays.
     position = F.col(POSITION)
     incoming = last_per_key(landed, ["id"], position).drop(POSITION)
-    counted = landed
+    # Filtered and made unique once, then read by the merge, the shredding and the count.
+    kept = f"{store.landing(kind, snapshot)}_kept"
+    incoming.write.mode("overwrite").parquet(kept)
+    incoming = store.spark.read.parquet(kept)
     if kind == "releases":
-        # Filtered and made unique once, then read by the merge and by the shredding.
-        kept = f"{store.landing(kind, snapshot)}_kept"
-        incoming.write.mode("overwrite").parquet(kept)
-        incoming = counted = store.spark.read.parquet(kept)
-        tables.update(merged_links(store, shred(incoming)))
-    tables[kind] = refresh(stored, incoming, ["id"])
-    tables["data_sources"] = provenance(sources, kind, file_name, counted, snapshot)
-    store.replace(tables)
+        changes.update(link_changes(store, shred(incoming), incoming))
+    changes[kind] = refreshed(store, kind, incoming)
+    changes["data_sources"] = Change(provenance_row(kind, file_name, incoming, snapshot), [])
+    store.publish(changes)
     return True
 
 
@@ -172,12 +190,10 @@ def merge_documents(
     rows = json_documents.read_documents(store.spark, path, kind, json_lines)
     last_per_key(rows, ["id"], F.col(POSITION)).drop(POSITION).write.mode("overwrite").parquet(landing)
     incoming = store.spark.read.parquet(landing)
-    tables = merged_links(store, shred(incoming)) if kind == "releases" else {}
-    tables[kind] = refresh(store.read(kind), incoming, ["id"])
-    tables["data_sources"] = provenance(
-        store.read("data_sources"), kind, path, incoming, snapshot, "api"
-    )
-    store.replace(tables)
+    changes = link_changes(store, shred(incoming), incoming) if kind == "releases" else {}
+    changes[kind] = refreshed(store, kind, incoming)
+    changes["data_sources"] = Change(provenance_row(kind, path, incoming, snapshot, "api"), [])
+    store.publish(changes)
 
 
 def sync_pages(
@@ -186,15 +202,20 @@ def sync_pages(
     """Sync a user's landed collection pages; returns the entities named but not stored."""
     spark = store.spark
     names = spark.createDataFrame([(username,)], "username string")
-    users = ensure_users(store.read("users"), names)
-    store.replace({"users": users.withColumn("created_at", F.coalesce("created_at", F.now()))})
+    users = store.read("users")
+    if users.where(F.col("username") == username).isEmpty():
+        added = new_users(users, names).withColumn("created_at", F.current_timestamp())
+        store.append({"users": added})
     user_id = store.read("users").where(F.col("username") == username).first()["id"]
     snapshot = uuid.uuid4().hex
     landing = store.landing("collection", snapshot)
     pages = json_documents.read_pages(spark, path, json_lines)
     json_documents.collection_items(pages, user_id).write.mode("overwrite").parquet(landing)
     items = spark.read.parquet(landing)
-    synced = sync_collection(store.read("user_collection"), items, force)
+    # Only the bucket of this user is read, and with ``force`` written.
+    buckets = store.buckets_of("user_collection", items)
+    stored = store.read("user_collection", buckets)
+    synced = sync_collection(stored, items, force)
     status = synced.counters.select(
         F.lit(user_id).alias("user_id"),
         F.lit("collection").alias("sync_type"),
@@ -204,24 +225,25 @@ def sync_pages(
         F.when(F.col("errors") > 0, F.concat(F.col("errors").cast("string"), F.lit(" items rejected")))
         .alias("error_message"),
     )
-    store.replace(
+    collection = Change(synced.collection, buckets) if force else Change(synced.new, [])
+    provenance = provenance_row("collection", path, items, snapshot, "api")
+    store.publish(
         {
-            "user_collection": synced.collection,
-            "sync_status": store.read("sync_status").unionByName(status),
-            "data_sources": provenance(
-                store.read("data_sources"), "collection", path, items, snapshot, "api"
-            ),
+            "user_collection": collection,
+            "sync_status": Change(status, []),
+            "data_sources": Change(provenance, []),
         }
     )
-    return missing_entities(
-        *[store.read(t) for t in ("user_collection", "releases", "artists", "labels", "masters")],
-        force=force,
-    )
+    # Forced, every release that the pages name is listed, to be fetched again.
+    named = items if force else store.read("user_collection")
+    stored = [store.read(t) for t in ("releases", "artists", "labels", "masters")]
+    return missing_entities(named, *stored, force=force)
 
 
 def reprocess_links(store: SnapshotStore) -> None:
     """Shred every stored release again."""
-    store.replace(merged_links(store, shred(store.read("releases"))))
+    releases = store.read("releases")
+    store.publish(link_changes(store, shred(releases), releases))
 
 
 def prune_store(store: SnapshotStore, keep_masters: bool = False) -> None:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cratework.operators.merge import insert_ignore, last_per_key, upsert
+from cratework.operators.merge import insert_new, last_per_key, upsert
 from cratework.operators.quality import rating_in_range, split_valid
 from cratework.sources.json_documents import has_release
 
@@ -16,6 +16,7 @@ KEY = ["user_id", "instance_id"]
 
 class Synced(NamedTuple):
     collection: DataFrame
+    new: DataFrame
     rejected: DataFrame
     counters: DataFrame
 
@@ -32,7 +33,7 @@ def latest_items(items: DataFrame) -> DataFrame:
 
 
 def sync_collection(stored: DataFrame, items: DataFrame, force: bool = False) -> Synced:
-    """The next collection, the items that are not valid and the counters.
+    """The next collection, its new rows, the items that are not valid and the counters.
 
     A known item stays as it is; with ``force`` everything but its release and its
     creation time is taken from the new item.
@@ -41,11 +42,12 @@ def sync_collection(stored: DataFrame, items: DataFrame, force: bool = False) ->
     latest = latest_items(items)
     if "created_at" in stored.columns:
         latest = latest.withColumn("created_at", F.current_timestamp())
+    new = insert_new(stored, _shaped(latest, stored), KEY, unique=True).select(stored.columns)
     if force:
         collection = upsert(stored, latest, KEY, keep=("release_id", "created_at"))
     else:
-        collection = insert_ignore(stored, _shaped(latest, stored), KEY, unique=True)
-    return Synced(collection, rejected, sync_counters(stored, items, force))
+        collection = stored.unionByName(new)
+    return Synced(collection, new, rejected, sync_counters(stored, items, force))
 
 
 def _shaped(items: DataFrame, stored: DataFrame) -> DataFrame:
@@ -79,8 +81,8 @@ def sync_counters(stored: DataFrame, items: DataFrame, force: bool = False) -> D
     )
 
 
-def ensure_users(users: DataFrame, usernames: DataFrame) -> DataFrame:
-    """Users with a row for every name in ``usernames.username``; new ones get new ids.
+def new_users(users: DataFrame, usernames: DataFrame) -> DataFrame:
+    """A row with a new id for every name in ``usernames.username`` that is not known.
 
     New ids are unique and above all old ones, not consecutive.
     """
@@ -88,7 +90,11 @@ def ensure_users(users: DataFrame, usernames: DataFrame) -> DataFrame:
         users.select("username"), "username", "left_anti"
     )
     last = users.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint")).alias("id")).scalar()
-    numbered = new.sortWithinPartitions("username").select(
+    return new.sortWithinPartitions("username").select(
         (last + 1 + F.monotonically_increasing_id()).alias("id"), "username"
     )
-    return users.unionByName(numbered, allowMissingColumns=True)
+
+
+def ensure_users(users: DataFrame, usernames: DataFrame) -> DataFrame:
+    """The users, with those of ``usernames`` that were not known."""
+    return users.unionByName(new_users(users, usernames), allowMissingColumns=True)

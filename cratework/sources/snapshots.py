@@ -1,50 +1,120 @@
-"""Stored tables as Parquet snapshots.
+"""Stored tables as Parquet folders below one root.
 
-A table is never changed in place: its next state is written to a new folder and
-becomes visible when one row per table is appended to the log of published
-snapshots. A load that fails, at any point, leaves the tables as they were.
+A table is a list of folders, each split by a bucket of its key. A job adds a folder and says
+which buckets of the earlier ones it replaces: none (rows are appended), those that hold the
+keys it changed, or all. Nothing is changed in place. A job becomes visible when one small
+folder, named by the next version number, is added to the log; the log refuses a version that
+is there already, so a job that began from an older state fails instead of undoing another.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratework import schemas
 
-LOG = "table_name string, snapshot string, published_at timestamp"
+LOG = "version bigint, table_name string, folder string, replaces array<int>, whole boolean"
+
+#: The column that places a row of a table in a bucket.
+KEYS = {
+    "artists": "id",
+    "labels": "id",
+    "masters": "id",
+    "releases": "id",
+    "release_artists": "release_id",
+    "release_labels": "release_id",
+    "tracks": "release_id",
+    "user_collection": "user_id",
+}
+
+
+class StalePublish(RuntimeError):
+    """Another job has published since this one read its tables."""
+
+
+class Change(NamedTuple):
+    """Rows for a table, and the buckets they replace: None for all, empty to append."""
+
+    rows: DataFrame
+    buckets: list[int] | None = None
 
 
 class SnapshotStore:
     """The catalogue tables below ``root``, a folder all executors can reach."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
+        self._log: list | None = None
         # Makes the log folder exist; adds nothing to a store that is there.
-        empty = spark.createDataFrame([], LOG)
-        empty.write.mode("ignore").parquet(f"{self.root}/_published")
+        empty = spark.createDataFrame([], LOG).drop("version")
+        empty.write.mode("ignore").parquet(f"{self.root}/_published/version=0")
 
-    def _current(self, table: str) -> str | None:
-        log = self.spark.read.schema(LOG).parquet(f"{self.root}/_published")
-        newest = log.where(F.col("table_name") == table).agg(
-            F.max_by("snapshot", "published_at").alias("snapshot")
-        )
-        return newest.first()["snapshot"]
-
-    def read(self, table: str) -> DataFrame:
-        """The published state of a table; empty before its first publication."""
-        snapshot = self._current(table)
-        if snapshot is None:
-            return self.spark.createDataFrame([], schemas.TABLES[table])
-        reader = self.spark.read.schema(schemas.TABLES[table])
-        return reader.parquet(f"{self.root}/{table}/{snapshot}")
-
-    def stage(self, table: str, df: DataFrame, snapshot: str) -> None:
-        """Write the next state of a table without showing it."""
+    def _entries(self) -> list:
+        """The log, a row per table of each job; read once until this store publishes."""
+        if self._log is None:
+            log = self.spark.read.schema(LOG).parquet(f"{self.root}/_published")
+            self._log = sorted(log.collect(), key=lambda entry: entry.version)
+        return self._log
+
+    def version(self) -> int:
+        return max((entry.version for entry in self._entries()), default=0)
+
+    def refreshed(self) -> SnapshotStore:
+        """Forget the state that was read."""
+        self._log = None
+        return self
+
+    def _folders(self, table: str) -> dict[str, set[int]]:
+        """The folders of a table's state, and the buckets of each that were replaced since."""
+        state: dict[str, set[int]] = {}
+        for entry in self._entries():
+            if entry.table_name == table:
+                if entry.whole:
+                    state.clear()
+                for gone in state.values():
+                    gone.update(entry.replaces or ())
+                state[entry.folder] = set()
+        return {f: gone for f, gone in state.items() if len(gone) < self.buckets}
+
+    def _bucket(self, key: str) -> Column:
+        return F.coalesce(F.pmod(F.xxhash64(key), F.lit(self.buckets)), F.lit(0)).cast("int")
+
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """The published state of a table, or some buckets of it."""
+        schema = schemas.TABLES[table]
+        found = self.spark.createDataFrame([], schema)
+        frames = []
+        for folder, gone in self._folders(table).items():
+            reader = self.spark.read.schema(f"{schema}, bucket int" if table in KEYS else schema)
+            rows = reader.parquet(f"{self.root}/{table}/{folder}")
+            if table in KEYS:
+                if gone:
+                    rows = rows.where(~F.col("bucket").isin(*sorted(gone)))
+                if buckets is not None:
+                    rows = rows.where(F.col("bucket").isin(*buckets))
+                rows = rows.drop("bucket")
+            frames.append(rows)
+        if not frames:
+            return found
+        for more in frames[1:]:
+            frames[0] = frames[0].unionByName(more)
+        return frames[0]
+
+    def buckets_of(self, table: str, rows: DataFrame) -> list[int]:
+        """The buckets that the keys of some rows are in; at most as many as a table has."""
+        found = rows.select(self._bucket(KEYS[table]).alias("bucket")).distinct().collect()
+        return sorted(r.bucket for r in found)
+
+    def _stage(self, table: str, df: DataFrame, folder: str) -> None:
+        """Write rows for a table without showing them."""
         fitted = df.select(
             *[
                 F.col(f.name) if f.name in df.columns
@@ -52,24 +122,41 @@ class SnapshotStore:
                 for f in self.spark.createDataFrame([], schemas.TABLES[table]).schema.fields
             ]
         )
-        fitted.write.mode("overwrite").parquet(f"{self.root}/{table}/{snapshot}")
+        path = f"{self.root}/{table}/{folder}"
+        if table not in KEYS:
+            fitted.write.mode("overwrite").parquet(path)
+            return
+        # Rebalanced by bucket: Spark splits what is large and joins what is small.
+        placed = fitted.withColumn("bucket", self._bucket(KEYS[table])).hint("rebalance", "bucket")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
-    def publish(self, tables: list[str], snapshot: str) -> None:
-        """Show the staged states of ``tables``, all at once."""
+    def publish(self, changes: Mapping[str, Change]) -> str:
+        """Stage the changes of some tables and show them all at once; returns the folder name."""
+        version, folder = self.version() + 1, uuid.uuid4().hex
+        for table, change in changes.items():
+            self._stage(table, change.rows, folder)
+        entries = [(t, folder, c.buckets, c.buckets is None) for t, c in changes.items()]
         rows = self.spark.createDataFrame(
-            [(table, snapshot) for table in tables], "table_name string, snapshot string"
+            entries, "table_name string, folder string, replaces array<int>, whole boolean"
         )
-        rows.withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{self.root}/_published")
+        try:
+            rows.coalesce(1).write.parquet(f"{self.root}/_published/version={version}")
+        except AnalysisException as error:
+            raise StalePublish(f"version {version} is there already") from error
+        self._log = None
+        return folder
 
     def replace(self, tables: Mapping[str, DataFrame]) -> str:
-        """Stage and publish the next states of some tables; returns the snapshot name."""
-        snapshot = uuid.uuid4().hex
-        for table, df in tables.items():
-            self.stage(table, df, snapshot)
-        self.publish(list(tables), snapshot)
-        return snapshot
+        """Publish whole next states of some tables."""
+        return self.publish({table: Change(df) for table, df in tables.items()})
+
+    def append(self, tables: Mapping[str, DataFrame]) -> str:
+        """Publish more rows of some tables."""
+        return self.publish({table: Change(df, []) for table, df in tables.items()})
+
+    def compact(self, table: str) -> None:
+        """Write a table's state as one folder."""
+        self.replace({table: self.read(table)})
 
     def landing(self, kind: str, snapshot: str) -> str:
         return f"{self.root}/_landing/{kind}/{snapshot}"

@@ -1,12 +1,13 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from cratework import schemas
 from cratework.operators.filters import ReleaseStrategy
 from cratework.operators.quality import LoadRejected
 from cratework.plans import load
-from cratework.sources.snapshots import SnapshotStore
+from cratework.sources.snapshots import Change, SnapshotStore, StalePublish
 
 pytestmark = pytest.mark.usefixtures("small_jobs")
 
@@ -173,3 +174,64 @@ def test_clear_and_reprocess(store, dumps):
         "artists": True, "labels": False, "masters": False, "releases": False
     }
     assert collect_ids(store, "artists") == [1, 2]
+
+
+def test_the_last_record_of_an_id_stays(store, dumps):
+    def artist(name):
+        return f"<artist><id>1</id><name>{name}</name></artist>"
+
+    path = dump(dumps, "artists", artist("old") + artist("older") + artist("new"), day="20250801")
+    load.load_dump(store, path, "artists")
+    assert [r["name"] for r in store.read("artists").collect()] == ["new"]
+
+
+def test_hidden_records_count_as_bad(store, dumps):
+    broken = '<master id="1"><title>A</title>'
+    path = dump(dumps, "masters", broken + '<master id="2"><title>B</title></master>')
+    with pytest.raises(LoadRejected):
+        load.load_dump(store, path, "masters")
+
+
+def test_prune_store(store, dumps):
+    load.load_all(store, str(dumps))
+    own(store, 123)
+    load.prune_store(store)
+    assert collect_ids(store) == [123]
+    for table in ("release_artists", "release_labels", "tracks"):
+        assert set(collect_ids(store, table, "release_id")) == {123}
+
+
+def test_a_change_leaves_other_buckets_alone(store):
+    users = store.spark.range(40).selectExpr("id AS user_id", "id AS instance_id", "id AS release_id")
+    store.replace({"user_collection": users})
+
+    def files():
+        rows = store.read("user_collection").select(F.input_file_name().alias("file"))
+        return {r["file"] for r in rows.distinct().collect()}
+
+    before = files()
+    change = users.where("user_id = 7").selectExpr("user_id", "instance_id", "99L AS release_id")
+    buckets = store.buckets_of("user_collection", change)
+    assert len(buckets) == 1
+    rest = store.read("user_collection", buckets).where("user_id <> 7")
+    store.publish({"user_collection": Change(rest.unionByName(change, True), buckets)})
+    after = store.read("user_collection")
+    assert before - files() == {f for f in before if f"/bucket={buckets[0]}/" in f}
+    got = {r["user_id"]: r["release_id"] for r in after.collect()}
+    assert got == {i: 99 if i == 7 else i for i in range(40)}
+    store.append({"user_collection": change.selectExpr("user_id", "5L AS instance_id")})
+    assert store.read("user_collection").count() == 41
+    store.compact("user_collection")
+    assert store.read("user_collection").count() == 41
+
+
+def test_a_stale_publish_is_refused(store):
+    other = SnapshotStore(store.spark, store.root)
+    row = store.spark.createDataFrame([(1, "one")], "id long, username string")
+    assert other.version() == store.version()
+    store.append({"users": row})
+    with pytest.raises(StalePublish):
+        other.append({"users": row})
+    assert store.read("users").count() == 1
+    other.refreshed().append({"users": row})
+    assert other.read("users").count() == 2

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.usefixtures("small_jobs")
 USER = 1
 
 
-def item(instance, release, rating=5, notes=None, added="2021-06-23T04:34:47-07:00"):
+def item(instance, release, rating=5, notes=None, added="2019-11-05T21:08:30-07:00"):
     basic = {"title": "T", "year": 2013, "master_id": 9, "genres": ["Rock"],
              "formats": [{"name": "Vinyl", "qty": "1", "descriptions": ["LP"]}],
              "labels": [{"name": "L", "catno": "C", "id": 3, "resource_url": "u"}],
@@ -33,7 +33,7 @@ def write_page(folder, name, items):
     (folder / f"{name}.json").write_text(json.dumps(page, indent=2), encoding="utf-8")
 
 
-FIRST = [item(1, 100, notes=[{"field_id": 3, "value": "Near Mint"}]), item(2, 200, 0, notes=[]),
+FIRST = [item(1, 100, notes=[{"field_id": 3, "value": "sleeve worn"}]), item(2, 200, 0, notes=[]),
          item(3, None), item(4, 0), item(5, 300, rating=9), item(6, 100, notes="plain")]
 
 
@@ -51,7 +51,7 @@ def test_items(spark, tmp_path):
     write_page(tmp_path / "p", "a", FIRST)
     rows = {r["instance_id"]: r for r in read_items(spark, tmp_path / "p").collect()}
     assert len(rows) == 6
-    assert rows[1]["notes"] == '[{"field_id":3,"value":"Near Mint"}]'
+    assert rows[1]["notes"] == '[{"field_id":3,"value":"sleeve worn"}]'
     assert rows[2]["notes"] is None and rows[2]["rating"] == 0 and rows[6]["notes"] == "plain"
     assert rows[3]["release_id"] is None and rows[4]["release_id"] is None
     assert rows[1]["basic_information"]["artists"][0]["id"] == 4
