@@ -196,22 +196,15 @@ def merge_documents(
     store.publish(changes)
 
 
-def sync_pages(
-    store: SnapshotStore, path: str, username: str, force: bool = False, json_lines: bool = False
-) -> DataFrame:
-    """Sync a user's landed collection pages; returns the entities named but not stored."""
-    spark = store.spark
-    names = spark.createDataFrame([(username,)], "username string")
-    users = store.read("users")
-    if users.where(F.col("username") == username).isEmpty():
-        added = new_users(users, names).withColumn("created_at", F.current_timestamp())
-        store.append({"users": added})
-    user_id = store.read("users").where(F.col("username") == username).first()["id"]
-    snapshot = uuid.uuid4().hex
-    landing = store.landing("collection", snapshot)
-    pages = json_documents.read_pages(spark, path, json_lines)
-    json_documents.collection_items(pages, user_id).write.mode("overwrite").parquet(landing)
-    items = spark.read.parquet(landing)
+def publish_items(
+    store: SnapshotStore,
+    items: DataFrame,
+    user_id: int,
+    snapshot: str,
+    path: str,
+    force: bool = False,
+) -> None:
+    """Landed items of a user into the stored collection, with status and provenance."""
     # Only the bucket of this user is read, and with ``force`` written.
     buckets = store.buckets_of("user_collection", items)
     stored = store.read("user_collection", buckets)
@@ -234,6 +227,25 @@ def sync_pages(
             "data_sources": Change(provenance, []),
         }
     )
+
+
+def sync_pages(
+    store: SnapshotStore, path: str, username: str, force: bool = False, json_lines: bool = False
+) -> DataFrame:
+    """Sync a user's landed collection pages; returns the entities named but not stored."""
+    spark = store.spark
+    names = spark.createDataFrame([(username,)], "username string")
+    users = store.read("users")
+    if users.where(F.col("username") == username).isEmpty():
+        added = new_users(users, names).withColumn("created_at", F.current_timestamp())
+        store.append({"users": added})
+    user_id = store.read("users").where(F.col("username") == username).first()["id"]
+    snapshot = uuid.uuid4().hex
+    landing = store.landing("collection", snapshot)
+    pages = json_documents.read_pages(spark, path, json_lines)
+    json_documents.collection_items(pages, user_id).write.mode("overwrite").parquet(landing)
+    items = spark.read.parquet(landing)
+    publish_items(store, items, user_id, snapshot, path, force)
     # Forced, every release that the pages name is listed, to be fetched again.
     named = items if force else store.read("user_collection")
     stored = [store.read(t) for t in ("releases", "artists", "labels", "masters")]

@@ -1,9 +1,10 @@
-"""Incremental collection sync over landed page files.
+"""Incremental collection sync over landed page files, into the stored tables.
 
-Each micro-batch appends the items not stored yet. The anti join against the
-stored keys replaces stream state, so nothing has to fit in memory and no
-watermark is needed. A batch owns one folder and overwrites it when it is run
-again after a failure, and looks only at earlier batches, so replays are exact.
+Each micro-batch is parsed once, into a landing folder of its own, and published like a batch
+sync: new items, status and provenance become visible together. The anti join against the
+stored keys replaces stream state, so nothing has to fit in memory and no watermark is needed.
+A batch that runs again after a failure overwrites its landing folder, and is skipped if its
+provenance row says that it was published.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cratework import schemas
-from cratework.operators.merge import insert_new
 from cratework.operators.quality import split_valid
-from cratework.plans.sync import KEY, is_valid_item, latest_items
+from cratework.plans.load import publish_items
+from cratework.plans.sync import is_valid_item
 from cratework.sources.json_documents import collection_items
-
-ITEM = schemas.TABLES["user_collection"]
+from cratework.sources.snapshots import SnapshotStore
 
 
 def stream_items(
@@ -32,42 +32,36 @@ def stream_items(
     return collection_items(reader.json(landing), user_id)
 
 
-def read_collection(spark: SparkSession, root: str) -> DataFrame:
-    """The collection that a stream has built so far."""
-    return spark.read.schema(f"{ITEM}, batch bigint").parquet(f"{root}/collection").drop("batch")
-
-
 def start_sync(
-    items: DataFrame, root: str, stored: DataFrame | None = None, available_now: bool = True
+    items: DataFrame,
+    store: SnapshotStore,
+    user_id: int,
+    force: bool = False,
+    available_now: bool = True,
 ) -> StreamingQuery:
-    """Append new items below ``root``; ``stored`` seeds the collection on the first start.
+    """Take the new items of one user into the store's collection.
 
-    Items that are not valid go to ``rejected``. Checkpoint and data share ``root``,
-    as batch numbers are only meaningful together.
+    Items that are not valid stay in their batch's landing folder and are counted in the
+    status. The checkpoint is kept in the store, as its batch numbers name the landings.
     """
-    spark = items.sparkSession
-    target = f"{root}/collection"
-    seed = spark.createDataFrame([], ITEM) if stored is None else stored
-    seed.write.mode("ignore").parquet(f"{target}/batch=-1")
-    rejects = spark.createDataFrame([], items.schema)
-    rejects.write.mode("ignore").parquet(f"{root}/rejected/batch=-1")
+    checkpoint = f"{store.root}/_stream/user={user_id}"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        earlier = (
-            session.read.schema(f"{ITEM}, batch bigint")
-            .parquet(target)
-            .where(F.col("batch") < batch_id)
-        )
-        new = insert_new(earlier, latest_items(batch), KEY, unique=True)
-        new = new.withColumn("created_at", F.current_timestamp())
-        new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        _, rejected = split_valid(batch, is_valid_item())
-        rejected.write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id}")
+        name = f"stream-{user_id}-{batch_id}"
+        landing = store.landing("collection", name)
+        batch.write.mode("overwrite").parquet(landing)
+        sources = store.refreshed().read("data_sources")
+        if sources.where(F.col("snapshot") == name).isEmpty():
+            landed = store.spark.read.schema(items.schema).parquet(landing)
+            publish_items(store, landed, user_id, name, landing, force)
 
-    writer = items.writeStream.foreachBatch(apply).option(
-        "checkpointLocation", f"{root}/checkpoint"
-    )
+    writer = items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def rejected_items(store: SnapshotStore, user_id: int) -> DataFrame:
+    """Items of a user's streamed batches that are not valid."""
+    landings = store.landing("collection", f"stream-{user_id}-*")
+    return split_valid(store.spark.read.parquet(landings), is_valid_item())[1]

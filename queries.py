@@ -17,6 +17,7 @@ from cratework.operators.sinks import metric_rows
 from cratework.plans import collaborations, collection, load, pressings, registry, sync
 from cratework.session import shared_folder
 from cratework.sources import json_documents, xml_dumps
+from cratework.sources.snapshots import SnapshotStore
 from cratework.sources.star_schema import StarSchemaCatalogue
 from cratework.streaming import collection_stream
 
@@ -445,11 +446,12 @@ def sync_stream(c):
     """The pages as landed files, taken in by the streaming sync into the stored items."""
     root = f"{shared_folder(c.spark)}/sync-{uuid.uuid4().hex}"
     _pages(c).write.text(f"{root}/landing")
+    store = SnapshotStore(c.spark, f"{root}/store")
+    store.replace({"user_collection": _stored_items(c)})
     items = collection_stream.stream_items(c.spark, f"{root}/landing", 1, json_lines=True)
-    collection_stream.start_sync(items, root, _stored_items(c)).awaitTermination()
-    return _epoch(
-        collection_stream.read_collection(c.spark, root).select(_stored_items(c).columns)
-    )
+    collection_stream.start_sync(items, store, 1).awaitTermination()
+    collected = store.refreshed().read("user_collection")
+    return _epoch(collected.select(_stored_items(c).columns))
 
 
 @register

@@ -108,9 +108,12 @@ def test_missing_entities(spark, tmp_path):
 
 
 def run_stream(spark, landing, root, seed=None, **options):
+    store = SnapshotStore(spark, str(root))
+    if seed is not None:
+        store.replace({"user_collection": seed})
     items = collection_stream.stream_items(spark, str(landing), USER, **options)
-    collection_stream.start_sync(items, str(root), seed).awaitTermination()
-    return collection_stream.read_collection(spark, str(root))
+    collection_stream.start_sync(items, store, USER).awaitTermination()
+    return store.refreshed().read("user_collection")
 
 
 def test_sync_job_and_documents_into_the_store(spark, tmp_path):
@@ -162,17 +165,21 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_path):
     rows = {r["instance_id"]: r["rating"] for r in again.collect()}
     assert sorted(rows) == sorted(r["instance_id"] for r in batch.collect())
     assert rows[1] == 5  # the stored item wins over the one sent again
-    rejected = spark.read.parquet(str(root / "rejected")).where(F.col("batch") >= 0)
+    store = SnapshotStore(spark, str(root))
+    rejected = collection_stream.rejected_items(store, USER)
     assert sorted(r["instance_id"] for r in rejected.collect()) == [3, 4, 5]
+    # Three batches were published, each with its status and provenance.
+    status = store.read("sync_status").groupBy().sum("records_processed").first()[0]
+    assert store.read("data_sources").count() == 3 and status == len(FIRST) + 4
 
 
 def test_stream_batch_replay_gives_the_same_rows(spark, tmp_path):
     landing, root = tmp_path / "p", tmp_path / "root"
     write_page(landing, "a", FIRST)
     before = content(run_stream(spark, landing, root))
-    # A batch whose commit was lost runs again and overwrites its own folder.
+    # A batch whose commit was lost runs again, and finds that it was published.
     for name in ("0", ".0.crc"):
-        (root / "checkpoint" / "commits" / name).unlink()
+        (root / "_stream" / f"user={USER}" / "commits" / name).unlink()
     assert content(run_stream(spark, landing, root)) == before
 
 
