@@ -30,13 +30,7 @@ def dump_date(file_name: Column | str) -> Column:
 
 
 def effective_year(
-    released: Column, master_year: Column, cached_year: Column, zero_year_is_null: bool = False
+    release_year: Column | str, master_year: Column | str, cached_year: Column | str
 ) -> Column:
-    """First known year: of the release date, of the master, of the cached item.
-
-    A stored 0 counts as a year unless ``zero_year_is_null`` is set.
-    """
-    years = [F.year(released), master_year, cached_year]
-    if zero_year_is_null:
-        years = [F.nullif(year, F.lit(0)) for year in years]
-    return F.coalesce(*years)
+    """First known year: of the release date, of the master, of the cached item."""
+    return F.coalesce(release_year, master_year, cached_year)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from cratework.operators.joins import drop_keys, keep_keys, union_ids
 from cratework.operators.ranking import seeded_sample
-from cratework.session import written
 
 
 @dataclass(frozen=True)
@@ -24,7 +23,7 @@ class SampleSizes:
 
 def _with_extras(chosen: DataFrame, table: DataFrame, size: int, seed: str) -> DataFrame:
     others = drop_keys(table.select("id"), chosen, "id", "id")
-    return written(union_ids(chosen, seeded_sample(others, "id", size, seed)))
+    return union_ids(chosen, seeded_sample(others, "id", size, seed))
 
 
 def closed_subset(
@@ -33,11 +32,11 @@ def closed_subset(
     """The same tables, cut to sampled collection rows and the rows these need.
 
     Masters, artists and labels are those of the sampled releases, plus extra
-    random ones. Link rows stay only if both their ends are in the subset. The
-    chosen ids, a few per sampled row, are written once and read by every table.
+    random ones. Link rows stay only if both their ends are in the subset. All
+    tables are lazy; a job that writes them all may write the chosen ids first.
     """
     picked = seeded_sample(tables["user_collection"], "instance_id", sizes.collection, seed)
-    picked = written(picked.select("user_id", "release_id"))
+    picked = picked.select("user_id", "release_id")
     release_ids = picked.select(F.col("release_id").alias("id")).distinct()
     user_ids = picked.select(F.col("user_id").alias("id")).distinct()
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cratework.functions.dates import effective_year
 from cratework.functions.documents import list_column, struct_list_column
 from cratework.operators.joins import keep_keys, left_lookup, owned_release_ids
 from cratework.operators.ranking import percent_of, row_total, top_k
@@ -64,7 +65,7 @@ def _copies_by_year(
         grouped, _master_years(masters, zero_year_is_null), "master_id", "_master", "cached_year"
     )
     return years.select(
-        F.coalesce("release_year", "master_year", "cached_year").alias("year"), "copies"
+        effective_year("release_year", "master_year", "cached_year").alias("year"), "copies"
     )
 
 
@@ -176,8 +177,8 @@ def collection_summary(
     stored = releases.select("id", "master_id", F.year("released").alias("release_year"))
     found = copies.join(stored, F.col("release_id") == F.col("id"), "left")
     dated = left_lookup(found, _master_years(masters, False), "master_id", "_master", "release_id")
-    first = F.coalesce("release_year", "master_year", "first_cached")
-    last = F.coalesce("release_year", "master_year", "last_cached")
+    first = effective_year("release_year", "master_year", "first_cached")
+    last = effective_year("release_year", "master_year", "last_cached")
     is_stored = F.col("id").isNotNull()
     return dated.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("total_releases"),
