@@ -81,7 +81,7 @@ def flag_collection(
     )
 
 
-def releases_of_entities(
+def capped_releases(
     links: DataFrame,
     entity: str,
     owned: DataFrame,
@@ -100,7 +100,11 @@ def releases_of_entities(
     if stored_links is not None:
         known = known.unionByName(stored_links.select("release_id", entity))
     entities = keep_keys(known, owned, "release_id", "release_id").select(entity).distinct()
-    pool = keep_keys(keep_keys(pairs, entities, entity, entity), candidates, "release_id", "id")
+    # Joined by a key of its own, so that the rank below still cuts in the map tasks, and
+    # Spark may split a hot entity of the join.
+    probe = F.bitwise_not(entity).alias("_probe")
+    followed = keep_keys(pairs.select("*", probe), entities.select(probe), "_probe", "_probe")
+    pool = keep_keys(followed.drop("_probe"), candidates, "release_id", "id")
     if cap is None:
         return pool.select("release_id")
     rank = F.row_number().over(Window.partitionBy(entity).orderBy("release_id"))
@@ -136,7 +140,7 @@ def selective(
          strategy.max_releases_per_label),
     ):
         if include:
-            more = releases_of_entities(links, entity, owned, rest, cap, stored)
+            more = capped_releases(links, entity, owned, rest, cap, stored)
             wanted = wanted.unionByName(more)
     return keep_keys(releases, wanted, "id", "release_id")
 
