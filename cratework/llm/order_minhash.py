@@ -73,24 +73,33 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     return labels
 
 
+@functools.cache
+def _multipliers(sketches: int) -> np.ndarray:
+    """An odd number per sketch; a product with it orders the (scrambled) labels anew."""
+    seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * _ODD)
+    return seeds | np.uint64(1)
+
+
 def order_minhash(words: np.ndarray, size: int, sketches: int, retained: int) -> np.ndarray:
     """For each seed, a hash of the ``retained`` least labelled shingles in text order."""
     shingles = shingle_hashes(words, size)
     labels = labelled(shingles)
     kept = min(retained, len(labels))
-    found = np.empty(sketches, np.uint64)
-    for seed in range(sketches):
-        start = mixed(np.array([seed + 1], np.uint64) * _ODD)
-        keys = mixed(labels ^ start)
-        if kept < len(keys):
-            places = np.sort(np.argpartition(keys, kept - 1)[:kept])
-        else:
-            places = np.arange(len(keys))
-        total = start
-        for place in places:
-            total = mixed(total + shingles[place])
-        found[seed] = total[0]
-    return found
+    seeds = _multipliers(sketches)
+    places = np.empty((sketches, kept), np.int64)
+    rows = max(1, 2_000_000 // len(labels))  # bounds the memory that a long text takes
+    for at in range(0, sketches, rows):
+        keys = labels[None, :] * seeds[at : at + rows, None]
+        each = np.arange(len(keys))
+        for nth in range(kept):
+            least = keys.argmin(axis=1)
+            places[at : at + rows, nth] = least
+            keys[each, least] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    places.sort(axis=1)
+    total = seeds
+    for nth in range(kept):
+        total = mixed(total + shingles[places[:, nth]])
+    return total
 
 
 @functools.cache
