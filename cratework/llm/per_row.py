@@ -13,6 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
+#: Rows that are turned into Python objects at once; a batch may have 64 MB.
+SLICE = 256
+
 _shipped: set[str] = set()
 
 
@@ -53,13 +56,13 @@ def append_columns(
     def run(batches):
         compute = prepare()
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = compute(*[batch.column(i).to_pylist() for i in places])
-            columns = list(zip(*rows, strict=True))
-            new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:count], *new], names=[f.name for f in schema]
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows = compute(*[part.column(i).to_pylist() for i in places])
+                columns = list(zip(*rows, strict=True))
+                new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:count], *new], names=[f.name for f in schema]
+                )
 
     return narrowed.mapInArrow(run, schema)

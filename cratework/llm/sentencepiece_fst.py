@@ -6,12 +6,11 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cratework.llm.per_row import append_columns
 from cratework.llm.pieces import BPE, BYTE, NORMAL, SPACE, PairRule, Pieces
 
-_MOST_SEGMENTS = 400_000
+_MOST_SEGMENTS = 300_000
 
 #: Compiled transducers of this process, by model.
 _compiled: dict[str, Transducer] = {}
@@ -146,10 +145,25 @@ def decode_ids(docs: DataFrame, model_path: str, ids_column: str = "ids") -> Dat
     return append_columns(docs, [ids_column], "decoded string", prepare)
 
 
-def round_trip(
-    docs: DataFrame, model_path: str, text_column: str = "text"
-) -> DataFrame:
-    """``docs`` encoded, with ``round_trip``: whether decoding gives the text back."""
-    decoded = decode_ids(encode_texts(docs, model_path, text_column), model_path)
-    spelled = F.translate(F.coalesce(F.col(text_column), F.lit("")), SPACE, " ")
-    return decoded.withColumn("round_trip", F.col("decoded") == spelled).drop("decoded")
+def round_trip(docs: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
+    """``docs`` encoded, with ``round_trip``: whether decoding gives the text back.
+
+    Both directions run in one pass, so the pieces are not sent to another process between.
+    """
+    model = shared_model(docs.sparkSession, model_path)
+
+    def prepare():
+        transducer = _transducer(model)
+
+        def run(texts):
+            rows = []
+            for text in texts:
+                ids = transducer.encode(text)
+                same = transducer.decode(ids.tolist()) == (text or "").replace(SPACE, " ")
+                rows.append((ids, len(ids), same))
+            return rows
+
+        return run
+
+    fields = "ids array<int>, n_tokens bigint, round_trip boolean"
+    return append_columns(docs, [text_column], fields, prepare)
