@@ -55,10 +55,11 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if size == 0:
         return np.zeros(1, np.uint64)
     count = len(words) - size + 1
-    total = np.full(count, size, np.uint64)
-    for i in range(size):
-        total = mixed(total + words[i : i + count])
-    return total
+    total = words[:count].copy()
+    for i in range(1, size):
+        total *= _ODD
+        total += words[i : i + count]
+    return mixed(total)
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:

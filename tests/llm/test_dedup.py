@@ -200,6 +200,7 @@ def test_chain_of_near_copies_is_one_group(spark):
 @given(st.lists(st.integers(0, 6), max_size=25), st.integers(1, 6))
 def test_compact_windows_cover_each_subsequence_once(values, length):
     found = compact_windows(np.array(values, np.uint64), length)
+    assert sorted(found) == sorted(compact_windows(np.array(values, np.uint64), length, False))
     for i in range(len(values)):
         for j in range(i + length - 1, len(values)):
             least = min(values[i : j + 1])
