@@ -244,6 +244,19 @@ def test_repeated_passages_odd_rows(spark, small_jobs):
     assert len(CLASHING) == 9
 
 
+def test_edits_on_both_sides_of_every_anchor_are_found(spark, small_jobs):
+    """60 words with an edit in every ten: no two anchors have ten equal words on a side."""
+    rows = []
+    for t in range(0, 80, 2):
+        passage = [f"t{t}w{k}" for k in range(60)]
+        edited = [f"t{t}e{k}" if k % 9 == 8 else w for k, w in enumerate(passage)]
+        for i, words in ((t, passage), (t + 1, edited)):
+            around = [f"i{i}w{k}" for k in range(120)]
+            rows.append((i, " ".join(around[:60] + words + around[60:])))
+    got = {r.doc_id for r in repeated_passages(documents(spark, rows)).collect()}
+    assert sum(t in got and t + 1 in got for t in range(0, 80, 2)) >= 32
+
+
 @pytest.mark.parametrize("copies", [2, 40])
 def test_whole_copies_are_passages(spark, small_jobs, copies):
     text = " ".join(LONG.split()[:80])
