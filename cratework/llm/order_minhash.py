@@ -170,6 +170,38 @@ def _candidates(buckets: DataFrame, centre, least: float) -> DataFrame:
     )
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after some more links."""
+    merged = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return written(components(merged.union(links.select("a", "b"))))
+
+
+def _unresolved(buckets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """All pairs of a bucket that are in two components, where the lengths allow the similarity.
+
+    Buckets of one component need nothing more. What a bucket's centres leave apart is compared
+    in full: the rows grow with the products of the sizes of its components.
+    """
+    key = F.hex("node").alias("key")
+    named = labels.select(key, "label")
+    rows = buckets.select(key, "bucket", "node", "words").join(named, "key", "left")
+    rows = rows.select("bucket", "node", "words", F.coalesce("label", "node").alias("label"))
+    rows = written(rows)
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = mixed.where("x <> y").select(F.bitwise_not("bucket").alias("key"))
+    rows = rows.withColumn("key", F.bitwise_not("bucket")).join(mixed, "key").drop("bucket")
+    left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "words", "label")])
+    right = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "words", "label")])
+    shorter, longer = F.least("words_a", "words_b"), F.greatest("words_a", "words_b")
+    return (
+        left.join(right, "key")
+        .where((F.col("node_a") > F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
+        .where(shorter >= longer * F.lit(least))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -242,9 +274,12 @@ def near_duplicates(
         .where(apart)
         .select("a", "b")
     )
+    further = written(further)
     more = _verified(further, texts, least)
-    merged = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = written(components(merged.union(more.select("a", "b"))))
+    labels = _joined(labels, more)
+
+    rest = written(_unresolved(buckets, labels, least).join(further, ["a", "b"], "left_anti"))
+    labels = _joined(labels, _verified(rest, texts, least))
 
     named = nodes.select("node", "first_id", "copies").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))

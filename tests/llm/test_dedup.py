@@ -14,7 +14,12 @@ from cratework.llm.compact_windows import compact_windows, repeated_passages
 from cratework.llm.components import components
 from cratework.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from cratework.llm.line_dedup import drop_repeated_lines
-from cratework.llm.order_minhash import WordHashes, drop_near_duplicates, near_duplicates
+from cratework.llm.order_minhash import (
+    WordHashes,
+    drop_near_duplicates,
+    near_duplicates,
+    order_minhash,
+)
 from tests.llm.conftest import CLASHING, LONG, ODD, documents
 
 FOLDER = "/root/testdata/sf0.01"
@@ -196,6 +201,22 @@ def test_chain_of_near_copies_is_one_group(spark):
     assert {(r.group_id, r.group_size) for r in got} == {(0, 12)}
 
 
+def test_every_pair_of_a_hot_bucket_is_compared(spark, small_jobs):
+    """Texts with one template: only the two of a pair are alike, and most share one bucket."""
+    rows = []
+    for t in range(0, 60, 2):
+        own = [f"t{t}w{k}" for k in range(30)]
+        rows.append((t, " ".join([f"all{k}" for k in range(70)] + own)))
+        rows.append((t + 1, " ".join([f"all{k}" for k in range(70)] + own[:20] + [f"u{t}w{k}" for k in range(10)])))
+    words = WordHashes()
+    buckets = {i: int(order_minhash(words.of_text(t), 1, 1, 1)[0]) for i, t in rows}
+    together = [t for t in range(0, 60, 2) if buckets[t] == buckets[t + 1]]
+    assert max(Counter(buckets.values()).values()) > 20
+    got = near_duplicates(documents(spark, rows), size=1, sketches=1, retained=1).collect()
+    groups = {r.doc_id: r.group_id for r in got}
+    assert [t for t in together if groups[t] != groups[t + 1]] == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=25), st.integers(1, 6))
 def test_compact_windows_cover_each_subsequence_once(values, length):
