@@ -16,9 +16,9 @@ from cratework.llm.components import components
 from cratework.llm.per_row import append_columns, ship_package
 from cratework.session import written
 
-SHINGLE = 5
+SHINGLE = 3
 SIMILARITY = 0.8
-SKETCHES = 24
+SKETCHES = 48
 RETAINED = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -15,6 +15,9 @@ from cratework.llm.components import components
 from cratework.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from cratework.llm.line_dedup import drop_repeated_lines
 from cratework.llm.order_minhash import (
+    RETAINED,
+    SHINGLE,
+    SKETCHES,
     WordHashes,
     drop_near_duplicates,
     near_duplicates,
@@ -201,6 +204,18 @@ def test_chain_of_near_copies_is_one_group(spark):
     assert {(r.group_id, r.group_size) for r in got} == {(0, 12)}
 
 
+def test_texts_at_the_threshold_share_a_sketch():
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(200):
+        text = rng.integers(0, 2**63, 300).astype(np.uint64)
+        edited = text.copy()
+        edited[rng.permutation(300)[:60]] = rng.integers(0, 2**63, 60).astype(np.uint64)
+        found = [order_minhash(w, SHINGLE, SKETCHES, RETAINED) for w in (text, edited)]
+        missed += not (found[0] == found[1]).any()
+    assert missed <= 4
+
+
 def test_every_pair_of_a_hot_bucket_is_compared(spark, small_jobs):
     """Texts with one template: only the two of a pair are alike, and most share one bucket."""
     rows = []
