@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -635,12 +636,23 @@ def xml_masters(c):
     )
 
 
+DUMP_FILE = 100_000
+
+
 def _dump(c, kind, records, key):
-    """A dump of the records, a file per partition, in the shared folder."""
+    """A dump of the records in the shared folder: a line each, between lines with root tags.
+
+    About ``DUMP_FILE`` records are between two root tags, in files whose number grows with them.
+    """
     folder = f"{shared_folder(c.spark)}/dump-{uuid.uuid4().hex}"
-    root = F.concat(F.lit(f"<{kind}>"), F.array_join(F.collect_list("value"), "\n"), F.lit(f"</{kind}>"))
-    parts = records.groupBy(F.expr(f"{key} % 40").alias("part")).agg(root.alias("value"))
-    parts.select("value").write.text(folder)
+    files = max(1, math.ceil(records.count() / DUMP_FILE))
+    part = F.pmod(F.xxhash64(key), F.lit(files))
+    lines = records.select(part.alias("part"), F.lit(1).alias("at"), "value")
+    for at, tag in ((0, f"<{kind}>"), (2, f"</{kind}>")):
+        tags = c.spark.range(files).select(F.col("id").alias("part"), F.lit(at), F.lit(tag))
+        lines = lines.union(tags)
+    ordered = lines.repartition(files, "part").sortWithinPartitions("part", "at")
+    ordered.select("value").write.text(folder)
     return folder
 
 

@@ -1,9 +1,12 @@
 import gzip
+from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+import queries
 from cratework.operators.quality import LoadRejected
 from cratework.sources import xml_dumps
 
@@ -222,3 +225,13 @@ def test_newest_dump(spark, tmp_path):
     files = xml_dumps.dump_files(spark, str(tmp_path), "artists")
     assert files.count() == 2
     assert xml_dumps.newest_dump(files).first()["file_name"] == "x_20250601_artists.xml.gz"
+
+
+def test_dumps_of_queries_have_a_row_per_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "DUMP_FILE", 30, raising=False)
+    catalogue = SimpleNamespace(spark=spark)
+    records = spark.range(100).selectExpr("id", "concat('<label><id>', id, '</id></label>') AS value")
+    lines = spark.read.text(queries._dump(catalogue, "labels", records, "id"))
+    found = Counter(r.value for r in lines.collect())
+    assert found.pop("<labels>") == found.pop("</labels>") == 4
+    assert found == Counter(f"<label><id>{i}</id></label>" for i in range(100))
