@@ -46,6 +46,9 @@ UNLIKELY = re.compile(
 )
 LIKELY = re.compile(r"article|body|content|entry|main|post|story|text")
 
+#: A text of fewer characters is taken for a page that was not understood.
+TINY = 100
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|$)",
@@ -56,16 +59,17 @@ _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "dropped", "weight", "score", "chars", "linked")
+    __slots__ = ("name", "parent", "items", "dropped", "unlikely", "weight", "score", "chars", "linked")
 
     def __init__(self, name: str, parent, dropped: bool = False, weight: float = 0.0):
         self.name, self.parent, self.dropped, self.weight = name, parent, dropped, weight
+        self.unlikely = False  # by its class or id only
         self.items: list = []  # Nodes and strings, in page order
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def _open(name: str, attributes: str, parent: Node) -> Node:
-    dropped, weight = name in BOILERPLATE, 0.0
+def _open(name: str, attributes: str, parent: Node, forms: bool) -> Node:
+    dropped, weight, unlikely = name in BOILERPLATE and not (forms and name == "form"), 0.0, False
     if name == "header":
         dropped = not _inside(parent, {"article", "main"})
     if attributes and not attributes.isspace():
@@ -73,14 +77,18 @@ def _open(name: str, attributes: str, parent: Node) -> Node:
         for key, value in _ATTRIBUTE.findall(attributes):
             found.setdefault(key.lower(), html.unescape(value.strip("\"'")).lower())
         marks = f"{found.get('class', '')} {found.get('id', '')}"
-        dropped |= found.get("role") in ROLES or "hidden" in found
+        role = found.get("role")
+        dropped |= role in ROLES and not (forms and role == "form") or "hidden" in found
         dropped |= found.get("aria-hidden") == "true"
         dropped |= "display:none" in found.get("style", "").replace(" ", "")
         if name not in ("html", "body", "article", "main"):
-            dropped |= bool(UNLIKELY.search(marks.replace("_", "-")))
+            unlikely = bool(UNLIKELY.search(marks.replace("_", "-")))
         if LIKELY.search(marks):
             weight += 25
-    return Node(name, parent, dropped, weight)
+            unlikely = False
+    node = Node(name, parent, dropped, weight)
+    node.unlikely = unlikely
+    return node
 
 
 def _inside(node: Node | None, names: set[str]) -> bool:
@@ -91,7 +99,7 @@ def _inside(node: Node | None, names: set[str]) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
+def parse(page: str, forms: bool = False) -> Node:
     """The tree of elements; end tags that are left out are put where HTML implies them."""
     root = node = Node("html", None)
     at = 0
@@ -121,7 +129,7 @@ def parse(page: str) -> Node:
         if name in VOID:
             node.items.append(" " if name == "br" else Node(name, node))
             continue
-        child = root if name == "html" else _open(name, match[3], node)
+        child = root if name == "html" else _open(name, match[3], node, forms)
         if child is not root:
             node.items.append(child)
         node = child
@@ -184,17 +192,52 @@ def _blocks(root: Node) -> list[tuple[Node, str, int]]:
     return found
 
 
+def _drop_unlikely(root: Node) -> None:
+    """Drops what class or id mark, but not what holds most of the page's unlinked text."""
+    blocks = _blocks(root)
+    total, held = 0, {}
+    for owner, text, linked in blocks:
+        total += len(text) - linked
+        up = owner
+        while up is not None:
+            held[id(up)] = held.get(id(up), 0) + len(text) - linked
+            up = up.parent
+    waiting = [root]
+    while waiting:
+        node = waiting.pop()
+        # An inline element has no blocks of its own; it goes by its mark alone.
+        node.dropped |= node.unlikely and held.get(id(node), 0) <= total / 2
+        waiting += [item for item in node.items if isinstance(item, Node)]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, a line per block; empty if the page has none.
 
+    Elements whose class or id mark them as something else are left out, unless they are also
+    named like content or hold most of the page's unlinked text. Where less than ``TINY``
+    characters are found, the page is read again with these elements and with forms.
+    """
+    root = parse(page or "")
+    _drop_unlikely(root)
+    text = _article(root)
+    if len(text) < TINY:
+        again = _article(parse(page or "", forms=True))
+        if len(again) > 2 * len(text) and len(again) >= TINY:
+            return again
+    return text
+
+
+def _article(root: Node) -> str:
+    """The lines of the container that scores most.
+
     Each block of text is worth a point, one for each comma and up to three for its length, of
     which its link density takes its share. Its parent element gets the points, the next gets
     half, further ancestors a third of that per level; articles and elements named like content
     start ahead. The element with most points, less its link density, is the container; its
     siblings join if they have a fifth of its points, or are running text. Of the container all
-    blocks stay but lists and short lines that are mostly links.
+    blocks stay; of siblings, and of a whole body, lists and short lines that are mostly links go.
     """
-    blocks = _blocks(parse(page or ""))
+    blocks = _blocks(root)
     scored: list[Node] = []
 
     def give(node, points):
@@ -249,7 +292,8 @@ def main_text(page: str | None) -> str:
         up = owner
         while up is not None and id(up) not in chosen:
             up = up.parent
-        links_only = linked > 0.5 * len(text) and (len(text) < 200 or owner.name == "li")
+        inside = up is best and best.name not in ("body", "html")
+        links_only = not inside and linked > 0.5 * len(text) and (len(text) < 200 or owner.name == "li")
         if up is not None and not links_only:
             lines.append(text)
     return "\n".join(lines)

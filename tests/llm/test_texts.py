@@ -285,6 +285,30 @@ def test_odd_pages(page, text):
     assert main_text(page) == text
 
 
+STORY = "<p>A long first paragraph, with commas, that tells the story of the page, to its end.</p>" * 3
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div class='content-with-sidebar'>{}</div>",
+        "<div class='no-sidebar'>{}</div>",
+        "<div class='elementor-widget-theme-post-content elementor-widget'>{}</div>",
+        "<form action='x'>{}</form>",
+        "<div class='widget'><form>{}</form></div>",
+    ],
+)
+def test_articles_in_elements_with_odd_names(around):
+    page = f"<body><div class='menu'><a href=x>Home</a></div>{around.format(STORY)}</body>"
+    assert main_text(page).count("A long first paragraph") == 3
+
+
+def test_links_inside_the_article_stay():
+    links = "<p><a href=x>See the second part</a></p><ul><li><a href=y>The source</a></li></ul>"
+    text = main_text(f"<article>{STORY}{links}</article>")
+    assert text.split("\n")[3:] == ["See the second part", "The source"]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>/pdivb =\"'!-&;a\n", max_size=60))
 def test_any_page_is_read(page):
