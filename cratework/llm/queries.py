@@ -15,9 +15,12 @@ from cratework.llm.html_text import extract_main_text
 from cratework.llm.license_scan import scan_licenses
 from cratework.llm.line_dedup import drop_repeated_lines
 from cratework.llm.order_minhash import near_duplicates
+from cratework.llm.packing import default_tokenizer, pack_documents
 from cratework.llm.sentencepiece_fst import round_trip
+from cratework.llm.spelling import group_spellings
 from cratework.llm.token_counts import count_tokens
 from cratework.llm.toxicity import fit, held_out, score_toxicity
+from cratework.llm.vector_codes import compress_vectors
 
 
 #: The public SentencePiece model that the queries use; the operators take any path.
@@ -84,6 +87,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, default_tokenizer()).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sentencepiece": op2_sentencepiece,
@@ -95,4 +119,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_packing": op12_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
