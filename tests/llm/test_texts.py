@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -303,6 +304,67 @@ def test_articles_in_elements_with_odd_names(around):
     assert main_text(page).count("A long first paragraph") == 3
 
 
+COMMENT = "<p>I don't agree with this at all, and here, at length, is why I never did.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # Short articles, beside something longer that is none.
+        ("<div><p>A short news item.</p></div><div class='comments'>" + COMMENT * 2 + "</div>", "A short news item."),
+        ("<h1>Title</h1><p>Short body.</p><div class='cookie-notice'>" + COMMENT + "</div>", "Title\nShort body."),
+        ("<nav><a href=x>Home</a></nav><div class='ad'>" + COMMENT + "</div><article><h1>T</h1><p>Short.</article>", "T\nShort."),
+        ("<p>Short.</p><form>" + COMMENT + "<input name=q></form>", "Short."),
+        ("<form>" + COMMENT + "<textarea>x</textarea></form>", ""),
+        ("<div class='header'><nav>Menu</nav><h2>Site</h2></div><p>Short.</p>", "Short."),
+        ("<form><nav>Menu</nav><p>Short.</p><input type='hidden'><footer>f</footer></form>", "Short."),
+        ("<div class='widget'><article><p>Short.</p></article></div><div class='related'>R</div>", "Short."),
+        ("<article class='comment-body'>" + COMMENT + "</article><article><p>Short.</p></article>", "Short."),
+        # Text of elements that are no block.
+        ("<p>It is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>x</annotation></math> here.</p>", "It is E=m here."),
+        ("<p>An <object>object</object>, <canvas>canvas</canvas>, <svg><text>text</text></svg>.</p>", "An object, canvas, text."),
+    ],
+)
+def test_what_is_no_article_is_never_returned(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["comments-content", "post-comments", "notice-body", "ad main", "content-ad", "commentsBody",
+     "comment_text", "main-menu", "cookie-content", "article-sidebar", "entry share", "sign-up"],
+)
+def test_a_mark_is_stronger_than_a_word_for_content(name):
+    inside = f"<article>{STORY}<div class='{name}'>{COMMENT * 3}</div><p>The end.</p></article>"
+    beside = f"<div class='content'>{STORY}<p>The end.</p></div><div id='{name.split()[0]}'>{COMMENT * 9}</div>"
+    for page in (inside, beside if name != "entry share" else inside):
+        assert main_text(page).split("\n")[3:] == ["The end."]
+
+
+@pytest.mark.parametrize(
+    "name", ["no-comments", "with-ads", "has-sidebar", "comments-open", "menu-closed", "article-header", "platform"]
+)
+def test_names_of_layouts_and_states_are_no_marks(name):
+    assert main_text(f"<div class='{name}'>{STORY}</div>").count("A long first paragraph") == 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "".join(f"<div>t{i} and some text " for i in range(40_000)),
+        "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000,
+        "<span>" * 30_000 + "<p>x" * 30_000,
+        "<table>" + "<tr><td><p>a<td>b" * 20_000,
+        "<ul><li>" * 20_000 + "</div>" * 20_000 + "</ul>" * 20_000,
+        "<p class='" * 20_000,
+    ],
+)
+def test_time_grows_with_the_length(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 10
+
+
 def test_links_inside_the_article_stay():
     links = "<p><a href=x>See the second part</a></p><ul><li><a href=y>The source</a></li></ul>"
     text = main_text(f"<article>{STORY}{links}</article>")
