@@ -41,8 +41,30 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, lineage cut."""
-    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, lineage cut.
+
+    ``batch_rows`` bounds the rows that go to a Python worker at once while it is computed, for
+    rows so wide that Spark's own bound would take too much of an executor's memory.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    before = spark.conf.get(name)
+    if batch_rows:
+        spark.conf.set(name, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(name, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, when all that read them is written itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
