@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cratework.session import written
+from cratework.session import dropped, written
 
 
 def _stars(links: DataFrame, smaller: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def _stars(links: DataFrame, smaller: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, label): the least node that each node of ``links`` (a, b) is connected to.
 
-    Nodes are binary. Every round writes its links to the shared folder; the number of rounds
+    Nodes are binary. Every round writes its links to the shared folder, in place of those of the
+    round before; the number of rounds
     grows with the logarithm of the longest chain. Links of a node with itself are ignored;
     without links the result is empty.
     """
@@ -44,7 +45,8 @@ def components(links: DataFrame) -> DataFrame:
     current = written(ordered.where("a > b").distinct())
     state = None
     while True:
-        current = written(_stars(_stars(current, smaller=False), smaller=True))
+        before, current = current, written(_stars(_stars(current, smaller=False), smaller=True))
+        dropped(before)
         found = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         after = tuple(found.first())
         if after == state or not after[0]:

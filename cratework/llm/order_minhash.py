@@ -14,27 +14,30 @@ from cratework.llm.alignment import similarity
 from cratework.llm.common import text_or_empty
 from cratework.llm.components import components
 from cratework.llm.per_row import append_columns, ship_package
-from cratework.session import written
+from cratework.session import dropped, written
 
 SHINGLE = 3
 SIMILARITY = 0.8
 SKETCHES = 48
 RETAINED = 2
 
+#: Rows with texts that a Python worker takes at once.
+_BATCH = 1000
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words; those of the first ``most`` words, so frequent ones, are kept."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 50_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < self.most:
+            self[word] = value
         return value
 
     def of_text(self, text: str | None) -> np.ndarray:
@@ -88,7 +91,7 @@ def order_minhash(words: np.ndarray, size: int, sketches: int, retained: int) ->
     kept = min(retained, len(labels))
     seeds = _multipliers(sketches)
     places = np.empty((sketches, kept), np.int64)
-    rows = max(1, 2_000_000 // len(labels))  # bounds the memory that a long text takes
+    rows = max(1, 200_000 // len(labels))  # bounds the memory that a long text takes
     for at in range(0, sketches, rows):
         keys = labels[None, :] * seeds[at : at + rows, None]
         each = np.arange(len(keys))
@@ -103,14 +106,9 @@ def order_minhash(words: np.ndarray, size: int, sketches: int, retained: int) ->
     return total
 
 
-@functools.cache
-def _word_hashes() -> WordHashes:
-    return WordHashes()
-
-
 def _sketches(docs: DataFrame, size: int, sketches: int, retained: int) -> DataFrame:
     def prepare():
-        hashes = _word_hashes()
+        hashes = WordHashes()
 
         def run(texts):
             rows = []
@@ -135,7 +133,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
-        hashes = _word_hashes()
+        hashes = WordHashes()
         for batch in batches:
             found = [
                 similarity(hashes.of_text(x.as_py()), hashes.of_text(y.as_py()), least)
@@ -173,7 +171,10 @@ def _candidates(buckets: DataFrame, centre, least: float) -> DataFrame:
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The components after some more links."""
     merged = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return written(components(merged.union(links.select("a", "b"))))
+    found = written(links.select("a", "b"), _BATCH)
+    joined = written(components(merged.union(found)))
+    dropped(found, labels)
+    return joined
 
 
 def _unresolved(buckets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
@@ -189,7 +190,9 @@ def _unresolved(buckets: DataFrame, labels: DataFrame, least: float) -> DataFram
     rows = written(rows)
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     mixed = mixed.where("x <> y").select(F.bitwise_not("bucket").alias("key"))
+    # Written, so that the pairs' join has plain exchanges on both sides and can be split.
     rows = rows.withColumn("key", F.bitwise_not("bucket")).join(mixed, "key").drop("bucket")
+    rows = written(rows)
     left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "words", "label")])
     right = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "words", "label")])
     shorter, longer = F.least("words_a", "words_b"), F.greatest("words_a", "words_b")
@@ -235,7 +238,7 @@ def near_duplicates(
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("_text")
     )
-    sketched = written(_sketches(rows, size, sketches, retained))
+    sketched = written(_sketches(rows, size, sketches, retained), _BATCH)
     nodes = sketched.groupBy("node").agg(
         F.min("doc_id").alias("first_id"),
         F.count(F.lit(1)).alias("copies"),
@@ -253,8 +256,9 @@ def near_duplicates(
     whole = rows.select("node", F.col("_text").alias("text")).distinct()
     texts = written(whole.join(wanted, "node", "left_semi"))
 
-    links = written(_verified(_candidates(buckets, F.min, least), texts, least))
+    links = written(_verified(_candidates(buckets, F.min, least), texts, least), _BATCH)
     labels = written(components(links))
+    dropped(links)
 
     further = None
     for turn in range(3):
@@ -279,7 +283,9 @@ def near_duplicates(
     labels = _joined(labels, more)
 
     rest = written(_unresolved(buckets, labels, least).join(further, ["a", "b"], "left_anti"))
+    dropped(buckets, further)
     labels = _joined(labels, _verified(rest, texts, least))
+    dropped(texts, rest)
 
     named = nodes.select("node", "first_id", "copies").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
