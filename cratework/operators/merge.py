@@ -20,12 +20,17 @@ def first_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
 
 
 def upsert(
-    stored: DataFrame, incoming: DataFrame, key: list[str], keep: tuple[str, ...] = ()
+    stored: DataFrame,
+    incoming: DataFrame,
+    key: list[str],
+    keep: tuple[str, ...] = (),
+    status: str | None = None,
 ) -> DataFrame:
     """Merge by key: columns of ``incoming`` overwrite, also with NULL; others stay.
 
     Columns in ``keep`` are only set on new rows. ``incoming`` must be unique on
-    the key (see ``last_per_key``).
+    the key (see ``last_per_key``). ``status`` names a column to add, which says whether a row
+    was ``created`` or ``updated``; NULL on rows that stay.
     """
     renamed = incoming.select(
         *key,
@@ -43,16 +48,22 @@ def upsert(
         value = F.when(overwritten, F.col(f"_new_{name}")).otherwise(F.col(name))
         return value.alias(name)
 
-    return joined.select(*[merged(name) for name in stored.columns])
+    created = F.when(F.col("_stored").isNull(), "created")
+    marked = [created.when(F.col("_supplied").isNotNull(), "updated").alias(status)] if status else []
+    return joined.select(*[merged(name) for name in stored.columns], *marked)
 
 
 def refresh(
-    stored: DataFrame, incoming: DataFrame, key: list[str], now: Column | None = None
+    stored: DataFrame,
+    incoming: DataFrame,
+    key: list[str],
+    now: Column | None = None,
+    status: str | None = None,
 ) -> DataFrame:
     """Upsert that keeps ``created_at`` of known rows and sets ``updated_at`` of all given."""
     now = F.current_timestamp() if now is None else now
     stamped = incoming.withColumn("created_at", now).withColumn("updated_at", now)
-    return upsert(stored, stamped, key, keep=("created_at",))
+    return upsert(stored, stamped, key, keep=("created_at",), status=status)
 
 
 def insert_new(
@@ -89,7 +100,8 @@ def insert_ignore(
 def replace_children(stored: DataFrame, incoming: DataFrame, parent: str) -> DataFrame:
     """Swap all child rows of every parent that has new ones; other parents keep theirs."""
     parents = incoming.select(parent).distinct()
-    return stored.join(parents, parent, "left_anti").unionByName(incoming)
+    kept = stored.join(parents, parent, "left_anti")
+    return kept.unionByName(incoming, allowMissingColumns=True)
 
 
 def emptied(stored: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cratework.functions import dump_date
@@ -22,12 +22,14 @@ from cratework.operators.merge import (
     replace_children,
 )
 from cratework.operators.missing import missing_entities
-from cratework.operators.prune import prune_children, prune_releases
+from cratework.operators.joins import owned_release_ids
+from cratework.operators.prune import prune_releases
 from cratework.operators.shred import Shredded, shred
 from cratework.plans.sync import new_users, sync_collection
 from cratework.sources import json_documents, xml_dumps
 from cratework.sources.positions import POSITION
-from cratework.sources.snapshots import Change, SnapshotStore
+from cratework.session import dropped, written
+from cratework.sources.snapshots import KEYS, STATUS, Change, SnapshotStore
 
 ARTIST_LINK = ["release_id", "artist_id", "role"]
 LABEL_LINK = ["release_id", "label_id", "catalog_number"]
@@ -38,22 +40,76 @@ def land_dump(
 ) -> DataFrame:
     """Parse a dump once into Parquet; raises if it is cut off or has too many bad records.
 
-    A record that a broken one hides is a bad one too: records whose tag was opened are
-    compared with those that were parsed.
+    One pass writes the accepted rows, and in a partition of their own the rejected records with
+    their text, place and reason. A record that a broken one hides is a bad one too: records
+    whose tag was opened are compared with those that were parsed.
     """
     spark = store.spark
     counters, tags = Observation("counters"), Observation("tags")
-    records = xml_dumps.read_records(spark, path, kind, tags)
+    records = xml_dumps.read_records(spark, path, kind, tags, keep_fragments=True)
     observed = records.observe(counters, *quality.load_counters(F.col("valid")))
     landing = store.landing(kind, snapshot)
-    xml_dumps.accepted(observed).write.mode("overwrite").parquet(landing)
+    observed.write.mode("overwrite").partitionBy("valid").parquet(landing)
     found, seen = tags.get, counters.get
     xml_dumps.check_roots(found["opened"], found["closed"])
     if seen["processed"] == 0:
         raise quality.LoadRejected(f"no {kind} records in {path}")
     hidden = max(0, found["records"] - seen["processed"])
     quality.check_gate(seen["processed"] + hidden, seen["rejected"] + hidden, max_error_rate)
-    return spark.read.parquet(landing)
+    return landed_rows(store, kind, snapshot)
+
+
+def _landed(store: SnapshotStore, kind: str, snapshot: str) -> DataFrame:
+    # Both partitions are named, as either may be empty.
+    columns = xml_dumps.landed_schema(kind)
+    return store.spark.read.schema(f"{columns}, valid boolean").parquet(store.landing(kind, snapshot))
+
+
+def landed_rows(store: SnapshotStore, kind: str, snapshot: str) -> DataFrame:
+    """The accepted rows of a landed dump."""
+    return _landed(store, kind, snapshot).where("valid").drop("valid", "reason", "fragment")
+
+
+def rejected_rows(store: SnapshotStore, snapshot: str, source_type: str, file_name: str) -> DataFrame:
+    """The records of a landed dump that were rejected, with their text, place and reason."""
+    return _landed(store, source_type, snapshot).where("NOT valid").select(
+        F.lit(snapshot).alias("snapshot"),
+        F.lit(source_type).alias("source_type"),
+        F.lit(file_name).alias("file_name"),
+        POSITION,
+        "reason",
+        "fragment",
+    )
+
+
+def replay_rejects(store: SnapshotStore, kind: str, mend: Column | str = "fragment") -> int:
+    """Parse the stored rejects of a kind again, their text changed by ``mend``; how many passed.
+
+    Rows that pass now are merged like a load's, unless their record is stored already: the table
+    may have a newer state of it. They leave the rejects; the others stay, as they were.
+    """
+    stored = store.read("rejects").where(F.col("source_type") == kind)
+    text = F.expr(mend) if isinstance(mend, str) else mend
+    again = stored.withColumn("text", text)
+    records = xml_dumps.checked(
+        xml_dumps.parse_fragments(again, kind, "text", keep=("snapshot",)), kind, keep=("snapshot",)
+    )
+    passed = written(records.where("valid").drop("valid"))
+    n = passed.count()
+    if n:
+        rows = last_per_key(passed.drop("snapshot"), ["id"], F.col(POSITION)).drop(POSITION)
+        known = store.read(kind, store.buckets_of(kind, rows)).select("id")
+        incoming = written(rows.join(known, "id", "left_anti"))
+        changes = link_changes(store, shred(incoming), incoming) if kind == "releases" else {}
+        changes[kind] = refreshed(store, kind, incoming)
+        mended = passed.select("snapshot", POSITION)
+        left = store.read("rejects").join(mended, ["snapshot", POSITION], "left_anti")
+        changes["rejects"] = Change(left)
+        job = {"snapshot": uuid.uuid4().hex, "source_type": kind, "file_name": "rejects"}
+        store.publish(changes, job)
+        dropped(incoming)
+    dropped(passed)
+    return n
 
 
 def provenance_row(
@@ -89,24 +145,31 @@ def link_changes(store: SnapshotStore, parts: Shredded, releases: DataFrame) ->
 
     Shredded links are unique already; only new ones are written.
     """
-    buckets = store.buckets_of("tracks", releases.select(F.col("id").alias("release_id")))
+    ids = releases.select(F.col("id").alias("release_id"))
+    buckets = store.buckets_of("tracks", ids)
 
     def new(table: str, rows: DataFrame, key: list[str]) -> Change:
-        return Change(insert_new(store.read(table, buckets), rows, key, unique=True), [])
+        near = store.read(table, store.buckets_of(table, ids))
+        return Change(created(insert_new(near, rows, key, unique=True)), [])
 
+    stored = store.read("tracks", buckets)
     return {
         "release_artists": new("release_artists", parts.release_artists, ARTIST_LINK),
         "release_labels": new("release_labels", parts.release_labels, LABEL_LINK),
-        "tracks": Change(
-            replace_children(store.read("tracks", buckets), parts.tracks, "release_id"), buckets
-        ),
+        "tracks": Change(replace_children(stored, created(parts.tracks), "release_id"), buckets),
     }
 
 
+def created(rows: DataFrame) -> DataFrame:
+    """Rows that count as created where they are published."""
+    return rows.withColumn(STATUS, F.lit("created"))
+
+
 def refreshed(store: SnapshotStore, kind: str, incoming: DataFrame) -> Change:
     """The buckets of an entity table that some rows are in, with these merged."""
     buckets = store.buckets_of(kind, incoming)
-    return Change(refresh(store.read(kind, buckets), incoming, ["id"]), buckets)
+    merged = refresh(store.read(kind, buckets), incoming, ["id"], status=STATUS)
+    return Change(merged, buckets)
 
 
 def load_dump(
@@ -158,7 +221,9 @@ def load_dump(
         changes.update(link_changes(store, shred(incoming), incoming))
     changes[kind] = refreshed(store, kind, incoming)
     changes["data_sources"] = Change(provenance_row(kind, file_name, incoming, snapshot), [])
-    store.publish(changes)
+    job = {"snapshot": snapshot, "source_type": kind, "file_name": file_name}
+    changes["rejects"] = Change(rejected_rows(store, **job), [])
+    store.publish(changes, job)
     return True
 
 
@@ -193,7 +258,7 @@ def merge_documents(
     changes = link_changes(store, shred(incoming), incoming) if kind == "releases" else {}
     changes[kind] = refreshed(store, kind, incoming)
     changes["data_sources"] = Change(provenance_row(kind, path, incoming, snapshot, "api"), [])
-    store.publish(changes)
+    store.publish(changes, {"snapshot": snapshot, "source_type": kind, "file_name": path})
 
 
 def publish_items(
@@ -259,13 +324,31 @@ def reprocess_links(store: SnapshotStore) -> None:
 
 
 def prune_store(store: SnapshotStore, keep_masters: bool = False) -> None:
-    """Remove releases that no collection holds, with their links and tracks, all at once."""
+    """Remove releases that no collection holds, with their links and tracks, all at once.
+
+    Only buckets that lose rows are read in full and written again.
+    """
     releases = store.read("releases")
-    kept = prune_releases(releases, store.read("user_collection"), keep_masters)
-    children = ("release_artists", "release_labels", "tracks")
-    store.replace(
-        {"releases": kept, **{t: prune_children(store.read(t), kept) for t in children}}
-    )
+    kept = prune_releases(releases.select("id", "master_id"), store.read("user_collection"), keep_masters)
+    lost = written(releases.select("id").join(kept.select("id"), "id", "left_anti"))
+
+    def without_lost(table: str) -> Change:
+        key = KEYS[table]
+        gone = lost.select(F.col("id").alias(key))
+        buckets = store.buckets_of(table, gone)
+        return Change(store.read(table, buckets).join(gone, key, "left_anti"), buckets)
+
+    if not lost.isEmpty():
+        tables = ("releases", "release_artists", "release_labels", "tracks")
+        store.publish({table: without_lost(table) for table in tables})
+    dropped(lost)
+
+
+def owned_tables(store: SnapshotStore) -> dict[str, DataFrame]:
+    """Releases in some collection, their links and tracks, of which no other bucket is opened."""
+    owned = owned_release_ids(store.read("user_collection"))
+    tables = ("releases", "release_artists", "release_labels", "tracks")
+    return {table: store.holding(table, owned) for table in tables}
 
 
 def clear(store: SnapshotStore, kind: str) -> None:

@@ -73,6 +73,14 @@ TABLES = {
         "source_type string, source_name string, last_updated timestamp, file_name string, "
         "record_count bigint, source_date date, snapshot string"
     ),
+    "load_counters": (
+        "snapshot string, source_type string, file_name string, at timestamp, table_name string, "
+        "written bigint, created bigint, updated bigint"
+    ),
+    "rejects": (
+        "snapshot string, source_type string, file_name string, position "
+        "struct<file:string,split:bigint,row:bigint,nth:int>, reason string, fragment string"
+    ),
     "sync_status": (
         "user_id bigint, sync_type string, last_sync timestamp, records_processed bigint, "
         "status string, error_message string"

@@ -191,26 +191,29 @@ def _columns(kind: str) -> dict[str, Column]:
     }
 
 
-def _is_valid(kind: str) -> Column:
-    """Records need a numeric id and a name or title; artists and labels no id 0."""
+def _reason(kind: str) -> Column:
+    """Why a record is rejected; NULL if it isn't.
+
+    Records need a numeric id and a name or title; artists and labels no id 0.
+    """
     id_column, text = ("_id", "title") if kind in ("masters", "releases") else ("id", "name")
-    conditions = [
-        F.col("_corrupt").isNull(),
-        safe_long(id_column).isNotNull(),
-        _text(text).isNotNull(),
-    ]
+    reason = F.when(F.col("_corrupt").isNotNull(), "not readable")
+    reason = reason.when(safe_long(id_column).isNull(), "no numeric id")
     if kind in ("artists", "labels"):
-        conditions.append(safe_long(id_column) != 0)
+        reason = reason.when(safe_long(id_column) == 0, "id 0")
+    reason = reason.when(_text(text).isNull(), f"no {text}")
     if kind == "artists":
-        conditions.append(~F.coalesce(_has_bad_alias(), F.lit(False)))
-    return F.coalesce(reduce(and_, conditions), F.lit(False))
+        reason = reason.when(F.coalesce(_has_bad_alias(), F.lit(False)), "alias id not numeric")
+    return reason
 
 
 def raw_schema(kind: str) -> str:
     return f"{schemas.XML_RECORDS[kind]}, _corrupt string"
 
 
-def parse_fragments(fragments: DataFrame, kind: str, column: str = "fragment") -> DataFrame:
+def parse_fragments(
+    fragments: DataFrame, kind: str, column: str = "fragment", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Raw records from one XML element per row; unreadable ones carry ``_corrupt``."""
     record = F.from_xml(
         F.col(column),
@@ -219,13 +222,20 @@ def parse_fragments(fragments: DataFrame, kind: str, column: str = "fragment") -
     )
     # Unpacked by a generator, so that each element is parsed once: a plain projection
     # would be merged into, and repeated by, every expression that reads a field of it.
-    return fragments.select(*position_of(fragments), F.inline(F.array(record)))
+    return fragments.select(*position_of(fragments), *keep, F.inline(F.array(record)))
 
 
-def checked(raw: DataFrame, kind: str) -> DataFrame:
-    """Typed catalogue columns plus ``valid``; both come from one pass over the records."""
+def checked(raw: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed catalogue columns plus ``valid``; both come from one pass over the records.
+
+    With ``fragment`` among the columns to ``keep``, those not valid keep it, and ``reason``.
+    """
     columns = [column.alias(name) for name, column in _columns(kind).items()]
-    typed = raw.select(*columns, _is_valid(kind).alias("valid"), *position_of(raw))
+    reason = _reason(kind)
+    kept = [F.when(reason.isNotNull(), F.col(c)).alias(c) if c == "fragment" else F.col(c) for c in keep]
+    if "fragment" in keep:
+        kept.append(reason.alias("reason"))
+    typed = raw.select(*columns, reason.isNull().alias("valid"), *position_of(raw), *kept)
     # An empty list is stored as NULL.
     return typed.select(
         *[
@@ -330,10 +340,32 @@ def check_roots(opened: int, closed: int) -> None:
 
 
 def read_records(
-    spark: SparkSession, path: str | list[str], kind: str, tags: Observation | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    kind: str,
+    tags: Observation | None = None,
+    keep_fragments: bool = False,
 ) -> DataFrame:
-    """Typed rows of a dump, ``valid`` and ``position``; nothing is rejected silently."""
-    return checked(parse_fragments(read_fragments(spark, path, kind, tags), kind), kind)
+    """Typed rows of a dump, ``valid`` and ``position``; nothing is rejected silently.
+
+    ``keep_fragments`` adds ``fragment`` and ``reason``, set where a record is not valid.
+    """
+    keep = ("fragment",) if keep_fragments else ()
+    fragments = read_fragments(spark, path, kind, tags)
+    return checked(parse_fragments(fragments, kind, keep=keep), kind, keep)
+
+
+def landed_schema(kind: str) -> str:
+    """Columns of ``read_records`` with fragments, but ``valid``."""
+    typed = checked(
+        SparkSession.active().createDataFrame([], f"{raw_schema(kind)}, fragment string"),
+        kind,
+        ("fragment",),
+    )
+    columns = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema if f.name != "valid"
+    )
+    return f"{columns}, {POSITION} struct<file:string,split:bigint,row:bigint,nth:int>"
 
 
 def read_dump(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
