@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cratework.llm.alignment import similarity
 from cratework.llm.common import text_or_empty
@@ -21,6 +22,10 @@ SIMILARITY = 0.8
 SKETCHES = 48
 RETAINED = 2
 
+#: Members of a bucket of which all pairs are compared; larger ones are told apart by the least
+#: shingles of each member, as far as at most so many members have them.
+SMALL, SAMPLED, RARE = 16, 64, 32
+
 #: Rows with texts that a Python worker takes at once.
 _BATCH = 1000
 
@@ -177,22 +182,38 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return joined
 
 
-def _unresolved(buckets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """All pairs of a bucket that are in two components, where the lengths allow the similarity.
+def _rare_shingles(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``key``, node, words, label: the ``SAMPLED`` least shingle hashes of each node's text.
 
-    Buckets of one component need nothing more. What a bucket's centres leave apart is compared
-    in full: the rows grow with the products of the sizes of its components.
+    The least hashes of two texts are those of the same shingles, if both have them.
     """
-    key = F.hex("node").alias("key")
-    named = labels.select(key, "label")
-    rows = buckets.select(key, "bucket", "node", "words").join(named, "key", "left")
-    rows = rows.select("bucket", "node", "words", F.coalesce("label", "node").alias("label"))
-    rows = written(rows)
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    mixed = mixed.where("x <> y").select(F.bitwise_not("bucket").alias("key"))
-    # Written, so that the pairs' join has plain exchanges on both sides and can be split.
-    rows = rows.withColumn("key", F.bitwise_not("bucket")).join(mixed, "key").drop("bucket")
-    rows = written(rows)
+    ship_package(nodes.sparkSession)
+    fields = [nodes.schema[c] for c in ("node", "words", "label")]
+    schema = StructType([StructField("key", LongType()), *fields])
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            found = [
+                np.unique(shingle_hashes(hashes.of_text(text.as_py()), size))[:SAMPLED]
+                for text in batch.column(3)
+            ]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            keys = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            columns = [batch.column(i).take(owner) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *columns], names=schema.names)
+
+    joined = nodes.join(texts, "node").select("node", "words", "label", "text")
+    return joined.mapInArrow(run, schema)
+
+
+def _pairs_within(rows: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """All pairs of a group of ``rows`` that are in two components, with lengths that may do.
+
+    ``groups`` has the ``key`` of groups of a bounded size only. Both sides of the join have
+    exchanges of their own.
+    """
+    rows = written(rows.join(groups.select("key"), "key"))
     left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "words", "label")])
     right = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "words", "label")])
     shorter, longer = F.least("words_a", "words_b"), F.greatest("words_a", "words_b")
@@ -201,10 +222,43 @@ def _unresolved(buckets: DataFrame, labels: DataFrame, least: float) -> DataFram
         .where((F.col("node_a") > F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
         .where(shorter >= longer * F.lit(least))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
     )
 
 
+def _mixed_groups(rows: DataFrame) -> DataFrame:
+    """``key`` and size ``n`` of the groups with members in two components."""
+    grouped = rows.groupBy("key").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")
+    )
+    return grouped.where("x <> y").select("key", "n")
+
+
+def _unresolved(
+    buckets: DataFrame, labels: DataFrame, texts: DataFrame, least: float, size: int
+) -> DataFrame:
+    """Pairs that share a bucket and that centres have left in two components.
+
+    Buckets of one component need nothing more. In a small bucket all pairs are compared. The
+    members of a larger one have in common what many texts have, so they are told apart by the
+    rest: all pairs that share one of their ``SAMPLED`` least shingles are compared, but for
+    shingles that more than ``RARE`` of them have. The pairs grow with the number of members,
+    not with its square.
+    """
+    label = F.coalesce("label", "node").alias("label")
+    named = labels.select(F.hex("node").alias("hex"), "label")
+    rows = buckets.withColumn("hex", F.hex("node")).join(named, "hex", "left")
+    rows = written(rows.select(F.bitwise_not("bucket").alias("key"), "node", "words", label))
+    mixed_groups = written(_mixed_groups(rows))
+    few = _pairs_within(rows, mixed_groups.where(F.col("n") <= SMALL), least)
+    members = rows.join(mixed_groups.where(F.col("n") > SMALL), "key")
+    members = members.select("node", "words", "label").distinct()
+    shingles = written(_rare_shingles(members, texts, size), _BATCH)
+    rare = _mixed_groups(shingles).where(F.col("n") <= RARE)
+    found = written(few.union(_pairs_within(shingles, rare, least)).distinct())
+    dropped(rows, mixed_groups, shingles)
+    return found
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -225,8 +279,9 @@ def near_duplicates(
       order; documents that share one of ``sketches`` sketches share a bucket.
     * Buckets don't make all pairs: members are aligned with the bucket's least node first. What
       is then not yet in one component meets three further centres, another choice in each
-      bucket, so pairs in a bucket of many unlike texts meet in others. The work grows with the
-      number of documents, and a member linked to a centre needs no other link.
+      bucket. Of what these leave apart, the members of small buckets are compared pair by pair,
+      and those of large ones where they share a shingle that few of them have. The work grows
+      with the number of documents, and a member linked to a centre needs no other link.
     * Sketches are probabilistic: of pairs with a share s of their shingles in common, about
       (1 - s**retained) ** sketches share no bucket.
 
@@ -282,8 +337,9 @@ def near_duplicates(
     more = _verified(further, texts, least)
     labels = _joined(labels, more)
 
-    rest = written(_unresolved(buckets, labels, least).join(further, ["a", "b"], "left_anti"))
-    dropped(buckets, further)
+    left = _unresolved(buckets, labels, texts, least, size)
+    rest = written(left.join(further, ["a", "b"], "left_anti"))
+    dropped(buckets, further, left)
     labels = _joined(labels, _verified(rest, texts, least))
     dropped(texts, rest)
 
