@@ -9,87 +9,34 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from cratework.llm.license_templates import TEMPLATES
 from cratework.llm.per_row import append_columns
 
 #: Share of a template's words that must be aligned.
 COVERAGE = 0.85
 
-# Notices and short texts of public licenses, by SPDX identifier.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
-        "software and associated documentation files (the \"Software\"), to deal in the Software "
-        "without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
-        "to whom the Software is furnished to do so, subject to the following conditions: The above "
-        "copyright notice and this permission notice shall be included in all copies or substantial "
-        "portions of the Software.",
-    ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
-        "without fee is hereby granted, provided that the above copyright notice and this permission "
-        "notice appear in all copies.",
-    ),
-    (
-        "BSD-2-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met: Redistributions of source code "
-        "must retain the above copyright notice, this list of conditions and the following "
-        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
-        "list of conditions and the following disclaimer in the documentation and/or other materials "
-        "provided with the distribution.",
-    ),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
-        "Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
-        "except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of "
-        "the GNU General Public License as published by the Free Software Foundation, either version "
-        "3 of the License, or (at your option) any later version.",
-    ),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    (
-        "MPL-2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
-        "copy of the MPL was not distributed with this file, You can obtain one at "
-        "http://mozilla.org/MPL/2.0/.",
-    ),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-    (
-        "CC-BY-4.0",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright."),
-    (
-        "Unlicense",
-        "This is free and unencumbered software released into the public domain.",
-    ),
-]
-
-_WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+_WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*\+?")
+_BRACES = re.compile(r"\{([^}]*)\}")
+#: What takes a notice back, within the same sentence and shortly before it.
+_DENIAL = re.compile(
+    r"\b(?:not|never|no longer|cannot|neither|nor|rather than|instead of|(?:is|was|are|were|do|does|did|has|have)n.t)\b"
+    r"(?:[^\w.;:!?]+\w+){0,4}[^\w.;:!?]*$"
+)
 
 
 def template_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def naming_words(text: str) -> list[range]:
+    """The places, among the words of a template, of those in each pair of braces."""
+    found = []
+    for braces in _BRACES.finditer(text):
+        start = len(template_words(text[: braces.start()]))
+        found.append(range(start, start + len(template_words(braces[1]))))
+    return found
+
+
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Pairs of places of equal words, in order in both.
 
@@ -175,14 +122,35 @@ class Hit:
     words: int
 
 
+@dataclass(frozen=True)
+class Template:
+    license: str
+    words: list[str]
+    counts: Counter
+    naming: list[range]
+    names: frozenset[str]
+
+
 class Scanner:
+    """Finds licenses in texts.
+
+    A hit aligns ``coverage`` of a template's words, and all words that name the license, those
+    in one pair of braces in a row. Of hits that overlap that of the most aligned words stays, so
+    a whole text or a notice with a variant is taken for itself and not for what it begins with.
+    A notice that is denied right before ("not licensed under ...") is no hit.
+    """
+
     def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE):
         self.coverage = coverage
         self.templates = []
+        self.by_word: dict[str, list[Template]] = {}  # by one of the words that a text must have
         for name, text in templates:
-            words = template_words(text)
+            words, naming = template_words(text), naming_words(text)
             if words:
-                self.templates.append((name, words, Counter(words)))
+                names = frozenset(words[p] for places in naming for p in places)
+                self.templates.append(Template(name, words, Counter(words), naming, names))
+                rarest = max(names or words, key=lambda w: (len(w), w))
+                self.by_word.setdefault(rarest if names else "", []).append(self.templates[-1])
 
     def scan(self, text: str | None) -> list[Hit]:
         """Best templates in the text, in order, in places that don't overlap."""
@@ -190,43 +158,56 @@ class Scanner:
         if len(lowered) != len(text or ""):  # places must be those of the original
             lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         present = set(_WORD.findall(lowered))
-        wanted = [t for t in self.templates if self._possible(present, t)]
+        near = [t for w in self.by_word.keys() & (present | {""}) for t in self.by_word[w]]
+        wanted = [t for t in near if t.names <= present and self._possible(present, t)]
         if not wanted:
             return []
         spans = [m.span() for m in _WORD.finditer(lowered)]
         words = [lowered[s:e] for s, e in spans]
-        found = [h for t in wanted for h in self._places(words, spans, *t)]
-        found.sort(key=lambda h: (-h.coverage, -h.words, h.start, h.license))
+        found = [h for t in wanted for h in self._places(words, spans, t)]
+        found = [h for h in found if not _DENIAL.search(lowered[max(0, h.start - 80) : h.start])]
+        found.sort(key=lambda h: (-h.coverage * h.words, -h.coverage, h.start, h.license))
         kept: list[Hit] = []
         for hit in found:
             if all(hit.end <= k.start or hit.start >= k.end for k in kept):
                 kept.append(hit)
         return sorted(kept, key=lambda h: h.start)
 
-    def _possible(self, present: set[str], template) -> bool:
-        _, words, counts = template
-        reach = sum(n for w, n in counts.items() if w in present)
-        return reach >= self.coverage * len(words)
+    def _possible(self, present: set[str], template: Template) -> bool:
+        reach = sum(n for w, n in template.counts.items() if w in present)
+        return reach >= self.coverage * len(template.words)
 
-    def _places(self, words, spans, name, template, counts):
+    def aligned(self, words: list[str], template: Template) -> list[tuple[int, int]]:
+        """The alignment of some words with a template, if it is a hit; else none."""
+        pairs = patience(words, template.words)
+        if len(pairs) < self.coverage * len(template.words):
+            return []
+        place = {q: p for p, q in pairs}
+        for naming in template.naming:
+            at = [place.get(q) for q in naming]
+            if None in at or at[-1] - at[0] != len(at) - 1:
+                return []
+        return pairs
+
+    def _places(self, words, spans, template: Template):
         """Windows that hold enough of the template's words, each aligned once."""
-        need = self.coverage * len(template)
-        size = len(template) + len(template) // 4 + 2
-        places = [p for p, w in enumerate(words) if w in counts]
+        need = self.coverage * len(template.words)
+        size = len(template.words) + len(template.words) // 4 + 2
+        places = [p for p, w in enumerate(words) if w in template.counts]
         first = 0
         while first < len(places):
             last = bisect_left(places, places[first] + size)
             if last - first >= need:
                 at = places[first]
-                pairs = patience(words[at : at + size], template)
-                if len(pairs) >= need:
+                pairs = self.aligned(words[at : at + size], template)
+                if pairs:
                     # A window that began too early may have cut the end off.
                     at += pairs[0][0]
-                    pairs = patience(words[at : at + size], template)
-                if len(pairs) >= need:
+                    pairs = self.aligned(words[at : at + size], template)
+                if pairs:
                     start, end = at + pairs[0][0], at + pairs[-1][0]
-                    share = len(pairs) / len(template)
-                    yield Hit(name, share, spans[start][0], spans[end][1], len(template))
+                    share = len(pairs) / len(template.words)
+                    yield Hit(template.license, share, spans[start][0], spans[end][1], len(template.words))
                     first = bisect_left(places, end + 1)
                     continue
             first += 1
@@ -242,8 +223,8 @@ def scan_licenses(
 
     ``licenses`` has license, coverage (share of the template's words that the text aligns
     with) and place in code points of each hit, in text order; ``license`` and ``coverage`` are
-    those of the best hit: most coverage, then the longer template, the earlier place, the
-    name. Without hits, as for NULL and empty texts, the list is empty and the two are NULL.
+    those of the best hit: most aligned words, then most coverage, the earlier place, the name.
+    What is a hit, ``Scanner`` says. Without hits, as for NULL and empty texts, the list is empty and the two are NULL.
     Columns of these names are replaced. The templates are few and fixed; nothing is shuffled.
     """
 
@@ -255,7 +236,9 @@ def scan_licenses(
             for text in texts:
                 hits = scanner.scan(text)
                 best = min(
-                    hits, key=lambda h: (-h.coverage, -h.words, h.start, h.license), default=None
+                    hits,
+                    key=lambda h: (-h.coverage * h.words, -h.coverage, h.start, h.license),
+                    default=None,
                 )
                 listed = [
                     {"license": h.license, "coverage": h.coverage, "start": h.start, "end": h.end}

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from cratework.llm.decontamination import contamination, words_of
 from cratework.llm.html_text import extract_main_text, main_text
 from cratework.llm.license_scan import Scanner, patience, scan_licenses
+from cratework.llm.license_templates import TEMPLATES
 from cratework.llm.pieces import Pieces, _fields
 from cratework.llm.queries import MODEL
 from cratework.llm.sentencepiece_fst import Transducer, decode_ids, encode_texts, round_trip
@@ -421,6 +422,74 @@ def test_licenses_in_texts():
     assert scanner.scan(LONG) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 3.0 Unported License.", ["CC-BY-NC-SA-3.0"]),
+        ("This work is licensed under a Creative Commons Something 4.0 International License.", []),
+        ("Licensed under CC BY-NC-SA 4.0", ["CC-BY-NC-SA-4.0"]),
+        ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]),
+        ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("Licensed under the Apache License, Version 3.0.", []),
+        ("Released under the GNU Lesser General Public License, version 2.1", ["LGPL-2.1"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 1.", ["GPL-1.0"]),
+        ("Distributed under the GNU General Public License, version 2 or later.", ["GPL-2.0-or-later"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("Licensed under the GNU Free Documentation License, version 3", []),
+        ("Released under the GPLv2+.", ["GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier: GPL-2.0-only\nint x;", ["GPL-2.0"]),
+        ("// SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]),
+        ("Not licensed under the MIT License.", []),
+        ("It isn't released under the MIT License, but free.", []),
+        ("It was not. Released under the MIT License.", ["MIT"]),
+        ("Neither is it fast. This is licensed under the MIT License", ["MIT"]),
+    ],
+)
+def test_neighbour_licenses_are_told_apart(text, names):
+    noise = "It holds words of the version and of a license, in general.\n\n"
+    for around in (text, noise + text, noise + text + "\n" + noise):
+        assert [h.license for h in Scanner().scan(around)] == names
+
+
+def test_every_text_is_its_own_license():
+    scanner = Scanner()
+    for name, text in TEMPLATES:
+        if "{" in text and len(text) > 120:
+            plain = text.replace("{", "").replace("}", "")
+            assert [h.license for h in scanner.scan(f"Copyright X.\n{plain}\nThe end.")] == [name], text
+    terms = (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+        "or (at your option) any later version."
+    )
+    assert [h.license for h in scanner.scan(terms)] == ["GPL-2.0-or-later"]
+    assert [h.license for h in scanner.scan(terms.replace("GNU General", "GNU Lesser General").replace("2", "2.1"))] == [
+        "LGPL-2.1-or-later"
+    ]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_a_scan_finds_what_aligning_every_window_finds(data):
+    """The scan skips windows without enough of a template's words; no hit is lost by that."""
+    templates = [("A", "{a} b c d e f"), ("B", "{a b} c g"), ("C", "d {c} b a d c b a")]
+    scanner = Scanner(templates, 0.75)
+    text = " ".join(data.draw(st.lists(st.sampled_from("abcdefgxy"), max_size=40)))
+    words = text.split()
+    for template in scanner.templates:
+        size = len(template.words) + len(template.words) // 4 + 2
+        hits = [p for p in range(len(words)) if words[p] in template.words and scanner.aligned(words[p : p + size], template)]
+        spans = [(2 * i, 2 * i + 1) for i in range(len(words))]
+        found = list(scanner._places(words, spans, template))
+        # Each window that is a hit lies in, or overlaps, one that was found, and each found is one.
+        assert all(any(h.start <= 2 * (p + size) and 2 * p <= h.end for h in found) for p in hits)
+        assert bool(found) == bool(hits)
+
+
 def test_license_odd_rows(odd, nothing):
     rows = scan_licenses(odd).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ODD)
