@@ -219,8 +219,10 @@ def first_press(
         F.col("released").alias("release_date"),
         "master_id",
     ).where(F.col("master_id").isNotNull() & F.col("release_year").isNotNull())
+    # Countries are counted for masters of owned releases only.
+    dated = keep_keys(dated, items, "release_id", "release_id")
     first = dated.join(
-        master_countries(masters, releases),
+        master_countries(masters, releases, dated),
         (F.col("master_id") == F.col("_master")) & (F.col("release_year") == F.col("master_year")),
     )
     unknown = F.col("release_country").isNull() | F.col("master_country").isNull()

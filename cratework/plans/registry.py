@@ -74,9 +74,20 @@ def collaborations_of(tables: Tables, artist1: str, artist2: str) -> DataFrame:
     )
 
 
-def report(tables: Tables, folder: str, fmt: str = "csv", limit: int | None = 20) -> None:
-    """Run every analysis that needs no names and write each to its own folder."""
+def report(
+    tables: Tables,
+    folder: str,
+    fmt: str = "csv",
+    limit: int | None = 20,
+    with_pressings: bool = False,
+) -> None:
+    """Run every analysis that needs no names and write each to its own folder.
+
+    Those of pressings list rows, as many as there are; they are written if asked for.
+    """
     results = {name: make(tables, limit) for name, make in ANALYSES.items()}
     if fmt == "csv":
         results["summary"] = metric_rows(results["summary"])
+    if with_pressings:
+        results |= {name: make(tables) for name, make in PRESSINGS.items()}
     write_report(results, folder, fmt)

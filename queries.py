@@ -18,6 +18,7 @@ from cratework.operators.sinks import metric_rows
 from cratework.plans import collaborations, collection, load, pressings, registry, sync
 from cratework.session import shared_folder
 from cratework.sources import json_documents, xml_dumps
+from cratework.sources.commit_log import Folder
 from cratework.sources.snapshots import SnapshotStore
 from cratework.sources.star_schema import StarSchemaCatalogue
 from cratework.streaming import collection_stream
@@ -698,6 +699,123 @@ def xml_name_variations(c):
     )
 
 
+# --------------------------------------------------------------------- the store
+#: Records of each kind of dump; every seventh part has no numeric id, every 31st order no title.
+DUMPS = {
+    "artists": (
+        "part",
+        """concat('<artist><id>', CASE WHEN p_partkey % 7 = 3 THEN 'x' ELSE '' END,
+             CAST(p_partkey AS STRING), '</id><name>', p_name, '</name></artist>')""",
+    ),
+    "labels": (
+        "supplier",
+        "concat('<label><id>', CAST(s_suppkey AS STRING), '</id><name>', s_name, '</name></label>')",
+    ),
+    "masters": (
+        "customer",
+        """concat('<master id="', CAST(c_custkey AS STRING), '"><title>', c_name,
+             '</title></master>')""",
+    ),
+    "releases": (
+        "orders",
+        """concat('<release id="', CAST(o_orderkey AS STRING), '">',
+             CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE concat('<title>T', CAST(o_orderkey AS STRING),
+               '</title>') END, '<artists><artist><id>', CAST(o_custkey + 1 AS STRING),
+             '</id><name>A</name></artist><artist><id>1</id><name>B</name></artist></artists>',
+             '<labels><label name="L" catno="c" id="', CAST(o_orderkey % 50 AS STRING), '"/></labels>',
+             '<tracklist>', repeat('<track><title>t</title><duration>1:00</duration></track>',
+               CAST(o_orderkey % 3 AS INT)), '</tracklist></release>')""",
+    ),
+}
+
+
+def _dump_folder(c, kinds):
+    """A folder with the newest dump of some kinds, a file each, and an older one of nothing."""
+    top = f"{shared_folder(c.spark)}/dumps-{uuid.uuid4().hex}"
+    folder = Folder(c.spark, top)
+    for kind in kinds:
+        table, record = DUMPS[kind]
+        lines = c.table(table).selectExpr("1 AS at", f"{record} AS value")
+        for at, tag in ((0, f"<{kind}>"), (2, f"</{kind}>")):
+            lines = lines.union(c.spark.range(1).select(F.lit(at), F.lit(tag)))
+        # A dump is one file; its lines are streamed to it, in order of their kind.
+        lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{top}/{kind}")
+        made = Folder(c.spark, f"{top}/{kind}").entries()
+        folder.rename(f"{kind}/{next(n for n in made if n.startswith('part-'))}", f"x_20250601_{kind}.xml")
+        folder.delete(kind)
+        folder.put_new(f"x_20250501_{kind}.xml", f"<{kind}></{kind}>")
+    return top
+
+
+def _loaded(c, *kinds, again=False):
+    """A store with the newest dumps of some kinds, loaded twice if ``again``."""
+    top = _dump_folder(c, kinds)
+    store = SnapshotStore(c.spark, f"{top}-store")
+    for force in (False, True) if again else (False,):
+        load.load_all(store, top, max_error_rate=0.5, force=force)
+    return store
+
+
+@register
+def load_all_entities(c):
+    """The newest dump of every kind, found in a folder and loaded: artists, labels, masters, releases."""
+    store = _loaded(c, *DUMPS)
+    named = [
+        store.read(kind).select(F.lit(kind).alias("kind"), "id", F.col(name).alias("name"))
+        for kind, name in (("artists", "name"), ("labels", "name"), ("masters", "title"), ("releases", "title"))
+    ]
+    return reduce(DataFrame.unionByName, named)
+
+
+@register
+def load_counters(c):
+    """What two loads of the same releases created and updated, as counted while written."""
+    store = _loaded(c, "releases", again=True)
+    rows = store.read("load_counters").where(F.col("source_type") == "releases")
+    return rows.where(F.col("table_name").isin("releases", "release_artists", "release_labels", "tracks")).groupBy(
+        "table_name"
+    ).agg(F.count("*").alias("loads"), F.sum("created").alias("created"), F.sum("updated").alias("updated"))
+
+
+@register
+def xml_rejected(c):
+    """Rejected records of dumps, with their reason and text."""
+    store = _loaded(c, "artists", "labels")
+    return store.read("rejects").select("source_type", "reason", "fragment", F.col("file_name"))
+
+
+def _catalogue_store(c, *tables):
+    """A store with some of the catalogue's tables, the releases in two loads."""
+    store = SnapshotStore(c.spark, f"{shared_folder(c.spark)}/store-{uuid.uuid4().hex}")
+    store.append({t: getattr(c, t) for t in tables if t != "releases"})
+    releases = c.releases.select("id", "master_id", "title", "country")
+    store.append({"releases": releases.where("id % 2 = 0")})
+    store.append({"releases": releases.where("id % 2 = 1")})
+    return store
+
+
+@register
+def store_upserts(c):
+    """Stored releases of which some are then changed, some added and some replaced once more."""
+    store = _catalogue_store(c, "user_collection")
+    for nth, part in enumerate(("id % 97 = 3", "id % 97 < 5")):
+        changed = c.releases.where(part).selectExpr("id", f"'changed {nth}' AS title")
+        added = c.releases.where(f"{part} AND id <> 0").selectExpr("-id AS id", f"'added {nth}' AS title")
+        changed = changed.unionByName(added)
+        store.publish({"releases": load.refreshed(store, "releases", changed)})
+    return store.read("releases").select("id", "master_id", "title", "country")
+
+
+@register
+def store_pruned_links(c):
+    """Links of owned releases, once unused releases are pruned from the store."""
+    store = _catalogue_store(c, "release_labels", "user_collection")
+    load.prune_store(store)
+    return load.owned_tables(store)["release_labels"].join(
+        store.read("releases").select(F.col("id").alias("release_id"), "title"), "release_id"
+    ).select("release_id", "label_id", "catalog_number", "title")
+
+
 # ------------------------------------------------------------------------- sinks
 def _written(c, fmt, schema):
     """A sorted analysis written as a report, and read back."""
@@ -720,6 +838,19 @@ def report_json(c):
     return _written(c, "json", GENRES)
 
 
+@register
+def report_rows(c):
+    """Every result of a report without limits, pressings too, read back: a line for each row."""
+    folder = f"{shared_folder(c.spark)}/report-{uuid.uuid4().hex}"
+    registry.report(c.tables(), folder, "csv", limit=None, with_pressings=True)
+    lines = []
+    for name in (*registry.ANALYSES, *registry.PRESSINGS):
+        rows = c.spark.read.option("header", True).csv(f"{folder}/{name}").drop("added_to_collection")
+        columns = [F.coalesce(F.col(x), F.lit("")) for x in sorted(rows.columns)]
+        lines.append(rows.select(F.lit(name).alias("analysis"), F.concat_ws("|", *columns).alias("line")))
+    return reduce(DataFrame.unionByName, lines)
+
+
 # ------------------------------------------------------------ quality, provenance
 @register
 def load_provenance(c):
