@@ -22,8 +22,12 @@ _TO_SPACE = bytes(
     c if chr(c).isascii() and (chr(c).isdigit() or chr(c).islower()) or c >= 0x80 else 0x20
     for c in range(256)
 )
-_HITS = "array<struct<item:string,first:int,last:int,start:int,end:int>>"
-_automata: dict[str, tuple] = {}
+_ADDED = (
+    "n_words bigint, n_hit bigint, items array<string>, "
+    "spans array<struct<item:string,start:int,end:int>>"
+)
+#: The automata of the benchmark that this process scanned with last.
+_automata: dict[str, list[tuple]] = {}
 
 
 def normalised(text: str | None) -> bytes:
@@ -141,33 +145,38 @@ def contamination(
     ``contaminated`` (some word is hit, and at least a twentieth of all).
 
     The benchmark's size is measured first. Up to ``automaton_bytes`` it makes one automaton,
-    which is broadcast; a larger one makes several, all of which scan a text in the same pass.
-    Documents are never shuffled. NULL and empty texts have no words; an empty benchmark hits
+    which is broadcast; a larger one makes several, and each text is scanned by all of them when
+    it is read. Documents are read once and never shuffled. NULL and empty texts have no words; an empty benchmark hits
     nothing; items that share an id count as one; items with a NULL id share the empty id.
     """
     sparks = docs.sparkSession.sparkContext
-    hits = []
-    for items in _shards(benchmark, item_id_column, item_text_column, automaton_bytes):
-        shared, token, name = sparks.broadcast(items), uuid.uuid4().hex, f"__llm_hits{len(hits)}"
-
-        def prepare(shared=shared, token=token):
-            if token not in _automata:
-                if len(_automata) >= 8:
-                    _automata.clear()
-                _automata[token] = (shared.value, build_automaton(shared.value, window))
-            mine, automaton = _automata[token]
-            return lambda texts: [find_hits(t, mine, automaton, window) for t in texts]
-
-        hits.append(name)
-        docs = append_columns(docs, [text_column], f"n_words bigint, {name} {_HITS}", prepare)
-    found = F.concat(*[F.col(h) for h in hits])
-    covered = F.flatten(F.transform(found, lambda h: F.sequence(h["first"], h["last"])))
-    added = {
-        "n_hit": F.size(F.array_distinct(covered)).cast("bigint"),
-        "items": F.array_sort(F.array_distinct(F.transform(found, lambda h: h["item"]))),
-        "spans": F.transform(found, lambda h: F.struct(h["item"], h["start"], h["end"])),
-    }
-    kept = [c for c in docs.columns if c not in hits and c not in (*added, "contaminated")]
-    result = docs.select(*kept, *[v.alias(k) for k, v in added.items()])
+    parts = _shards(benchmark, item_id_column, item_text_column, automaton_bytes)
+    shared = [sparks.broadcast(items) for items in parts]
+    token = uuid.uuid4().hex
+
+    def prepare():
+        if token not in _automata:
+            _automata.clear()
+            values = [part.value for part in shared]
+            _automata[token] = [(items, build_automaton(items, window)) for items in values]
+        automata = _automata[token]
+        return lambda texts: [_scanned(text, automata, window) for text in texts]
+
+    result = append_columns(docs, [text_column], _ADDED, prepare)
     share = F.col("n_hit") * 20 >= F.col("n_words")
     return result.withColumn("contaminated", (F.col("n_hit") > 0) & share)
+
+
+def _scanned(text: str | None, automata: list[tuple], window: int) -> tuple:
+    """A text scanned by every automaton: words, words in some run, items and runs of them."""
+    n_words, runs = 0, []
+    for items, automaton in automata:
+        n_words, found = find_hits(text, items, automaton, window)
+        runs += found
+    n_hit, reach = 0, -1
+    for _, first, last, _, _ in sorted(runs, key=lambda run: run[1:3]):
+        n_hit += max(0, last - max(first, reach + 1) + 1)
+        reach = max(reach, last)
+    names = sorted({run[0] for run in runs}, key=lambda name: name.encode())
+    spans = [{"item": item, "start": start, "end": end} for item, _, _, start, end in runs]
+    return n_words, n_hit, names, spans

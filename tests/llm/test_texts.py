@@ -68,6 +68,16 @@ def test_contamination_matches_brute_force(spark, small_jobs, automaton_bytes):
     assert Counter((r[0], r[1], r[2], tuple(r[3]), r[4]) for r in found) == want
 
 
+def test_a_large_benchmark_takes_one_pass(spark, small_jobs):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(15))) for i in range(300)]
+    rows = [(i, f"{items[i][1]} and more " * 3) for i in range(0, 300, 7)]
+    got = contamination(documents(spark, rows), benchmark(spark, items), automaton_bytes=1000)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for r in got.collect():
+        assert (r.n_words, r.n_hit, r["items"]) == (51, 45, [str(r.doc_id)]) and len(r.spans) == 3
+
+
 def test_spans_are_places_of_the_original(spark, small_jobs):
     rows = [(1, "Àé — Is THIS: a 漢字 test?! no")]
     got = contamination(documents(spark, rows), benchmark(spark, [(9, "this a 漢字 TEST")]))
