@@ -24,7 +24,9 @@ from cratework.operators.merge import (
 from cratework.operators.missing import missing_entities
 from cratework.operators.joins import owned_release_ids
 from cratework.operators.prune import prune_releases
+from cratework.operators.search import grams_of, postings, with_text
 from cratework.operators.shred import Shredded, shred
+from cratework.plans.collaborations import artist_collaborations
 from cratework.plans.sync import new_users, sync_collection
 from cratework.sources import json_documents, xml_dumps
 from cratework.sources.positions import POSITION
@@ -102,6 +104,7 @@ def replay_rejects(store: SnapshotStore, kind: str, mend: Column | str = "fragme
         incoming = written(rows.join(known, "id", "left_anti"))
         changes = link_changes(store, shred(incoming), incoming) if kind == "releases" else {}
         changes[kind] = refreshed(store, kind, incoming)
+        changes |= name_changes(store, kind, incoming)
         mended = passed.select("snapshot", POSITION)
         left = store.read("rejects").join(mended, ["snapshot", POSITION], "left_anti")
         changes["rejects"] = Change(left)
@@ -165,6 +168,41 @@ def created(rows: DataFrame) -> DataFrame:
     return rows.withColumn(STATUS, F.lit("created"))
 
 
+def name_changes(store: SnapshotStore, kind: str, incoming: DataFrame) -> dict[str, Change]:
+    """Trigrams of incoming names that are not stored, for ``artists_named``.
+
+    Those of a name that an artist no longer has stay, as a search tests what it finds.
+    """
+    if kind != "artists":
+        return {}
+    new = postings(incoming, kind)
+    near = store.read("name_grams", store.buckets_of("name_grams", new))
+    return {"name_grams": Change(insert_new(near, new, ["gram", "kind", "id"], unique=True), [])}
+
+
+def artists_named(store: SnapshotStore, text: str) -> DataFrame:
+    """Stored artists whose name contains ``text``, found by trigrams: other names aren't read."""
+    grams = store.spark.createDataFrame([(g,) for g in grams_of(text)], "gram string")
+    near = store.read("name_grams", store.buckets_of("name_grams", grams))
+    if not grams_of(text):
+        return with_text(store.read("artists"), near, "artists", text)
+    wanted = near.where(F.col("gram").isin(grams_of(text))).select("id")
+    artists = store.read("artists", store.buckets_of("artists", wanted))
+    return with_text(artists, near, "artists", text)
+
+
+def collaborations_named(store: SnapshotStore, first: str, second: str) -> DataFrame:
+    """Releases that credit two different artists with these texts in their names."""
+    artists = artists_named(store, first).unionByName(artists_named(store, second))
+    return artist_collaborations(
+        artists.dropDuplicates(["id"]),
+        store.read("release_artists"),
+        store.read("releases"),
+        first,
+        second,
+    )
+
+
 def refreshed(store: SnapshotStore, kind: str, incoming: DataFrame) -> Change:
     """The buckets of an entity table that some rows are in, with these merged."""
     buckets = store.buckets_of(kind, incoming)
@@ -220,6 +258,7 @@ def load_dump(
     if kind == "releases":
         changes.update(link_changes(store, shred(incoming), incoming))
     changes[kind] = refreshed(store, kind, incoming)
+    changes |= name_changes(store, kind, incoming)
     changes["data_sources"] = Change(provenance_row(kind, file_name, incoming, snapshot), [])
     job = {"snapshot": snapshot, "source_type": kind, "file_name": file_name}
     changes["rejects"] = Change(rejected_rows(store, **job), [])
@@ -257,6 +296,7 @@ def merge_documents(
     incoming = store.spark.read.parquet(landing)
     changes = link_changes(store, shred(incoming), incoming) if kind == "releases" else {}
     changes[kind] = refreshed(store, kind, incoming)
+    changes |= name_changes(store, kind, incoming)
     changes["data_sources"] = Change(provenance_row(kind, path, incoming, snapshot, "api"), [])
     store.publish(changes, {"snapshot": snapshot, "source_type": kind, "file_name": path})
 

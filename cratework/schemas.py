@@ -81,6 +81,7 @@ TABLES = {
         "snapshot string, source_type string, file_name string, position "
         "struct<file:string,split:bigint,row:bigint,nth:int>, reason string, fragment string"
     ),
+    "name_grams": "gram string, kind string, id bigint",
     "sync_status": (
         "user_id bigint, sync_type string, last_sync timestamp, records_processed bigint, "
         "status string, error_message string"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,10 @@ DEFAULTS = {
 }
 
 
+#: Folders of tables that ``written`` made and nothing has deleted yet.
+_made: list[str] = []
+
+
 def session(app_name: str = "cratework", master: str | None = None, **conf: str) -> SparkSession:
     """Get or create a session. Extra settings use ``__`` in place of ``.``."""
     builder = SparkSession.builder.appName(app_name)
@@ -35,10 +42,22 @@ def session(app_name: str = "cratework", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Unset, it is a folder in the warehouse, which all executors share as well.
+    Unset, it is a folder in the warehouse, which all executors share as well. Spark's own
+    default for that is a local folder, which on a cluster they don't share: it is refused there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not usable(warehouse, spark.sparkContext.master):
+        raise ValueError(f"{warehouse} is local to the driver: set spark.checkpoint.dir")
+    return f"{warehouse}/_work"
+
+
+def usable(folder: str, master: str) -> bool:
+    """Whether all tasks of a master can be expected to share a folder."""
+    local = re.match(r"file:|/", folder) or not re.match(r"\w+:", folder)
+    return not local or re.match(r"local(\[|$)", master) is not None
 
 
 def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
@@ -59,12 +78,34 @@ def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
             spark.conf.set(name, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
+    _made.append(path)
     return table
 
 
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made, when all that read them is written itself."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(table.sparkSession, table._written_to)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _made:
+        _made.remove(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes, in the end, all tables that ``written`` makes within.
+
+    For a job that stores its result inside; frames that read such tables end with it.
+    """
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            deleted(spark, path)

@@ -38,6 +38,7 @@ KEYS = {
     "release_labels": "release_id",
     "tracks": "release_id",
     "user_collection": "user_id",
+    "name_grams": "gram",
 }
 
 #: Folders of a table beyond which the smallest are joined.

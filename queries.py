@@ -19,7 +19,7 @@ from cratework.plans import collaborations, collection, load, pressings, registr
 from cratework.session import shared_folder
 from cratework.sources import json_documents, xml_dumps
 from cratework.sources.commit_log import Folder
-from cratework.sources.snapshots import SnapshotStore
+from cratework.sources.snapshots import Change, SnapshotStore
 from cratework.sources.star_schema import StarSchemaCatalogue
 from cratework.streaming import collection_stream
 
@@ -788,7 +788,7 @@ def _catalogue_store(c, *tables):
     """A store with some of the catalogue's tables, the releases in two loads."""
     store = SnapshotStore(c.spark, f"{shared_folder(c.spark)}/store-{uuid.uuid4().hex}")
     store.append({t: getattr(c, t) for t in tables if t != "releases"})
-    releases = c.releases.select("id", "master_id", "title", "country")
+    releases = c.releases.select("id", "master_id", "title", "country", "released")
     store.append({"releases": releases.where("id % 2 = 0")})
     store.append({"releases": releases.where("id % 2 = 1")})
     return store
@@ -816,6 +816,14 @@ def store_pruned_links(c):
     ).select("release_id", "label_id", "catalog_number", "title")
 
 
+@register
+def collaborations_indexed(c):
+    """Collaborations by names that are found through the trigrams kept in a store."""
+    store = _catalogue_store(c, "release_artists")
+    store.publish({"artists": Change(c.artists), **load.name_changes(store, "artists", c.artists)})
+    return load.collaborations_named(store, "RED", "plate")
+
+
 # ------------------------------------------------------------------------- sinks
 def _written(c, fmt, schema):
     """A sorted analysis written as a report, and read back."""

@@ -10,9 +10,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from cratework.functions import contains_ci
+from cratework.operators import search
 from cratework.operators.merge import replace_children
 from cratework.plans import load
-from cratework.sources.snapshots import SnapshotStore, buckets_for
+from cratework.sources.snapshots import Change, SnapshotStore, buckets_for
 from tests.test_load import collect_ids, own, store  # noqa: F401
 
 pytestmark = pytest.mark.usefixtures("small_jobs")
@@ -217,3 +219,32 @@ def test_a_load_leaves_its_counters_and_rejects(store, tmp_path):
     assert load.replay_rejects(store, "artists", taken) == 1
     assert store.read("artists").where("id = 3").first()["name"] == "n3"
     assert store.read("rejects").isEmpty()
+
+
+NAMES = ["Red Plate", "red", "Bored", "plAte", "ÉRed", "re", "", None, "a%b_c", "redredred", "Plates of Red"]
+
+
+@pytest.mark.parametrize("text", ["RED", "plate", "re", "", "r%d", "red%plate", "_ed p", "é", "xyz", "redr"])
+def test_names_found_by_trigrams_are_those_of_a_scan(spark, text):
+    names = spark.createDataFrame(list(enumerate(NAMES)), "id long, name string")
+    found = search.with_text(names, search.postings(names, "artists"), "artists", text)
+    scanned = names.where(contains_ci("name", text))
+    assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in scanned.collect())
+
+
+def test_a_search_reads_few_names_and_knows_new_ones(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    names = spark.range(600).selectExpr("id", "concat('name ', char(97 + id % 26), char(97 + id % 25), 'q', id) AS name")
+    store.publish({"artists": Change(names), **load.name_changes(store, "artists", names)})
+    found = load.artists_named(store, "ABQ")
+    assert {r["id"] for r in found.collect()} == {r["id"] for r in names.where("name LIKE '%abq%'").collect()}
+    everything = len(store.read("artists").inputFiles())
+    assert len([f for f in found.inputFiles() if "/artists/" in f]) < everything
+    # A renamed artist is found by the new name, and no more by the old one.
+    renamed = spark.createDataFrame([(0, "Other")], "id long, name string")
+    changes = {"artists": load.refreshed(store, "artists", renamed)}
+    store.publish({**changes, **load.name_changes(store, "artists", renamed)})
+    assert [r["id"] for r in load.artists_named(store, "other").collect()] == [0]
+    assert 0 not in {r["id"] for r in load.artists_named(store, "aaq").collect()}
+    short = names.where("name LIKE '%th%' AND id <> 0")
+    assert {r["id"] for r in load.artists_named(store, "th").collect()} == {0} | {r["id"] for r in short.collect()}
