@@ -14,7 +14,7 @@ from cratework.llm.order_minhash import drop_near_duplicates
 from cratework.llm.queries import MODEL
 from cratework.llm.sentencepiece_fst import round_trip
 from cratework.llm.toxicity import fit, score_toxicity
-from cratework.session import shared_folder
+from cratework.session import deleted, shared_folder, temporary
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared folder and read by the next."""
+    """The stages over ``documents``, each written to the shared folder and read by the next.
+
+    What a stage read, and what it wrote for itself, is deleted when its result is stored, so the
+    last stage's result is all that is left.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            deleted(spark, f"{folder}/{before}")
+        before = name
     return docs

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import os
+
 import pytest
 import sentencepiece
 
@@ -8,6 +10,7 @@ from __spark_entry__ import oracle_sql, queries
 from cratework.llm.decontamination import words_of
 from cratework.llm.queries import MODEL
 from cratework.llm.toxicity import Scorer, fit
+from cratework.session import shared_folder
 from tests.llm.conftest import ODD
 from tests.llm.test_dedup import expected_lines, near_truth
 from tests.oracle import compare, duck
@@ -104,3 +107,12 @@ def test_queries_match_their_oracles(spark, name):
 def test_every_operator_has_a_query():
     numbers = {q.split("_")[0] for q in queries() if q.startswith("op")}
     assert numbers == {f"op{n}" for n in range(1, 11)} and "pipeline" in queries()
+
+
+def test_only_the_result_of_a_run_is_left(spark):
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    (made,) = set(os.listdir(folder)) - before
+    assert os.listdir(f"{folder}/{made}") == [corpus_pipeline.STAGES[-1][0]]
+    assert result.count() > 0
