@@ -22,6 +22,9 @@ SIMILARITY = 0.8
 SKETCHES = 48
 RETAINED = 2
 
+#: Centres that the members of a mixed bucket are compared with, after its least node.
+FURTHER = 3
+
 #: Members of a bucket of which all pairs are compared; larger ones are told apart by the least
 #: shingles of each member, as far as at most so many members have them.
 SMALL, SAMPLED, RARE = 16, 64, 32
@@ -182,6 +185,42 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return joined
 
 
+def _mixed_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key``, node, words, label and ``n``: members of groups that span two components.
+
+    ``rows`` has key, node and words; groups of one component need nothing more. ``n`` is the size
+    of the member's group.
+    """
+    named = labels.select(F.hex("node").alias("hex"), "label")
+    labelled = rows.withColumn("hex", F.hex("node")).join(named, "hex", "left")
+    labelled = written(labelled.select("key", "node", "words", F.coalesce("label", "node").alias("label")))
+    mixed_rows = written(labelled.join(_mixed_groups(labelled), "key"))
+    dropped(labelled)
+    return mixed_rows
+
+
+def _further_candidates(rows: DataFrame, turns: int, least: float) -> DataFrame:
+    """Members of mixed groups with some further centres, another choice in each group."""
+    pairs = None
+    for turn in range(turns):
+        member = F.struct("node", "words", "label")
+        centre = F.min_by(member, F.xxhash64("key", "node", F.lit(turn))).alias("centre")
+        centres = rows.groupBy("key").agg(centre)
+        shorter, longer = F.least("words", "centre.words"), F.greatest("words", "centre.words")
+        found = (
+            rows.join(centres.select(F.bitwise_not("key").alias("turned"), "centre"),
+                      F.bitwise_not("key") == F.col("turned"))
+            .where(F.col("label") != F.col("centre.label"))
+            .where(shorter >= longer * F.lit(least))
+            .select(
+                F.greatest("node", "centre.node").alias("a"),
+                F.least("node", "centre.node").alias("b"),
+            )
+        )
+        pairs = found if pairs is None else pairs.union(found)
+    return pairs.distinct()
+
+
 def _rare_shingles(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``key``, node, words, label: the ``SAMPLED`` least shingle hashes of each node's text.
 
@@ -233,29 +272,21 @@ def _mixed_groups(rows: DataFrame) -> DataFrame:
     return grouped.where("x <> y").select("key", "n")
 
 
-def _unresolved(
-    buckets: DataFrame, labels: DataFrame, texts: DataFrame, least: float, size: int
-) -> DataFrame:
+def _unresolved(mixed_rows: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
     """Pairs that share a bucket and that centres have left in two components.
 
-    Buckets of one component need nothing more. In a small bucket all pairs are compared. The
-    members of a larger one have in common what many texts have, so they are told apart by the
-    rest: all pairs that share one of their ``SAMPLED`` least shingles are compared, but for
-    shingles that more than ``RARE`` of them have. The pairs grow with the number of members,
-    not with its square.
+    In a small bucket all pairs are compared. The members of a larger one have in common what
+    many texts have, so they are told apart by the rest: all pairs that share one of their
+    ``SAMPLED`` least shingles are compared, but for shingles that more than ``RARE`` of them
+    have. The pairs grow with the number of members, not with its square.
     """
-    label = F.coalesce("label", "node").alias("label")
-    named = labels.select(F.hex("node").alias("hex"), "label")
-    rows = buckets.withColumn("hex", F.hex("node")).join(named, "hex", "left")
-    rows = written(rows.select(F.bitwise_not("bucket").alias("key"), "node", "words", label))
-    mixed_groups = written(_mixed_groups(rows))
-    few = _pairs_within(rows, mixed_groups.where(F.col("n") <= SMALL), least)
-    members = rows.join(mixed_groups.where(F.col("n") > SMALL), "key")
-    members = members.select("node", "words", "label").distinct()
+    small = mixed_rows.where(F.col("n") <= SMALL)
+    few = _pairs_within(small, small.select("key").distinct(), least)
+    members = mixed_rows.where(F.col("n") > SMALL).select("node", "words", "label").distinct()
     shingles = written(_rare_shingles(members, texts, size), _BATCH)
     rare = _mixed_groups(shingles).where(F.col("n") <= RARE)
     found = written(few.union(_pairs_within(shingles, rare, least)).distinct())
-    dropped(rows, mixed_groups, shingles)
+    dropped(shingles)
     return found
 
 
@@ -315,31 +346,15 @@ def near_duplicates(
     labels = written(components(links))
     dropped(links)
 
-    further = None
-    for turn in range(3):
-
-        def centre(member, turn=turn):
-            return F.min_by(member, F.xxhash64("bucket", "node", F.lit(turn)))
-
-        pairs = _candidates(buckets, centre, least)
-        further = pairs if further is None else further.union(pairs)
-    label_a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-    label_b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    further = (
-        further.distinct()
-        .join(label_a, "a", "left")
-        .join(label_b, "b", "left")
-        .where(apart)
-        .select("a", "b")
-    )
-    further = written(further)
-    more = _verified(further, texts, least)
-    labels = _joined(labels, more)
+    keyed = buckets.select(F.bitwise_not("bucket").alias("key"), "node", "words")
+    apart = _mixed_rows(keyed, labels)
+    further = written(_further_candidates(apart, FURTHER, least))
+    labels = _joined(labels, _verified(further, texts, least))
 
-    left = _unresolved(buckets, labels, texts, least, size)
+    still = _mixed_rows(apart.select("key", "node", "words"), labels)
+    left = _unresolved(still, texts, least, size)
     rest = written(left.join(further, ["a", "b"], "left_anti"))
-    dropped(buckets, further, left)
+    dropped(buckets, apart, still, further, left)
     labels = _joined(labels, _verified(rest, texts, least))
     dropped(texts, rest)
 
