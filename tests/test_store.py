@@ -201,7 +201,7 @@ def test_a_load_leaves_its_counters_and_rejects(store, tmp_path):
     folder.mkdir()
     records = "".join(f"<artist><id>{i}</id><name>n{i}</name></artist>" for i in range(1, 30))
     bad = "<artist><id>x5</id><name>five</name></artist><artist><id>77</id></artist><artist><id>78</id><name>a</b></artist>"
-    (folder / "discogs_20240101_artists.xml").write_text(f"<artists>{records}{bad}</artists>")
+    (folder / "x_20240101_artists.xml").write_text(f"<artists>{records}{bad}</artists>")
     load.load_all(store, str(folder), max_error_rate=0.5)
     counted = {r["table_name"]: r for r in store.read("load_counters").collect()}
     assert (counted["artists"]["created"], counted["artists"]["updated"], counted["artists"]["written"]) == (29, 0, 29)
