@@ -396,7 +396,7 @@ class SnapshotStore:
         what these versions need. ``landings`` takes old landed files too. Returns what went.
         """
         last, before = self._log.latest(), time.time() - hours * 3600
-        first = max(1, last - keep + 1)
+        first = max(self._log.oldest(), last - keep + 1)
         named: dict[str, set[str]] = {}
         for version in range(first, last + 1):
             for table, state in self._log.state(version).items():
