@@ -8,8 +8,8 @@ instead of undoing another. Folders of jobs that never got there are seen by nob
 
 Buckets are Spark's own (``pmod(hash(key), n)``), and folders are written with Spark's bucketing,
 so tables that have the same number of buckets join on their keys without an exchange. Their number
-is a power of two near half the square root of the rows: a small change to n rows then rewrites in
-the order of sqrt(n) rows for each key. It grows with the table without rewriting it: a folder
+is a power of two near half the square root of the rows, with ``GRAIN`` rows in each at least: a
+small change to n rows then rewrites in the order of sqrt(n) rows for each key. It grows with the table without rewriting it: a folder
 keeps the number that it was written with, and a bucket of it holds those of its multiples.
 """
 
@@ -41,6 +41,9 @@ KEYS = {
     "name_grams": "gram",
 }
 
+#: Rows that a bucket has at least, but for the first buckets of a table.
+GRAIN = 2000
+
 #: Folders of a table beyond which the smallest are joined.
 MOST_FOLDERS = 12
 
@@ -72,10 +75,10 @@ class Staged(NamedTuple):
     present: list[int]
 
 
-def buckets_for(rows: float, least: int) -> int:
-    """A power of two near half the square root of the rows."""
+def buckets_for(rows: float, least: int, grain: int = GRAIN) -> int:
+    """A power of two near half the square root of the rows, of ``grain`` rows each at least."""
     buckets = least
-    while 4 * buckets * buckets < rows:
+    while 4 * buckets * buckets < rows and buckets * grain < rows:
         buckets *= 2
     return buckets
 
@@ -124,7 +127,9 @@ def applied(state: dict, entry: dict) -> dict:
                 "gone": [],
             }
         table["buckets"] = max(table["buckets"], change["buckets"])
-        grown = buckets_for(_live_rows(table), table["buckets"]) if change["keyed"] else 1
+        grown = table["buckets"]
+        if change["keyed"]:
+            grown = buckets_for(_live_rows(table), grown, change["grain"])
         for folder in folders.values():
             folder["gone"] = _spread(folder["gone"], table["buckets"], grown)
         table["buckets"] = grown
@@ -146,11 +151,13 @@ class SnapshotStore:
         buckets: int = 16,
         most_folders: int = MOST_FOLDERS,
         state_every: int = 20,
+        grain: int = GRAIN,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
         self.most_folders = most_folders
+        self.grain = grain
         self._log = CommitLog(spark, f"{self.root}/_log", applied, state_every)
         self._version: int | None = None
         self._state: dict = {}
@@ -335,6 +342,7 @@ class SnapshotStore:
                 {
                     "table": table,
                     "keyed": table in KEYS,
+                    "grain": self.grain,
                     "folder": made.folder,
                     "buckets": self.n_buckets(table),
                     "rows": made.rows,

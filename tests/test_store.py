@@ -90,7 +90,7 @@ def test_reads_list_few_files_however_many_publishes(spark, tmp_path):
 
 
 def test_buckets_grow_with_a_table(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=2)
+    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=2, grain=1)
     few = spark.range(20).selectExpr("id", "'old' AS title")
     store.append({"masters": few})
     assert store.n_buckets("masters") == 4
@@ -113,10 +113,11 @@ def test_buckets_grow_with_a_table(spark, tmp_path):
     store.compact("masters")
     assert titles(store) == want and len(store._table("masters")["folders"]) == 1
     assert buckets_for(10**6, 16) == 512 and buckets_for(0, 16) == 16
+    assert buckets_for(40_000, 16) == 32 and buckets_for(10**10, 16) == 65_536
 
 
 def test_a_small_load_rewrites_little(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = SnapshotStore(spark, str(tmp_path / "store"), grain=100)
     store.replace({"masters": spark.range(20_000).selectExpr("id", "'old' AS title")})
     store.compact("masters")
     upsert_masters(store, [(i * 997, "new") for i in range(5)])
