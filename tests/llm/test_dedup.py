@@ -18,10 +18,13 @@ from cratework.llm.order_minhash import (
     RETAINED,
     SHINGLE,
     SKETCHES,
+    SLOTS,
     WordHashes,
     drop_near_duplicates,
     near_duplicates,
     order_minhash,
+    rarest_words,
+    text_bits,
 )
 from tests.llm.conftest import CLASHING, LONG, ODD, documents
 
@@ -300,3 +303,44 @@ def test_whole_copies_are_passages(spark, small_jobs, copies):
     assert {(r.doc_id, r.start_word, r.end_word, r.n_docs) for r in got} == {
         (i, 0, 80, copies) for i in range(copies)
     }
+
+
+def test_pairs_whose_words_many_others_have_are_compared(spark, small_jobs):
+    """Alike only in what is found in over a hundred texts of their bucket; no centre links them."""
+    rng = random.Random(11)
+    frequent = [f"f{k}" for k in range(60)]
+    rows = []
+    for t in range(0, 240, 2):
+        own = rng.sample(frequent, 30)
+        rows.append((t, " ".join([f"all{k}" for k in range(70)] + own)))
+        swapped = [own[k + 1 - 2 * (k % 2)] if k < 8 else w for k, w in enumerate(own)]
+        rows.append((t + 1, " ".join([f"all{k}" for k in range(70)] + swapped)))
+    words = WordHashes()
+    buckets = Counter(int(order_minhash(words.of_text(t), 1, 1, 1)[0]) for _, t in rows)
+    assert max(buckets.values()) > 32
+    got = near_duplicates(documents(spark, rows), least=0.9, size=1, sketches=1, retained=1).collect()
+    groups = {r.doc_id: r.group_id for r in got}
+    bucket = {i: int(order_minhash(words.of_text(t), 1, 1, 1)[0]) for i, t in rows}
+    missed = [t for t in range(0, 240, 2) if bucket[t] == bucket[t + 1] and groups[t] != groups[t + 1]]
+    assert missed == []
+
+
+def test_rarest_words_and_bits_keep_all_similar_texts():
+    rng = np.random.default_rng(8)
+    counts = np.full(SLOTS, 2)
+    counts[rng.permutation(SLOTS)[: SLOTS // 2]] = 1000
+    for size in (1, 4, 5, 40, 300):
+        text = rng.integers(0, 60, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for _ in range(50):
+            edited = text.tolist()
+            for _ in range(int(0.2 * size + 1e-9)):
+                kind, at = rng.integers(0, 3), rng.integers(0, len(edited))
+                edited[at : at + int(kind > 0)] = [int(rng.integers(0, 2**63))] * int(kind < 2)
+            edited = np.array(edited, np.uint64)
+            if similarity(text, edited, 0.8) is None:
+                continue
+            first = [set(rarest_words(w, counts, 0.8).tolist()) for w in (text, edited)]
+            assert first[0] & first[1]
+            differ = np.bitwise_count((text_bits(text) ^ text_bits(edited)).view(np.uint64))
+            most = int(0.2 * max(len(text), len(edited)) + 1e-9)
+            assert differ.sum() <= 4 * most
