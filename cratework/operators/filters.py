@@ -100,15 +100,19 @@ def capped_releases(
     if stored_links is not None:
         known = known.unionByName(stored_links.select("release_id", entity))
     entities = keep_keys(known, owned, "release_id", "release_id").select(entity).distinct()
+    # Links of candidates first: they come by release, and fewer are then moved to their entity.
+    probe = F.bitwise_not(entity).alias("_probe")
+    open_links = keep_keys(pairs, candidates, "release_id", "id")
+    if cap is not None:
+        open_links = open_links.distinct()
+    open_links = open_links.select("*", probe)
     # Joined by a key of its own, so that the rank below still cuts in the map tasks, and
     # Spark may split a hot entity of the join.
-    probe = F.bitwise_not(entity).alias("_probe")
-    followed = keep_keys(pairs.select("*", probe), entities.select(probe), "_probe", "_probe")
-    pool = keep_keys(followed.drop("_probe"), candidates, "release_id", "id")
+    pool = keep_keys(open_links, entities.select(probe), "_probe", "_probe").drop("_probe")
     if cap is None:
         return pool.select("release_id")
     rank = F.row_number().over(Window.partitionBy(entity).orderBy("release_id"))
-    best = pool.distinct().withColumn("_rank", rank).where(F.col("_rank") <= cap)
+    best = pool.withColumn("_rank", rank).where(F.col("_rank") <= cap)
     return best.select("release_id")
 
 
