@@ -9,6 +9,7 @@ fragments are spread over the cluster before any XML is parsed.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -20,6 +21,7 @@ from cratework import schemas
 from cratework.functions import clean_text, dump_date, partial_date, safe_int, safe_long
 from cratework.functions.text import is_ascii
 from cratework.operators.quality import LoadRejected
+from cratework.sources.commit_log import Folder
 from cratework.sources.positions import POSITION, file_position, position_of
 
 KINDS = ("artists", "labels", "masters", "releases")
@@ -374,19 +376,22 @@ def read_dump(spark: SparkSession, path: str | list[str], kind: str) -> DataFram
 
 
 def dump_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """path, file_name, modified, dump_date of the dumps of one kind; contents stay unread."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*_{kind}.xml*")
-        .load(folder)
-        .select("path", "modificationTime")
-    )
-    name = F.element_at(F.split("path", "/"), -1)
+    """path, file_name, modified, dump_date of the dumps of one kind; contents stay unread.
+
+    A dump is a file, or a folder of that name with its parts, each a dump by itself.
+    """
+    listed = Folder(spark, folder)
+    changed = listed.changed()
+    if not listed.exists():
+        raise FileNotFoundError(folder)
+    named = [n for n in changed if re.search(f"_{kind}\\.xml", n) and n[0] not in "._"]
+    rows = [(f"{listed.location}/{n}", n, changed[n]) for n in named]
+    files = spark.createDataFrame(rows, "path string, file_name string, modified bigint")
     return files.select(
         "path",
-        name.alias("file_name"),
-        F.col("modificationTime").alias("modified"),
-        dump_date(name).alias("dump_date"),
+        "file_name",
+        F.timestamp_millis("modified").alias("modified"),
+        dump_date("file_name").alias("dump_date"),
     )
 
 

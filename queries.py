@@ -640,12 +640,12 @@ def xml_masters(c):
 DUMP_FILE = 100_000
 
 
-def _dump(c, kind, records, key):
+def _dump(c, kind, records, key, folder=None):
     """A dump of the records in the shared folder: a line each, between lines with root tags.
 
     About ``DUMP_FILE`` records are between two root tags, in files whose number grows with them.
     """
-    folder = f"{shared_folder(c.spark)}/dump-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(c.spark)}/dump-{uuid.uuid4().hex}"
     files = max(1, math.ceil(records.count() / DUMP_FILE))
     part = F.pmod(F.xxhash64(key), F.lit(files))
     lines = records.select(part.alias("part"), F.lit(1).alias("at"), "value")
@@ -730,19 +730,14 @@ DUMPS = {
 
 
 def _dump_folder(c, kinds):
-    """A folder with the newest dump of some kinds, a file each, and an older one of nothing."""
+    """A folder with the newest dump of some kinds, in parts of a bounded size, and an older one of nothing."""
     top = f"{shared_folder(c.spark)}/dumps-{uuid.uuid4().hex}"
     folder = Folder(c.spark, top)
     for kind in kinds:
         table, record = DUMPS[kind]
-        lines = c.table(table).selectExpr("1 AS at", f"{record} AS value")
-        for at, tag in ((0, f"<{kind}>"), (2, f"</{kind}>")):
-            lines = lines.union(c.spark.range(1).select(F.lit(at), F.lit(tag)))
-        # A dump is one file; its lines are streamed to it, in order of their kind.
-        lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{top}/{kind}")
-        made = Folder(c.spark, f"{top}/{kind}").entries()
-        folder.rename(f"{kind}/{next(n for n in made if n.startswith('part-'))}", f"x_20250601_{kind}.xml")
-        folder.delete(kind)
+        key = c.table(table).columns[0]
+        records = c.table(table).selectExpr(key, f"{record} AS value")
+        _dump(c, kind, records, key, f"{top}/x_20250601_{kind}.xml")
         folder.put_new(f"x_20250501_{kind}.xml", f"<{kind}></{kind}>")
     return top
 

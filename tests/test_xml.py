@@ -1,5 +1,6 @@
 import gzip
 from collections import Counter
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -227,6 +228,19 @@ def test_newest_dump(spark, tmp_path):
     assert xml_dumps.newest_dump(files).first()["file_name"] == "x_20250601_artists.xml.gz"
 
 
+def test_a_dump_may_be_a_folder_of_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "DUMP_FILE", 30)
+    monkeypatch.setattr(queries, "shared_folder", lambda _: str(tmp_path))
+    rows = spark.range(100).selectExpr("id AS s_suppkey", "'L' AS s_name")
+    catalogue = SimpleNamespace(spark=spark, table=lambda _: rows)
+    top = queries._dump_folder(catalogue, ["labels"])
+    newest = xml_dumps.newest_dump(xml_dumps.dump_files(spark, top, "labels")).first()
+    assert newest["file_name"] == "x_20250601_labels.xml"
+    assert len([p for p in Path(top, newest["file_name"]).iterdir() if p.name.startswith("part-")]) > 1
+    read = xml_dumps.read_dump(spark, newest["path"], "labels")
+    assert sorted(r.id for r in read.collect()) == list(range(1, 100))
+
+
 def test_dumps_of_queries_have_a_row_per_record(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "DUMP_FILE", 30, raising=False)
     catalogue = SimpleNamespace(spark=spark)
