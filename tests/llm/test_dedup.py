@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -10,7 +11,16 @@ from pyspark.sql import functions as F
 
 from cratework.llm.alignment import edit_distance, similarity
 from cratework.llm.common import folded
-from cratework.llm.compact_windows import compact_windows, repeated_passages
+from cratework.llm.compact_windows import (
+    compact_windows,
+    repeated_passages,
+    shared_passages,
+    side_bits,
+    side_cases,
+    side_keys,
+    side_labels,
+    side_reach,
+)
 from cratework.llm.components import components
 from cratework.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from cratework.llm.line_dedup import drop_repeated_lines
@@ -21,9 +31,11 @@ from cratework.llm.order_minhash import (
     SLOTS,
     WordHashes,
     drop_near_duplicates,
+    mixed,
     near_duplicates,
     order_minhash,
     rarest_words,
+    shingle_hashes,
     text_bits,
 )
 from tests.llm.conftest import CLASHING, LONG, ODD, documents
@@ -296,6 +308,71 @@ def test_edits_on_both_sides_of_every_anchor_are_found(spark, small_jobs):
     assert sum(t in got and t + 1 in got for t in range(0, 80, 2)) >= 32
 
 
+@pytest.mark.parametrize("pairs, compared", [(5, 2048), (40, 2048), (40, 20)])
+def test_every_pair_of_windows_of_a_bucket_is_compared(spark, small_jobs, monkeypatch, pairs, compared):
+    """Pairs alike but for edits beside the five words that all have, in small and large buckets."""
+    monkeypatch.setattr("cratework.llm.compact_windows.COMPARED", compared)
+    rng, rows, known = random.Random(4), [], WordHashes()
+    seed = mixed(np.arange(101, 102, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] | np.uint64(1)
+    commons = [[f"all{m}x{k}" for k in range(5)] for m in range(3000)]
+    common = min(commons, key=lambda c: (shingle_hashes(known.of_text(" ".join(c)), 5) * seed)[0])
+    for t in range(0, 2 * pairs, 2):
+        passage = [f"t{t}w{k}" for k in range(75)]
+        passage[35:40] = common
+        edited = [f"t{t}e{k}" if k in (20, 30, 44, 54) else w for k, w in enumerate(passage)]
+        for i, words in ((t, passage), (t + 1, edited)):
+            around = [f"i{i}w{k}" for k in range(rng.randrange(2, 9))]
+            rows.append((i, " ".join([*around, *words, *around])))
+    windows = defaultdict(list)
+    sequences = {i: known.of_text(t) for i, t in rows}
+    for i, sequence in sequences.items():
+        values = shingle_hashes(sequence, 5) * seed
+        for _, at, _ in compact_windows(values, 46):
+            windows[int(values[at])].append((i, at))
+    want = set()
+    for bucket in windows.values():
+        for (i, p), (j, q) in itertools.combinations(bucket, 2):
+            if i != j and shared_passages(sequences[i], sequences[j], [(p, q)], 50, 0.8):
+                want.add((i, j))
+    assert max(map(len, windows.values())) > pairs and len(want) >= pairs // 2
+    got = repeated_passages(documents(spark, rows), hashes=1).collect()
+    classes = {r.doc_id: r.passage_class for r in got}
+    assert [(i, j) for i, j in sorted(want) if i not in classes or classes[i] != classes.get(j)] == []
+
+
+def test_windows_with_a_passage_share_a_word_beside_their_anchor():
+    rng = np.random.default_rng(3)
+    counts, sides, found = np.full(SLOTS, 2), side_reach(50, 0.8), 0
+    cases = side_cases(50, 0.8)
+    counts[rng.permutation(SLOTS)[: SLOTS // 2]] = 1000
+    for _ in range(3000):
+        length = int(rng.integers(50, 90))
+        base = rng.integers(1, 40, length).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at = int(rng.integers(0, length - 5))
+        texts = []
+        for _ in range(2):
+            text, place = base.tolist(), at
+            for _ in range(int(rng.integers(0, 9))):
+                kind, k = int(rng.integers(0, 3)), int(rng.integers(0, len(text)))
+                if place <= k < place + 5:
+                    continue
+                text[k : k + int(kind > 0)] = [int(rng.integers(1, 2**63))] * int(kind < 2)
+                place += (kind == 0 and k < place) - (kind == 2 and k < place)
+            texts.append((np.array(text, np.uint64), place))
+        (a, i), (b, j) = texts
+        if not shared_passages(a, b, [(i, j)], 50, 0.8):
+            continue
+        found += 1
+        labels = [side_labels(w, p, sides) for w, p in texts]
+        keys = [set(side_keys(side, counts, sides).tolist()) for side in labels]
+        assert keys[0] & keys[1]
+        bits = [side_bits(w, p, cases).reshape(len(cases) + 1, 2, -1).view(np.uint64) for w, p in texts]
+        for x, y in (bits, bits[::-1]):
+            missing = [int(np.bitwise_count(near & ~y[-1]).sum()) for near in x[:-1]]
+            assert any(n <= edits for n, (*_, edits) in zip(missing, cases))
+    assert found > 500
+
+
 @pytest.mark.parametrize("copies", [2, 40])
 def test_whole_copies_are_passages(spark, small_jobs, copies):
     text = " ".join(LONG.split()[:80])
