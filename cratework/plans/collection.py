@@ -150,16 +150,23 @@ def collection_summary(
     user_collection: DataFrame,
     user_id: int | None = None,
     approximate: bool = False,
+    artist_counts: DataFrame | None = None,
+    label_counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row: total_releases, total_artists, total_labels, earliest_year, latest_year.
 
     ``total_releases`` counts collection rows. ``approximate`` estimates the two
-    distinct counts with a sketch.
+    distinct counts with a sketch. ``count_artists`` and ``count_labels`` of the same
+    collections, where they are there already, stand in for the links.
     """
     items = _items(user_collection, user_id)
     owned = owned_release_ids(items)
 
-    def distinct_entities(links: DataFrame, key: str, entities: DataFrame) -> Column:
+    def distinct_entities(
+        links: DataFrame, key: str, entities: DataFrame, counts: DataFrame | None
+    ) -> Column:
+        if counts is not None:
+            return row_total(keep_keys(counts.where("owned"), entities, key, "id"))
         linked = keep_keys(links.select("release_id", key), owned, "release_id", "release_id")
         if approximate:
             known = keep_keys(linked, entities, key, "id")
@@ -186,30 +193,58 @@ def collection_summary(
         F.max(F.when(is_stored, last)).alias("latest_year"),
     ).select(
         "total_releases",
-        distinct_entities(release_artists, "artist_id", artists).alias("total_artists"),
-        distinct_entities(release_labels, "label_id", labels).alias("total_labels"),
+        distinct_entities(release_artists, "artist_id", artists, artist_counts).alias("total_artists"),
+        distinct_entities(release_labels, "label_id", labels, label_counts).alias("total_labels"),
         "earliest_year",
         "latest_year",
     )
 
 
+def count_artists(
+    release_artists: DataFrame, user_collection: DataFrame, user_id: int | None = None
+) -> DataFrame:
+    """artist_id, release_count, owned: distinct owned releases per artist, always owned."""
+    owned = owned_release_ids(user_collection, user_id)
+    links = keep_keys(
+        release_artists.select("release_id", "artist_id"), owned, "release_id", "release_id"
+    )
+    counts = links.groupBy("artist_id").agg(F.countDistinct("release_id").alias("release_count"))
+    return counts.withColumn("owned", F.lit(True))
+
+
+def count_labels(
+    release_labels: DataFrame, releases: DataFrame, user_collection: DataFrame
+) -> DataFrame:
+    """label_id, release_count, owned: links to stored releases, and if any release is owned.
+
+    One pass of the links by release, which meet one row per release that tells both.
+    """
+    stored = releases.select("id", F.lit(True).alias("stored"), F.lit(False).alias("owned"))
+    held = user_collection.select("release_id", F.lit(False), F.lit(True))
+    flags = stored.union(held).groupBy("id").agg(F.max("stored").alias("stored"), F.max("owned").alias("owned"))
+    links = release_labels.select("release_id", "label_id")
+    return (
+        links.join(flags, F.col("release_id") == F.col("id"))
+        .groupBy("label_id")
+        .agg(F.count_if("stored").alias("release_count"), F.max("owned").alias("owned"))
+    )
+
+
 def top_artists(
     artists: DataFrame,
     release_artists: DataFrame,
     user_collection: DataFrame,
     limit: int | None = 20,
     user_id: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """artist_name, release_count: distinct owned releases per credited artist, any role.
 
     Counting by id comes first, so the artist table meets one row per artist and
-    no hot artist reaches a join.
+    no hot artist reaches a join. ``counts`` are those of ``count_artists``, if there already.
     """
-    owned = owned_release_ids(user_collection, user_id)
-    links = keep_keys(
-        release_artists.select("release_id", "artist_id"), owned, "release_id", "release_id"
-    )
-    counts = links.groupBy("artist_id").agg(F.countDistinct("release_id").alias("release_count"))
+    if counts is None:
+        counts = count_artists(release_artists, user_collection, user_id)
     named = counts.join(
         artists.select("id", F.col("name").alias("artist_name")), F.col("artist_id") == F.col("id")
     )
@@ -218,11 +253,23 @@ def top_artists(
 
 
 def releases_by_label(
-    labels: DataFrame, release_labels: DataFrame, releases: DataFrame, limit: int | None = 20
+    labels: DataFrame,
+    release_labels: DataFrame,
+    releases: DataFrame,
+    limit: int | None = 20,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """label_name, release_count: label links to stored releases, collection or not."""
-    links = keep_keys(release_labels.select("release_id", "label_id"), releases, "release_id", "id")
-    counts = links.groupBy("label_id").agg(F.count("*").alias("release_count"))
+    """label_name, release_count: label links to stored releases, collection or not.
+
+    ``counts`` are those of ``count_labels``, if there already.
+    """
+    if counts is None:
+        links = keep_keys(
+            release_labels.select("release_id", "label_id"), releases, "release_id", "id"
+        )
+        counts = links.groupBy("label_id").agg(F.count("*").alias("release_count"))
+    else:
+        counts = counts.where("release_count > 0")
     named = counts.join(
         labels.select("id", F.col("name").alias("label_name")), F.col("label_id") == F.col("id")
     )
@@ -239,6 +286,13 @@ def longest_tracks(tracks: DataFrame, releases: DataFrame, limit: int | None = 1
     order = [
         F.desc("duration_seconds"), F.asc("release_id"), F.asc("position"), F.asc("track_title"),
     ]
+    if limit is not None:
+        # So many stored releases have a track of that length or more: shorter ones needn't move.
+        longest = timed.groupBy("release_id").agg(F.max("duration_seconds").alias("longest"))
+        longest = keep_keys(longest, releases, "release_id", "id")
+        first = longest.orderBy(F.desc("longest")).limit(limit)
+        cut = first.agg(F.when(F.count("*") >= limit, F.min("longest"))).scalar()
+        timed = timed.where(cut.isNull() | (F.col("duration_seconds") >= cut))
     # The texts of releases are fetched for the winners alone.
     best = top_k(keep_keys(timed, releases, "release_id", "id"), limit, *order)
     titled = best.join(

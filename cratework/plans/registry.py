@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from cratework.operators.sinks import metric_rows, write_report
 from cratework.plans import collaborations, collection, pressings
+from cratework.session import dropped, written
 
 Tables = Mapping[str, DataFrame]
 
@@ -16,6 +17,8 @@ def summary(t: Tables, user_id: int | None = None) -> DataFrame:
     return collection.collection_summary(
         t["releases"], t["masters"], t["artists"], t["labels"], t["release_artists"],
         t["release_labels"], t["user_collection"], user_id=user_id,
+        artist_counts=t.get("artist_counts") if user_id is None else None,
+        label_counts=t.get("label_counts") if user_id is None else None,
     )
 
 
@@ -26,10 +29,11 @@ ANALYSES: dict[str, Callable[[Tables, int | None], DataFrame]] = {
         t["releases"], t["masters"], t["user_collection"]
     ),
     "top_artists": lambda t, limit: collection.top_artists(
-        t["artists"], t["release_artists"], t["user_collection"], limit
+        t["artists"], t["release_artists"], t["user_collection"], limit,
+        counts=t.get("artist_counts"),
     ),
     "top_labels": lambda t, limit: collection.releases_by_label(
-        t["labels"], t["release_labels"], t["releases"], limit
+        t["labels"], t["release_labels"], t["releases"], limit, counts=t.get("label_counts")
     ),
     "longest_tracks": lambda t, limit: collection.longest_tracks(t["tracks"], t["releases"], limit),
     "multiple_copies": lambda t, limit: collection.multiple_copies(
@@ -83,11 +87,19 @@ def report(
 ) -> None:
     """Run every analysis that needs no names and write each to its own folder.
 
-    Those of pressings list rows, as many as there are; they are written if asked for.
+    Those of pressings list rows, as many as there are; they are written if asked for. Links
+    are moved once for all that count them: a row per artist and one per label are kept meanwhile.
     """
+    items = tables["user_collection"]
+    artist_counts = written(collection.count_artists(tables["release_artists"], items))
+    label_counts = written(
+        collection.count_labels(tables["release_labels"], tables["releases"], items)
+    )
+    tables = {**tables, "artist_counts": artist_counts, "label_counts": label_counts}
     results = {name: make(tables, limit) for name, make in ANALYSES.items()}
     if fmt == "csv":
         results["summary"] = metric_rows(results["summary"])
     if with_pressings:
         results |= {name: make(tables) for name, make in PRESSINGS.items()}
     write_report(results, folder, fmt)
+    dropped(artist_counts, label_counts)

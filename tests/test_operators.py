@@ -363,3 +363,49 @@ def test_scans_are_pruned_and_filters_pushed(spark, tmp_path):
     text = plan(collection.longest_tracks(stored, stored, 5))
     assert "unused" not in text and "TakeOrderedAndProject" in text
     assert "IsNotNull(duration_seconds)" in text
+
+
+def test_counts_of_links_serve_the_summary_and_the_top_lists(spark):
+    """Of stored, owned, unstored and missing releases, with repeats."""
+    releases = spark.sql("SELECT id, NULL AS master_id, CAST(NULL AS DATE) AS released FROM VALUES (1L), (2L), (3L) AS t(id)")
+    masters = spark.sql("SELECT 1L AS id, 1990 AS year")
+    items = spark.sql(
+        "SELECT r AS release_id, named_struct('year', 1990) AS basic_information FROM VALUES (1L), (1L), (9L), (NULL) AS t(r)"
+    )
+    links = spark.sql(
+        """SELECT * FROM VALUES (1L, 10L, 'a'), (1L, 10L, 'b'), (2L, 10L, 'a'), (2L, 20L, 'a'), (9L, 30L, 'a'),
+             (8L, 40L, 'a'), (NULL, 10L, 'a'), (1L, NULL, 'a') AS t(release_id, entity, note)"""
+    )
+    artists = links.withColumnRenamed("entity", "artist_id")
+    labels = links.withColumnRenamed("entity", "label_id")
+    names = spark.range(10, 50, 10).selectExpr("id", "concat('n', id) AS name")
+    tables = {
+        "releases": releases, "masters": masters, "artists": names, "labels": names,
+        "release_artists": artists, "release_labels": labels, "user_collection": items,
+    }
+    counted = {
+        **tables,
+        "artist_counts": collection.count_artists(artists, items),
+        "label_counts": collection.count_labels(labels, releases, items),
+    }
+    assert registry.summary(counted).collect() == registry.summary(tables).collect()
+    for name, want in (("top_artists", {("n10", 1), ("n30", 1)}), ("top_labels", {("n10", 3), ("n20", 1)})):
+        for given in (tables, counted):
+            assert {tuple(r) for r in registry.analyse(given, name).collect()} == want
+    nothing = {**counted, "release_artists": artists.limit(0), "release_labels": labels.limit(0)}
+    assert registry.summary(nothing).first()["total_artists"] == 2  # n10, n30: no link is read again
+
+
+def test_only_tracks_that_may_win_are_looked_up(spark):
+    """The longest of enough stored releases says which; longer tracks of others don't count."""
+    tracks = spark.range(300).selectExpr(
+        "id % 30 AS release_id", "CAST(id AS STRING) AS position", "'t' AS title", "'x' AS duration",
+        "CAST(CASE WHEN id % 30 > 20 THEN 9999 WHEN id % 7 > 0 THEN id DIV 30 END AS INT) AS duration_seconds",
+    )
+    releases = spark.range(20).selectExpr("id", "concat('r', id) AS title")
+    every = collection.longest_tracks(tracks, releases, None).collect()
+    assert len(every) > 100
+    for limit in (0, 1, 5, 40):
+        best = collection.longest_tracks(tracks, releases, limit)
+        assert best.collect() == every[:limit]
+        assert limit == 0 or "longest" in best._jdf.queryExecution().optimizedPlan().toString()
