@@ -22,7 +22,6 @@ from cratework.operators.merge import (
     replace_children,
 )
 from cratework.operators.missing import missing_entities
-from cratework.operators.joins import owned_release_ids
 from cratework.operators.prune import prune_releases
 from cratework.operators.search import grams_of, postings, with_text
 from cratework.operators.shred import Shredded, shred
@@ -386,9 +385,8 @@ def prune_store(store: SnapshotStore, keep_masters: bool = False) -> None:
 
 def owned_tables(store: SnapshotStore) -> dict[str, DataFrame]:
     """Releases in some collection, their links and tracks, of which no other bucket is opened."""
-    owned = owned_release_ids(store.read("user_collection"))
-    tables = ("releases", "release_artists", "release_labels", "tracks")
-    return {table: store.holding(table, owned) for table in tables}
+    owned = store.read("user_collection").select("release_id")
+    return store.holding_each(("releases", "release_artists", "release_labels", "tracks"), owned)
 
 
 def clear(store: SnapshotStore, kind: str) -> None:

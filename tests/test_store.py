@@ -250,3 +250,32 @@ def test_a_search_reads_few_names_and_knows_new_ones(spark, tmp_path):
     assert 0 not in {r["id"] for r in load.artists_named(store, "aaq").collect()}
     short = names.where("name LIKE '%th%' AND id <> 0")
     assert {r["id"] for r in load.artists_named(store, "th").collect()} == {0} | {r["id"] for r in short.collect()}
+
+
+def test_a_read_of_all_buckets_names_none(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=2, grain=1)
+    store.append({"masters": spark.range(400).selectExpr("id", "'t' AS title")})
+    n = store.n_buckets("masters")
+    whole = store.read("masters", list(range(n)))
+    assert n > 2 and " IN " not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert collect_ids(store, "masters") == sorted(r["id"] for r in whole.collect()) == list(range(400))
+    some = store.read("masters", [0, 3])
+    places = {r["b"] for r in some.selectExpr(f"pmod(hash(id), {n}) AS b").collect()}
+    assert places == {0, 3}
+
+
+def test_owned_tables_pass_over_the_collection_once(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    rows = spark.range(50)
+    store.replace({
+        "releases": rows.selectExpr("id", "'t' AS title"),
+        "tracks": rows.selectExpr("id AS release_id", "'1' AS position"),
+    })
+    own(store, 7, 7, 9)
+    spark.sparkContext.setJobGroup("owned", "")
+    found = load.owned_tables(store)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("owned"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 4
+    assert sorted(r["id"] for r in found["releases"].collect()) == [7, 9]
+    assert sorted(r["release_id"] for r in found["tracks"].collect()) == [7, 9]
