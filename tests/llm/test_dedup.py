@@ -24,7 +24,9 @@ from cratework.llm.compact_windows import (
 from cratework.llm.components import components
 from cratework.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from cratework.llm.line_dedup import drop_repeated_lines
+from cratework.llm import order_minhash as near
 from cratework.llm.order_minhash import (
+    PAIR_SLOTS,
     RETAINED,
     SHINGLE,
     SKETCHES,
@@ -34,6 +36,7 @@ from cratework.llm.order_minhash import (
     mixed,
     near_duplicates,
     order_minhash,
+    rarest_pairs,
     rarest_words,
     shingle_hashes,
     text_bits,
@@ -421,3 +424,43 @@ def test_rarest_words_and_bits_keep_all_similar_texts():
             differ = np.bitwise_count((text_bits(text) ^ text_bits(edited)).view(np.uint64))
             most = int(0.2 * max(len(text), len(edited)) + 1e-9)
             assert differ.sum() <= 4 * most
+
+
+def test_rarest_pairs_keep_all_similar_texts():
+    rng = np.random.default_rng(9)
+    counts = rng.integers(2, 200, PAIR_SLOTS).astype(np.uint8)
+    for size, least in ((0, 0.8), (1, 0.8), (2, 0.5), (5, 0.6), (9, 0.7), (40, 0.8), (300, 0.8)):
+        text = rng.integers(0, 60, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for _ in range(40):
+            edited = text.tolist()
+            for _ in range(int((1 - least) * size + 1e-9)):
+                kind, at = rng.integers(0, 3), rng.integers(0, len(edited) + 1)
+                edited[at : at + int(kind > 0)] = [int(rng.integers(0, 2**63))] * int(kind < 2)
+            edited = np.array(edited, np.uint64)
+            if similarity(text, edited, least) is None:
+                continue
+            first = [rarest_pairs(w, counts, least) for w in (text, edited)]
+            assert any(f is None for f in first) or set(first[0].tolist()) & set(first[1].tolist())
+            bands = [near._length_band(len(w), least) for w in (text, edited)]
+            assert abs(bands[0] - bands[1]) <= 1
+
+
+def test_only_members_with_a_partner_are_compared_by_words(spark, small_jobs, monkeypatch):
+    """Forty texts of the same words in other orders, and an edited copy of one of them."""
+    rng, words = random.Random(5), [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.sample(words, 60)) for _ in range(40)]
+    texts.append(" ".join([*texts[7].split()[:55], "a", "b", "c", "d", "e"]))
+    rows = [(1, bytes([i]) * 16, 60, bytes([i]) * 16, len(texts)) for i in range(len(texts))]
+    mixed_rows = spark.createDataFrame(rows, "key long, node binary, words long, label binary, n long")
+    table = [(bytes([i]) * 16, t) for i, t in enumerate(texts)]
+    whole = spark.createDataFrame(table, "node binary, text string")
+    seen, rare_words = [], near._rare_words
+
+    def watched(nodes, *rest):
+        seen.extend(bytes(r.node)[0] for r in nodes.collect())
+        return rare_words(nodes, *rest)
+
+    monkeypatch.setattr(near, "_rare_words", watched)
+    pairs = near._unresolved(mixed_rows, whole, 0.8).collect()
+    assert {7, 40} <= set(seen) and len(seen) < 20
+    assert (40, 7) in [(r.a[0], r.b[0]) for r in pairs]
