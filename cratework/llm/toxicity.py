@@ -89,11 +89,7 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> Model:
     rng = np.random.default_rng(settings.seed)
     numbers: dict[str, int] = {}
     docs = [_passages(t, numbers, settings.passage) for t in texts]
-    ids, owner = subwords(list(numbers), settings) if numbers else (np.zeros(0, np.int32),) * 2
-    order = np.argsort(owner, kind="stable")
-    by_words, sizes = ids[order], np.bincount(owner, minlength=len(numbers))
-    ends = np.cumsum(sizes)
-    buckets = [by_words[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    buckets = _bags(list(numbers), settings)
     y = np.asarray(labels, np.int64)
     embedding = rng.normal(0, 0.1, (settings.buckets, settings.dims)).astype(np.float32)
     output = rng.normal(0, 0.1, (settings.dims, 2)).astype(np.float32)
@@ -146,6 +142,17 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> Model:
     return Model(embedding @ difference, float(bias[1] - bias[0]), settings)
 
 
+def _bags(words: list[str], settings: Settings) -> list[np.ndarray]:
+    """The buckets of each word; of few words at once, as all their codes would fill the driver."""
+    bags = []
+    for at in range(0, len(words), 2000):
+        part = words[at : at + 2000]
+        ids, owner = subwords(part, settings)
+        ends = np.cumsum(np.bincount(owner, minlength=len(part)))
+        bags += np.split(ids[np.argsort(owner, kind="stable")], ends[:-1])
+    return bags
+
+
 def _passages(text: str, numbers: dict[str, int], size: int) -> list[np.ndarray]:
     words = [numbers.setdefault(w, len(numbers)) for w in _WORDS.findall(text.lower())]
     parts = [np.array(words[i : i + size], np.int32) for i in range(0, len(words), size)]

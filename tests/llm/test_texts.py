@@ -18,6 +18,7 @@ from cratework.llm.queries import MODEL
 from cratework.llm.sentencepiece_fst import Transducer, decode_ids, encode_texts, round_trip
 from cratework.llm.token_counts import Counter as TokenCounter
 from cratework.llm.token_counts import count_tokens
+from cratework.llm import toxicity
 from cratework.llm.toxicity import Settings, fit, held_out, score_toxicity, train, Scorer
 from tests.llm.conftest import LONG, ODD, documents
 
@@ -505,3 +506,19 @@ def test_license_odd_rows(odd, nothing):
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ODD)
     assert all(r.licenses == [] and r.license is None and r.coverage is None for r in rows)
     assert scan_licenses(nothing).collect() == []
+
+
+def test_training_takes_the_subwords_of_few_words_at_once(monkeypatch):
+    words, sizes, subwords = [f"word{k}" for k in range(4500)], [], toxicity.subwords
+    ids, owner = subwords(words, Settings())
+
+    def watched(part, settings):
+        sizes.append(len(part))
+        return subwords(part, settings)
+
+    monkeypatch.setattr(toxicity, "subwords", watched)
+    train([" ".join(words), "word1"], [1, 0], Settings(epochs=1))
+    assert sum(sizes) == len(words) and max(sizes) <= 2000
+    for number, bag in enumerate(toxicity._bags(words, Settings())):
+        assert bag.tolist() == ids[owner == number].tolist()
+    assert toxicity._bags([], Settings()) == []
