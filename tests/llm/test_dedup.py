@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -464,3 +465,64 @@ def test_only_members_with_a_partner_are_compared_by_words(spark, small_jobs, mo
     pairs = near._unresolved(mixed_rows, whole, 0.8).collect()
     assert {7, 40} <= set(seen) and len(seen) < 20
     assert (40, 7) in [(r.a[0], r.b[0]) for r in pairs]
+
+
+def test_marks_of_similar_texts_differ_in_few_places():
+    rng = np.random.default_rng(10)
+    for size in (1, 4, 33, 63, 300, 520):
+        text = rng.integers(0, 60, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for kinds in ((0, 3), (0, 1), (1, 2), (2, 3)):
+            for _ in range(20):
+                edited = text.tolist()
+                for _ in range(int(0.2 * size + 1e-9)):
+                    kind, at = rng.integers(*kinds), rng.integers(0, len(edited) + 1)
+                    edited[at : at + int(kind > 0)] = [int(rng.integers(0, 2**63))] * int(kind < 2)
+                edited = np.array(edited, np.uint64)
+                if similarity(text, edited, 0.8) is None:
+                    continue
+                marks = [near.text_marks(w) for w in (text, edited)]
+                most = near.words_alone(len(text), len(edited), 0.8)
+                assert near.differing(*marks) == near.differing(*marks[::-1]) <= most
+    assert near.text_marks(np.zeros(0, np.uint64)) == bytes(8)
+
+
+def test_texts_move_only_for_pairs_that_may_be_similar(spark, small_jobs, monkeypatch):
+    """Sixty texts with a template of half their words; only two are similar."""
+    texts = [" ".join([f"all{k}" for k in range(40)] + [f"t{t}w{k}" for k in range(40)]) for t in range(60)]
+    texts.append(" ".join([*texts[7].split()[:75], "a", "b", "c", "d", "e"]))
+    moved, aligned = [], near._aligned
+
+    def watched(pairs, *rest):
+        moved.extend(pairs.collect())
+        return aligned(pairs, *rest)
+
+    monkeypatch.setattr(near, "_aligned", watched)
+    docs = documents(spark, list(enumerate(texts)))
+    got = near_duplicates(docs, size=1, sketches=4, retained=1).collect()
+    assert {(r.doc_id, r.group_id) for r in got if r.group_size > 1} == {(7, 7), (60, 7)}
+    assert 1 <= len(moved) < 10
+
+
+def test_sketches_are_deleted_when_they_were_read(spark, small_jobs):
+    made = sys.modules["cratework.session"]._made
+    before = set(made)
+    near_duplicates(documents(spark, [(i, LONG) for i in range(3)] + ODD)).collect()
+    left = [spark.read.parquet(path).columns for path in made if path not in before]
+    assert left and not any({"_buckets", "buckets", "text"} & set(columns) for columns in left)
+
+
+def test_word_counts_move_packed(spark, small_jobs, monkeypatch):
+    """A row per share and task, however many words there are."""
+    summed, rows = near._summed, []
+
+    def watched(pieces, *rest):
+        rows.append(pieces.count())
+        return summed(pieces, *rest)
+
+    monkeypatch.setattr(near, "_summed", watched)
+    texts = [" ".join(f"t{t}w{k} all{k} all{k}" for k in range(300)) for t in range(20)]
+    counts = near.word_counts(documents(spark, list(enumerate(texts))).coalesce(1))
+    assert rows[0] <= near.SHARES and counts.sum() == 20 * 900
+    hashes = WordHashes()
+    of_all = near.slots(near.labelled(hashes.of_text(" ".join(f"all{k}" for k in range(300)))))
+    assert (counts[of_all] >= 20).all()
