@@ -526,3 +526,26 @@ def test_word_counts_move_packed(spark, small_jobs, monkeypatch):
     hashes = WordHashes()
     of_all = near.slots(near.labelled(hashes.of_text(" ".join(f"all{k}" for k in range(300)))))
     assert (counts[of_all] >= 20).all()
+
+
+def test_kept_documents_move_once(spark, small_jobs, monkeypatch):
+    """Joined with the groups and told apart by one key, texts pass a single exchange."""
+    rows = [(1, "a b"), (1, "a b"), (1, "c d"), (2, "a b"), (None, "e f"), (None, "e f"), (3, None)]
+    docs = documents(spark, rows).withColumn("more", F.lit(1))
+    node = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    first = F.when(F.col("doc_id") == 2, 1).otherwise(F.col("doc_id"))
+    groups = docs.select("doc_id", first.alias("group_id"), node.alias("node"))
+    monkeypatch.setattr(near, "near_duplicates", lambda *a, **b: groups)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = drop_near_duplicates(docs)
+        assert kept.columns == docs.columns
+        found = Counter((r.doc_id, r.text, r.more) for r in kept.collect())
+        assert found == Counter(
+            [(1, "a b", 1), (1, "c d", 1), (None, "e f", 1), (3, None, 1)]
+        )
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange hashpartitioning") == 2
